@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, topk, url_filter
+from . import mixing, simhash, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_exact_topk": topk.op3_exact_topk,
+        "op4_simhash": simhash.op4_simhash,
         "op6_mixing": mixing.op6_mixing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
