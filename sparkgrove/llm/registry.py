@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, topk, url_filter
+from . import decontam, mixing, simhash, topk, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_simhash": simhash.op4_simhash,
         "op6_mixing": mixing.op6_mixing,
+        "op9_decontamination": decontam.op9_decontamination,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
