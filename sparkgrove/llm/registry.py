@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, simhash, topk, url_filter
+from . import decontam, mixing, simhash, token_store, topk, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_token_store": token_store.op2_token_store,
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_simhash": simhash.op4_simhash,
         "op6_mixing": mixing.op6_mixing,
