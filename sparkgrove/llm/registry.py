@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, simhash, token_store, topk, url_filter
+from . import decontam, mixing, pii, simhash, token_store, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_simhash": simhash.op4_simhash,
         "op6_mixing": mixing.op6_mixing,
+        "op7_pii": pii.op7_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_url_filter": url_filter.op10_url_filter,
     }
