@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from . import decontam, html_extract, mixing, pii, simhash, token_store, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_token_store": token_store.op2_token_store,
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_simhash": simhash.op4_simhash,
+        "op5_html_extraction": html_extract.op5_html_extraction,
         "op6_mixing": mixing.op6_mixing,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
