@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from . import decontam, html_extract, line_dedup, mixing, pii, simhash, token_store, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_token_store": token_store.op2_token_store,
         "op3_exact_topk": topk.op3_exact_topk,
         "op4_simhash": simhash.op4_simhash,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op3_exact_topk": topk.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
