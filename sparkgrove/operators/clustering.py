@@ -28,9 +28,10 @@ def explained_variance(feat: DataFrame, k: int) -> DataFrame:
     return feat.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(shares)], "component int, share double")
 
 
-def kmeans(feat: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """entity_id, cluster."""
-    model = KMeans(k=k, seed=seed, featuresCol="x", predictionCol="cluster").fit(_vectors(feat))
+def kmeans(feat: DataFrame, k: int, seed: int = 42, restarts: int = 4) -> DataFrame:
+    """entity_id, cluster: of ``restarts`` runs from other seeds the one of least cost."""
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="x", predictionCol="cluster").fit(_vectors(feat)) for i in range(restarts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     return model.transform(_vectors(feat)).select("entity_id", "cluster")
 
 

@@ -1,0 +1,155 @@
+"""Feature tables: hand-checked values, bad inputs, planted signal, negative control."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkgrove.functions import to_long, to_wide
+from sparkgrove.operators import analysis, classify, clustering, evaluate, folds, scaling
+from sparkgrove.plans import catalogue
+from sparkgrove.sources.features import BadFeatures, checked, read_features
+
+TINY = [(1, 0, [1.0, 10.0]), (2, 0, [2.0, 12.0]), (3, 0, [3.0, 14.0]), (4, 1, [7.0, 11.0]), (5, 1, [8.0, 12.0]), (6, 1, [9.0, 13.0])]
+SCHEMA = "entity_id long, label int, features array<double>"
+
+
+@pytest.fixture(scope="module")
+def tiny(spark):
+    return spark.createDataFrame(TINY, SCHEMA).select("entity_id", "features", "label")
+
+
+@pytest.fixture(scope="module")
+def raw(spark, sf_dir):
+    return catalogue.features(spark, sf_dir, check=True).persist()
+
+
+@pytest.fixture(scope="module")
+def planted(raw):
+    """3.0 added to the element that the label numbers."""
+    return raw.withColumn("features", F.transform("features", lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0))).persist()
+
+
+def accuracy(predictions) -> float:
+    return evaluate.accuracy(predictions).first()[0]
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_sql_twin(name, same_as_sql):
+    assert same_as_sql(catalogue.queries()[name], catalogue.oracle_sql()[name]) > 0
+
+
+def test_entry_has_a_row_for_each_class_and_feature(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 640
+
+
+def test_tiny_values(tiny):
+    long = to_long(tiny)
+    rows = {(r.label, r.pos): (r.n, r.mean_v, r.sd_v) for r in analysis.class_summary(long).collect()}
+    assert rows == {(0, 0): (3, 2.0, 1.0), (0, 1): (3, 12.0, 2.0), (1, 0): (3, 8.0, 1.0), (1, 1): (3, 12.0, 1.0)}
+    assert {r.pos: r.t for r in analysis.welch_t(long, 0, 1).collect()} == {0: -7.348469, 1: 0.0}
+    assert {r.pos: r.f for r in analysis.anova_f(long).collect()} == {0: 54.0, 1: 0.0}
+    assert [tuple(r) for r in analysis.feature_corr(tiny).collect()] == [(0, 1, 0.249136)]
+    assert [r.pos for r in analysis.rank_features(long).orderBy("rank").collect()] == [0, 1]
+
+
+def test_long_and_wide_are_inverse(tiny):
+    assert sorted(map(str, to_wide(to_long(tiny)).collect())) == sorted(map(str, tiny.select("entity_id", "features", "label").collect()))
+
+
+def test_constant_feature(spark):
+    feat = spark.createDataFrame([(1, 0, [1.0, 5.0]), (2, 0, [2.0, 5.0]), (3, 1, [4.0, 5.0]), (4, 1, [6.0, 5.0])], SCHEMA)
+    assert {r.features[1] for r in scaling.zscore(feat).collect()} == {0.0}
+    assert {r.pos: r.f for r in analysis.anova_f(to_long(feat)).collect()}[1] is None
+    assert {r.pos: r.t for r in analysis.welch_t(to_long(feat), 0, 1).collect()}[1] is None
+    assert analysis.feature_corr(feat).first().r is None
+
+
+@pytest.mark.parametrize(
+    "row, said",
+    [((7, 0, None), "null features: 1"), ((7, 0, [float("nan"), 1.0]), "NaN"), ((7, 0, [1.0]), "unequal lengths: 1"),
+     ((1, 0, [1.0, 2.0]), "repeated entity_id: 2"), ((7, None, [1.0, 2.0]), "null label: 1"), ((None, 0, [1.0, 2.0]), "null entity_id: 1")],
+)
+def test_bad_input_raises(spark, row, said):
+    with pytest.raises(BadFeatures, match=said):
+        checked(spark.createDataFrame([*TINY, row], SCHEMA))
+
+
+def test_empty_table(spark, tiny):
+    none = tiny.limit(0)
+    assert checked(none).count() == 0
+    assert analysis.class_summary(to_long(none)).count() == 0
+    assert analysis.feature_corr(none).count() == 0
+    assert folds.stratified_folds(none, 3).count() == 0
+    assert classify.knn_classify(tiny, none, 3).count() == 0
+    assert classify.nearest_centroid(tiny, none).count() == 0
+
+
+def test_read_features_from_parquet(spark, tiny, tmp_path):
+    tiny.write.parquet(str(tmp_path / "t"))
+    assert read_features(spark, str(tmp_path / "t")).count() == 6
+
+
+@pytest.mark.parametrize(
+    "classifier, least",
+    [(classify.nearest_centroid, 1.0), (classify.gaussian_nb, 0.95), (classify.knn_classify, 0.95), (classify.logistic, 0.95), (classify.random_forest, 0.9)],
+)
+def test_planted_signal_is_found(planted, classifier, least):
+    assert accuracy(classifier(*catalogue.split(planted))) >= least
+
+
+def test_raw_table_stays_at_chance(raw):
+    assert accuracy(classify.nearest_centroid(*catalogue.split(raw))) < 0.25
+
+
+def test_folds_are_balanced_and_cross_validation_reaches_the_signal(planted):
+    sizes = folds.stratified_folds(planted, 4).groupBy("label", "fold").count().groupBy("label").agg((F.max("count") - F.min("count")).alias("d"))
+    assert sizes.agg(F.max("d")).first()[0] <= 1
+    fit = lambda train, test: (scaling.zscore(train), scaling.zscore(test, train))
+    scores = evaluate.cross_validate(planted, 3, classify.nearest_centroid, fit)
+    assert evaluate.summary(scores).first().mean_accuracy >= 0.95
+
+
+def test_many_buckets_give_the_same_folds(raw, monkeypatch):
+    whole = sorted(map(tuple, folds.stratified_folds(raw, 5).collect()))
+    monkeypatch.setattr(folds, "ROWS_PER_BUCKET", 7)
+    assert sorted(map(tuple, folds.stratified_folds(raw, 5).collect())) == whole
+
+
+def test_test_blocks_give_the_same_neighbours(raw, monkeypatch):
+    whole = sorted(map(tuple, classify.knn_classify(*catalogue.split(raw)).collect()))
+    monkeypatch.setattr(classify, "TEST_BLOCK", 30)
+    assert sorted(map(tuple, classify.knn_classify(*catalogue.split(raw)).collect())) == whole
+
+
+def test_kmeans_finds_planted_classes(planted):
+    clusters = clustering.kmeans(planted, 10).persist()
+    table = clustering.cluster_by_class(clusters, planted).collect()
+    assert len(table) == 10 and all(r.share == 1.0 for r in table)
+    assert clustering.silhouette(planted, clusters) > 0.8
+
+
+def test_pca(planted):
+    shares = [r.share for r in clustering.explained_variance(planted, 3).orderBy("component").collect()]
+    assert shares == sorted(shares, reverse=True) and sum(shares) <= 1
+    assert {len(r.pc) for r in clustering.pca(planted, 3).collect()} == {3}
+
+
+def test_important_features_are_the_planted_ones(planted):
+    top = classify.forest_importance(planted).orderBy(F.col("importance").desc()).limit(10)
+    assert {r.pos for r in top.collect()} == set(range(10))
+    assert {r.pos for r in analysis.rank_features(to_long(planted), 10).collect()} == set(range(10))
+
+
+def test_stream_is_scored(spark, planted, tmp_path):
+    from sparkgrove.streaming import score_stream
+
+    train, test = catalogue.split(planted)
+    test.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(test.schema).parquet(str(tmp_path / "in"))
+    query = score_stream(train, stream).writeStream.format("memory").queryName("scored").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    assert accuracy(spark.table("scored")) == 1.0
