@@ -39,6 +39,8 @@ SEED = 42
 #: Fingerprints in one block of a large key.
 BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Keys of three fingerprints or more that are sent to all tasks; beyond, they are joined.
+BROADCAST_KEYS = 500_000
 #: Shingles unpacked to bits at a time.
 _STEP = 1 << 16
 
@@ -103,14 +105,20 @@ def _chain(start: int, length: int) -> int:
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(fp) → (fp, bit, key): the chain of two that ends in the bit's segment, with
-    the bit masked."""
+    """(fp) → (fp, key): the chain of two that ends in a bit's segment, with the bit
+    masked, hashed; the key's lowest six bits name the bit. Each row makes 64."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tags = []
     for j, mask in enumerate(_segment_masks()):
         for bit in (b for b in range(64) if mask >> b & 1):
             tags.append(F.struct(F.lit(bit).alias("bit"), F.lit(_signed(_chain(j - 1, 2) & ~(1 << bit))).cast("long").alias("mask")))
-    spread = nodes.select("fp", F.explode(F.array(*tags)).alias("t"))
-    return spread.select("fp", F.xxhash64("t.bit", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("key"), F.col("t.bit").cast("int").alias("bit"))
+    spread = nodes.repartition(n, "fp").select("fp", F.explode(F.array(*tags)).alias("t"))
+    hashed = F.xxhash64("t.bit", F.col("fp").bitwiseAND(F.col("t.mask")))
+    return spread.select("fp", hashed.bitwiseAND(F.lit(-64).cast("long")).bitwiseOR(F.col("t.bit").cast("long")).alias("key"))
+
+
+def _bit_of(key):
+    return key.bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
 def _start_of(bit: int) -> int:
@@ -171,8 +179,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) → edges (a, b) that span the graph of all links."""
     keyed = _keyed(nodes)
-    keys = keyed.groupBy("key", "bit").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    keys = materialize(keys, "simhash-keys")
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    keys = materialize(keys, "simhash-keys").withColumn("bit", _bit_of(F.col("key")))
     x = F.col("a").bitwiseXOR(F.col("b"))
     chain_ok = F.lit(True)
     for j, mask in enumerate(_segment_masks()):
@@ -184,11 +192,13 @@ def links(nodes: DataFrame) -> DataFrame:
         chain_ok = F.when(F.col("bit").between(low, high), here).otherwise(chain_ok)
     pairs = keys.where("n = 2").where(chain_ok).select("a", "b")
     large = keys.where("n > 2").select("key", "bit", "n")
+    if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        large = F.broadcast(large)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
-    members = keyed.join(large, ["key", "bit"]).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    members = keyed.join(large, "key").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     grouped = members.select("key", "bit", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "fp")
-    walked = grouped.repartition("key", "bit", "b1", "b2").sortWithinPartitions("key", "bit", "b1", "b2").mapInArrow(_walk, "a long, b long")
+    walked = grouped.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_walk, "a long, b long")
     return pairs.unionByName(walked).distinct()
 
 
