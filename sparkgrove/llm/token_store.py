@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import io
 import json
+import string
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -45,12 +47,29 @@ from .storage import located, read_bytes, written
 
 END_ID = 1
 #: UTF-8 bytes encoded at a time, and words remembered by one process.
-SLICE_BYTES, MEMORY = 8 << 20, 400_000
+SLICE_BYTES, MEMORY = 8 << 20, 600_000
 #: Keys of an index bucket at most, on average; bits a key in each level of the hash.
 BUCKET_KEYS, GAMMA, LEVELS = 1 << 16, 2, 40
 _U = np.uint64
 
 
+#: Words that show whether a tokenizer makes one piece of letters, one of punctuation.
+_SAMPLES = ("Ab", "aB.", "\u00c9cole,", "stra\u00dfe###", "\u00fcber!?", "\u00d1and\u00fa...", "\u0396\u03c9\u03ae;", "\u0416\u0443\u043a&&&")
+
+
+class _Letters(dict):
+    """What a tokenizer makes of single letters; NUL for those it makes no one piece of."""
+
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, code: int) -> str:
+        made = self.split(chr(code))
+        self[code] = made[0] if len(made) == 1 else "\0"
+        return self[code]
+
+
 class Encoder:
     """Ids of texts by one tokenizer file, word by word where that is exact."""
 
@@ -61,7 +80,14 @@ class Encoder:
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
         self.model, self.normalizer, self.pre = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content: [i] for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = sorted(self.special, key=len, reverse=True)
+        if by_words:
+            self.letters, self.plain = _Letters(self._split), True
+            # a special token must not look like a plain word
+            self.plain = all(self._pieces(w) == self._split(w) for w in _SAMPLES) and not any(
+                a.rstrip(string.punctuation).isalpha() or not a.rstrip(string.punctuation) for a in self.added
+            )
         self.forget()
 
     @classmethod
@@ -73,33 +99,42 @@ class Encoder:
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _ids(self, word: str) -> list[int]:
-        if any(a in word for a in self.added):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        found: list[int] = []
-        for piece, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(word)):
-            if piece not in self.pieces:
-                self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
-            found += self.pieces[piece]
-        return found
+        self.pieces: dict[str, list[int]] = dict(self.special)
+        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _split(self, word: str) -> list[str]:
+        for special in self.added:
+            if special in word:  # is cut out before anything else, and is its own piece
+                before, after = word.split(special, 1)
+                return [*self._split(before), special, *self._split(after)]
+        return [piece for piece, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(word))]
+
+    def _pieces(self, word: str) -> list[str]:
+        """As the tokenizer splits a word; letters with punctuation after them, the
+        most frequent case, are put together from what it makes of single letters."""
+        body = word.rstrip(string.punctuation)
+        if self.plain and body.isalpha() and is_normalized("NFC", body):
+            whole = body.translate(self.letters)
+            if "\0" not in whole:
+                return [whole, word[len(body) :]] if len(body) < len(word) else [whole]
+        return self._split(word)
 
     def _learn(self, words: list[str]) -> None:
-        n = len(self.slots)
-        if n + len(words) > len(self.starts):
-            room = max(2 * len(self.starts), n + len(words))
-            self.starts, self.lengths = np.resize(self.starts, room), np.resize(self.lengths, room)
+        n, ids, lengths, pieces = len(self.slots), [], [], self.pieces
         for word in words:
-            ids = self._ids(word)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(ids)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.lengths[n], self.slots[word] = self.used, len(ids), n
-            self.used += len(ids)
+            found = []
+            for piece in self._pieces(word):
+                known = pieces.get(piece)
+                if known is None:
+                    known = pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+                found += known
+            ids += found
+            lengths.append(len(found))
+            self.slots[word] = n
             n += 1
+        starts = len(self.pool) + np.cumsum([0, *lengths])[:-1]
+        self.pool = np.concatenate([self.pool, np.array(ids, np.uint32)])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, np.array(lengths, np.int64)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of ids of each."""
@@ -114,7 +149,7 @@ class Encoder:
         self._learn([w for w in words if w not in self.slots])
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         index = slots[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else slots
-        lengths = self.lengths[index].astype(np.int64)
+        lengths = self.lengths[index]
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(self.starts[index] - before[:-1], lengths) + np.arange(before[-1])]
         bounds = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
