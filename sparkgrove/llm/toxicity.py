@@ -3,7 +3,7 @@
 Texts are lower-cased, and homoglyphs, digits and signs that stand for letters are
 folded. The lexicon holds word beginnings, learned from labelled documents: Spark
 counts in how many toxic and clean ones each word occurs, beginnings sum their words,
-and those whose smoothed log odds and support suffice are taken, each as long as it
+and those whose log odds surely suffice are taken, each as long as it
 stays without losing support. Exception phrases (a hit with the word before or after
 it) are learned where a beginning also occurs in clean documents; a hit inside one does
 not count. The sum of weights, normalised by the text's length, gives the score through
@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Labelled documents fitted on, terms of the lexicon and exception phrases, at most.
 MAX_LABELLED, MAX_TERMS, MAX_PHRASES = 20_000, 2_000, 2_000
-#: Lengths of word beginnings; toxic documents a term must occur in; least log odds.
-BEGINNINGS, MIN_SUPPORT, MIN_WEIGHT = range(4, 13), 5, 2.0
+#: Lengths of word beginnings; toxic documents a term must occur in; what the lower
+#: bound of its log odds (at so many standard errors) must reach.
+BEGINNINGS, MIN_SUPPORT, MIN_WEIGHT, ERRORS = range(4, 13), 5, 2.0, 1.96
 #: A longer beginning replaces a shorter one that it covers to this share.
 COVER = 0.9
 THRESHOLD = 0.7
@@ -134,7 +135,8 @@ def _terms(labelled: DataFrame) -> dict[str, float]:
     words = _counted(labelled).select(F.explode(F.array_distinct(F.array_compact(F.array(*begins, F.col("word"))))).alias("term"), "t", "n")
     terms = words.groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).where(F.length("term") >= min(BEGINNINGS))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    strong = terms.withColumn("weight", weight).where((F.col("t") >= MIN_SUPPORT) & (F.col("weight") >= MIN_WEIGHT))
+    bound = weight - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    strong = terms.withColumn("weight", weight).where((F.col("t") >= MIN_SUPPORT) & (bound >= MIN_WEIGHT))
     best = strong.orderBy(F.col("t").desc(), "term").limit(20 * MAX_TERMS).collect()
     # beginnings of equal reach: only the longest stays, and none that a shorter one implies
     support = {r["term"]: r["t"] for r in best}
@@ -193,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = F.broadcast(marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled))
-    labelled = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text")
+    labelled = docs.select("doc_id", "text").join(sample, "doc_id")
+    # copies of a text are one witness, not many
+    labelled = materialize(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "labelled")
     lexicon = Lexicon(_terms(labelled))
     if not lexicon.weights:
         return lexicon
