@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .url_filter import host_of
 
 #: Share of the article-like text that the voted container holds at least.
@@ -70,7 +70,7 @@ _PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd td article main sec
 class Container:
     """An open element: its generalised path, whether it is left out, and its text."""
 
-    __slots__ = ("tag", "path", "skip", "article", "parent", "depth", "score")
+    __slots__ = ("article", "depth", "parent", "path", "score", "skip", "tag")
 
     def __init__(self, tag: str, path: str, skip: bool, article: bool, parent: Container | None):
         self.tag, self.path, self.skip, self.article, self.parent, self.score = tag, path, skip, article, parent, 0
@@ -213,8 +213,6 @@ BROADCAST_HOSTS = 10_000
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) → page_id, url, text."""
-    from .common import materialize
-
     winners = materialize(host_paths(pages).select(F.col("host").alias("of"), "path"), "host-paths")
     if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         winners = F.broadcast(winners)
