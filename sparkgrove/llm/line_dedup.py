@@ -34,92 +34,126 @@ from .common import materialize, table
 
 #: Shorter lines must be equal to be duplicates.
 MIN_WORDS = 8
+#: Hashes or places of lines that are sent to all tasks; beyond, they are joined.
+BROADCAST_LINES = 1_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), _SPACE), "")
+def normalized(line: Column) -> Column:
+    """Lower case, words separated by one space; most lines only need the first."""
+    low = F.lower(line)
+    odd = low.startswith(" ") | low.endswith(" ") | low.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | low.contains(c)
+    return F.when(odd, F.array_join(F.array_remove(F.split(low, _SPACE), ""), " ")).otherwise(low)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line: its place (none, id, hash, line_no), word count, hash (h, h2)
-    and hashes of its halves."""
-    lines = docs.select(
+    """One row per line that is not blank: none, id, hash, line_no (its place), words."""
+    split = docs.select(
         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    words, n, k = F.col("words"), F.col("n"), F.floor(F.col("n") / 2).cast("int")
-    lines = lines.select("none", "id", "hash", "line_no", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    more = F.when(n % 2 == 0, 0).otherwise(1)
-    first = F.xxhash64(F.lit(0), F.slice(words, 1, k))
-    last = F.xxhash64(F.lit(1), F.slice(words, n - (k + more) + 1, k + more))
-    other = F.when(n % 2 == 1, F.xxhash64(F.lit(0), F.slice(words, 1, k + 1))).otherwise(F.xxhash64(F.lit(1), F.slice(words, n - k, k + 1)))
-    halves = F.when(n >= MIN_WORDS - 1, F.array(first, last, other))
-    return lines.select("none", "id", "hash", "line_no", "n", F.xxhash64(words).alias("h"), F.xxhash64(F.lit(1), words).alias("h2"), halves.alias("halves"))
+    return split.select("none", "id", "hash", "line_no", normalized(F.col("line")).alias("words")).where("words != ''")
 
 
 def _place() -> Column:
     return F.struct("none", "id", "hash", "line_no").alias("place")
 
 
-def _candidates(firsts: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another: h, h2, place."""
-    keyed = firsts.where(F.col("n") >= MIN_WORDS).select("h", "h2", "place", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
-    return keyed.join(shared, "half", "left_semi").select("h", "h2", "place").distinct()
+def _h() -> list[Column]:
+    return [F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("h2")]
+
+
+def _halves() -> Column:
+    """Hashes of the first and last half of a line's words, in the lengths that lines of
+    as many words, of one more and of one less use alike; null for short lines."""
+    words, n = F.col("words"), F.col("n")
+    k = F.floor(n / 2).cast("int")
+    rest = n - k
+
+    def first(m: Column) -> Column:
+        return F.xxhash64(F.lit(0), F.call_function("substring_index", words, F.lit(" "), m))
+
+    def last(m: Column) -> Column:
+        return F.xxhash64(F.lit(1), F.call_function("substring_index", words, F.lit(" "), -m))
+
+    other = F.when(rest > k, first(k + 1)).otherwise(last(rest + 1))
+    return F.when(n >= MIN_WORDS, F.array(first(k), last(rest), other))
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """One row per line that is not blank: its place, h, h2, halves."""
+    spaces = F.octet_length("words") - F.octet_length(F.replace(F.col("words"), F.lit(" "), F.lit("")))
+    lines = _lines(docs).withColumn("n", (spaces + 1).cast("int"))
+    return lines.select("none", "id", "hash", "line_no", *_h(), _halves().alias("halves"))
+
+
+def firsts(lines: DataFrame) -> DataFrame:
+    """Distinct lines: h, h2, place of the earliest, copies, halves."""
+    return lines.groupBy("h", "h2").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` as a side to send to all tasks, if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
+
+
+def _candidates(known: DataFrame) -> DataFrame:
+    """Distinct lines that share a half with another: h, h2, place, ord. The longs of
+    ord follow the places, and name the lines from here on."""
+    halves = known.where("halves is not null").select("h", "h2", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
+    hit = halves.join(_few(materialize(shared, "shared-halves")), "half", "left_semi").select("h", "h2").distinct()
+    found = known.select("h", "h2", "place").join(_few(materialize(hit, "line-hashes")), ["h", "h2"])
+    return materialize(found.sort("place").withColumn("ord", F.monotonically_increasing_id()), "line-candidates")
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (h, h2, place) → h, h2, place, words, from the documents."""
-    by_doc = wanted.groupBy("place.none", "place.id", "place.hash").agg(F.collect_list(F.struct("h", "h2", "place")).alias("of"))
-    texts = docs.select("doc_id", "text").join(
-        by_doc, docs["doc_id"].eqNullSafe(by_doc["id"]) & F.xxhash64(docs["text"]).eqNullSafe(by_doc["hash"])
-    )
-    split = texts.select("of", F.split("text", "\n").alias("lines"))
-    got = split.select(
-        F.explode(F.transform("of", lambda x: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["place"].alias("place"), F.get(F.col("lines"), x["place"]["line_no"]).alias("line")))).alias("x")
-    )
-    # wholly equal rows give a line more than once
-    return got.select("x.h", "x.h2", "x.place", words_of(F.col("x.line")).alias("words")).dropDuplicates(["h", "h2"])
+    """``wanted`` (place, ord) → ord, words, from the documents at those places."""
+    at = F.struct("place.line_no", "ord")
+    by_doc = wanted.groupBy("place.id", "place.hash").agg(F.collect_list(at).alias("of"))
+    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        by_doc = F.broadcast(by_doc)
+    texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["id"]) & F.xxhash64(docs["text"]).eqNullSafe(by_doc["hash"]))
+    texts = texts.select("of", F.split("text", "\n").alias("lines"))
+    got = F.transform("of", lambda x: F.struct(x["ord"].alias("ord"), F.get(F.col("lines"), x["line_no"]).alias("line")))
+    lines = texts.select(F.explode(got).alias("x")).select("x.ord", normalized(F.col("x.line")).alias("words"))
+    return lines.groupBy("ord").agg(F.first("words").alias("words"))  # wholly equal rows give it more than once
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Deletion neighbourhood of ``lines`` (h, h2, place, words): key, pos (-1: the
-    whole line), place, h, h2."""
-    each = lines.select("h", "h2", "place", F.posexplode("words").alias("pos", "word"))
-    each = each.select("h", "h2", "place", "pos", F.xxhash64("word", "pos").alias("own"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
-    line = Window.partitionBy("h", "h2")
+    """Deletion neighbourhood of ``lines`` (ord, words): key, pos (-1: the whole line), ord."""
+    each = lines.select("ord", F.posexplode(F.split("words", " ")).alias("pos", "word"))
+    each = each.select("ord", "pos", F.xxhash64("word", "pos").alias("own"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
+    line = Window.partitionBy("ord")
     before = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.bit_xor(F.col("own").bitwiseXOR(F.col("moved"))).over(before), F.lit(0).cast("long"))
-    each = each.select("h", "h2", "place", "pos", "moved", run.alias("run"), F.bit_xor("own").over(line).alias("whole"), F.bit_xor("moved").over(line).alias("all_moved"))
+    each = each.select("ord", "pos", "moved", run.alias("run"), F.bit_xor("own").over(line).alias("whole"), F.bit_xor("moved").over(line).alias("all_moved"))
     without = F.struct(F.col("all_moved").bitwiseXOR(F.col("run")).bitwiseXOR(F.col("moved")).alias("key"), "pos")
     whole = F.struct(F.col("whole").alias("key"), F.lit(-1).alias("pos"))
     keys = F.when(F.col("pos") == 0, F.array(without, whole)).otherwise(F.array(without))
-    return each.select(F.explode(keys).alias("k"), "place", "h", "h2").select("k.key", "k.pos", "place", "h", "h2")
+    return each.select("ord", F.explode(keys).alias("k")).select("k.key", "k.pos", "ord")
 
 
 def _partners(keyed: DataFrame) -> DataFrame:
-    """Each line with an earlier partner under one of its keys: h, h2, pos of the word
-    the longer line lacks or both replace, by (replaced, deleted, inserted), ph, ph2."""
-    who = F.struct("place", "h", "h2")
-    groups = keyed.groupBy("key", "pos").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("lines"))
-    replaced = keyed.where("pos >= 0").join(groups.where("pos >= 0 and lines > 1").select("key", "pos", "first"), ["key", "pos"])
-    both = groups.groupBy("key").agg(
-        F.min(F.when(F.col("pos") >= 0, F.struct("first", "pos"))).alias("variant"), F.min(F.when(F.col("pos") < 0, F.col("first"))).alias("whole")
-    )
-    both = both.where("variant is not null and whole is not null")
-    deleted = keyed.where("pos >= 0").join(both.select("key", F.col("whole").alias("first")), "key")
-    inserted = keyed.where("pos < 0").drop("pos").join(both.select("key", F.col("variant.first").alias("first"), F.col("variant.pos").alias("pos")), "key")
-    found = None
-    for by, links in (("replaced", replaced), ("deleted", deleted), ("inserted", inserted)):
-        links = links.where("first.place < place").select("h", "h2", "pos", F.lit(by).alias("by"), F.col("first.h").alias("ph"), F.col("first.h2").alias("ph2"))
-        found = links if found is None else found.unionByName(links)
-    return found.distinct()
+    """Each line with an earlier partner under one of its keys: ord, first (the
+    partner), by (replaced, deleted, inserted), pos of the word that the longer line has
+    more, or that both replace."""
+    wholes = _few(materialize(keyed.where("pos < 0").select("key", F.col("ord").alias("first")), "whole-lines"))
+    less = keyed.where("pos >= 0")
+    groups = less.groupBy("key", "pos").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    replaced = less.join(groups.drop("lines"), ["key", "pos"]).where("first < ord").select("ord", "first", "pos", F.lit("replaced").alias("by"))
+    met = less.join(wholes, "key")
+    deleted = met.where("first < ord").select("ord", "first", "pos", F.lit("deleted").alias("by"))
+    later = met.where("first > ord").groupBy("first").agg(F.min(F.struct("ord", "pos")).alias("one"))
+    inserted = later.select(F.col("first").alias("ord"), F.col("one.ord").alias("first"), "one.pos", F.lit("inserted").alias("by"))
+    return replaced.unionByName(deleted).unionByName(inserted).distinct()
 
 
 def _verified(partners: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines (h, h2) whose words are within one edit of a partner's."""
-    own = lines.select("h", "h2", F.col("words").alias("a"))
-    theirs = lines.select(F.col("h").alias("ph"), F.col("h2").alias("ph2"), F.col("words").alias("b"))
+    """Lines (ord) whose words are within one edit of a partner's."""
+    own = lines.select("ord", F.split("words", " ").alias("a"))
+    theirs = lines.select(F.col("ord").alias("first"), F.split("words", " ").alias("b"))
 
     def without(words: Column) -> Column:
         return F.concat(F.slice(words, 1, F.col("pos")), F.slice(words, F.col("pos") + 2, F.greatest(F.size(words) - F.col("pos") - 1, F.lit(0))))
@@ -127,36 +161,39 @@ def _verified(partners: DataFrame, lines: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     a_less = F.when(F.col("by") == "inserted", a).otherwise(without(a))
     b_less = F.when(F.col("by") == "deleted", b).otherwise(without(b))
-    return partners.join(own, ["h", "h2"]).join(theirs, ["ph", "ph2"]).where(a_less == b_less).select("h", "h2").distinct()
+    return partners.join(own, "ord").join(theirs, "first").where(a_less == b_less).select("ord").distinct()
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct lines (h, h2) with an earlier line within one word edit."""
-    lines = materialize(_with_words(docs, _candidates(firsts)), "line-candidates")
-    return _verified(_partners(variants(lines)), lines)
+    candidates = _candidates(known)
+    lines = materialize(_with_words(docs, candidates), "line-words")
+    keyed = materialize(variants(lines), "line-variants")
+    return candidates.join(_verified(_partners(keyed), lines), "ord").select("h", "h2")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) → doc_id, text without the lines that go, n_lines,
     n_same and n_near: lines gone as equal or as within one edit."""
     docs = docs.select("doc_id", "text")
-    lines = materialize(_lines(docs).where("n > 0"), "lines")
-    firsts = lines.groupBy("h", "h2").agg(F.min(_place()).alias("place"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    near = materialize(near_lines(docs, firsts).withColumn("near", F.lit(True)), "near-lines")
-    known = firsts.select("h", "h2", F.col("place").alias("first")).join(near, ["h", "h2"], "left")
-    gone = lines.join(known, ["h", "h2"]).where(F.col("near") | (F.col("first") != _place()))
+    lines = materialize(hashed_lines(docs), "lines")
+    known = materialize(firsts(lines), "distinct-lines")
+    near = materialize(near_lines(docs, known).withColumn("near", F.lit(True)), "near-lines")
+    going = known.select("h", "h2", "copies", F.col("place").alias("first")).join(near, ["h", "h2"], "left").where("near or copies > 1").drop("copies")
+    gone = lines.drop("halves").join(going, ["h", "h2"]).where(F.col("near") | (F.col("first") != _place()))
     by_doc = gone.groupBy("none", "id", "hash").agg(
-        F.collect_set("line_no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("near_lines")
+        F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near_lines")
     )
     joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["id"]) & F.xxhash64(docs["text"]).eqNullSafe(by_doc["hash"]), "left")
-    split = F.split("text", "\n")
+    joined = joined.withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+        F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     )
-    n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce("near_lines", F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
+    n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size("near_lines"), F.lit(0))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return joined.select(
-        "doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_gone - n_near, F.lit(0)).cast("long").alias("n_same"), n_near.cast("long").alias("n_near")
+        "doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_gone - n_near, F.lit(0)).cast("long").alias("n_same"), F.greatest(n_near, F.lit(0)).cast("long").alias("n_near")
     )
 
 
