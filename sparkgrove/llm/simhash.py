@@ -112,7 +112,8 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     for j, mask in enumerate(_segment_masks()):
         for bit in (b for b in range(64) if mask >> b & 1):
             tags.append(F.struct(F.lit(bit).alias("bit"), F.lit(_signed(_chain(j - 1, 2) & ~(1 << bit))).cast("long").alias("mask")))
-    spread = nodes.repartition(n, "fp").select("fp", F.explode(F.array(*tags)).alias("t"))
+    # dealt by another hash than the aggregate below it, or Spark keeps that one's few partitions
+    spread = nodes.repartition(n, F.xxhash64("fp")).select("fp", F.explode(F.array(*tags)).alias("t"))
     hashed = F.xxhash64("t.bit", F.col("fp").bitwiseAND(F.col("t.mask")))
     return spread.select("fp", hashed.bitwiseAND(F.lit(-64).cast("long")).bitwiseOR(F.col("t.bit").cast("long")).alias("key"))
 
