@@ -47,7 +47,7 @@ from .storage import located, read_bytes, written
 
 END_ID = 1
 #: UTF-8 bytes encoded at a time, and words remembered by one process.
-SLICE_BYTES, MEMORY = 2 << 20, 300_000
+SLICE_BYTES, MEMORY = 2 << 20, 500_000
 #: Keys of an index bucket at most, on average; bits a key in each level of the hash.
 BUCKET_KEYS, GAMMA, LEVELS = 1 << 16, 2, 40
 _U = np.uint64
