@@ -62,9 +62,8 @@ def test_mixing_meets_its_targets(answer):
     sums = {}
     for r in answer("op6_mixing"):
         assert 0 <= r.taken <= 3 * r.size
-        got = sums.setdefault(r.target, [0, r.source_size])
-        got[0] += r.taken
-    for target, (taken, size) in sums.items():
+        sums[r.target, r.source_size] = sums.get((r.target, r.source_size), 0) + r.taken  # one for each source
+    for (target, size), taken in sums.items():
         assert target <= 3 * size and abs(taken - target) <= 1
 
 
