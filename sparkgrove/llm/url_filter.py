@@ -9,7 +9,8 @@ rate: it is then credibly worse than the average host). Explicit rules come firs
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
 rule, and the verdict of the overall prior. Null outcomes are not counted. Hosts
-without labelled pages get their domain's prior, unknown domains their suffix's.
+without labelled pages are judged by the bound of their domain's prior, those of unknown
+domains by their suffix's; their lower_bound, that of a host's own posterior, stays null.
 Repeated rows are judged alike, once each. Columns of ``pages`` besides page_id and
 url are not read. Empty tables give empty results; without any labels the prior rate
 is one half and nothing is blocked by reputation.
@@ -88,48 +89,51 @@ def _strength(groups: DataFrame) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """``outcomes`` (host, bad) → per labelled host: suffix, domain, counts, the
-    posterior of the rate of bad pages and its lower bound; plus the overall rate."""
+    """``outcomes`` (host, bad) → per host: suffix, domain, counts, the posterior of the
+    rate of bad pages and its lower bound (null without any labels); plus the overall
+    rate. Hosts with null outcomes only have n = 0: their posterior is their prior."""
     hosts = (
-        outcomes.where(F.col("bad").isNotNull())
-        .groupBy(F.coalesce("host", F.lit("")).alias("host"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+        outcomes.groupBy(F.coalesce("host", F.lit("")).alias("host"))
+        .agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
     overall = suffixes.agg(*sums).select(
-        ((F.coalesce("bad", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 1.0)).alias("rate")
+        ((F.coalesce("bad", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 1.0)).alias("rate"), F.coalesce(F.col("n") > 0, F.lit(False)).alias("any")
     )
     levels = overall
     for name, groups in (("ks", suffixes), ("kd", domains), ("kh", hosts)):  # single rows
         levels = levels.crossJoin(_strength(groups).withColumnRenamed("k", name))
     suffix_rates = suffixes.crossJoin(levels).select(
-        "suffix", "rate", "kd", "kh", ((F.col("bad") + F.col("ks") * F.col("rate")) / (F.col("n") + F.col("ks"))).alias("suffix_rate")
+        "suffix", "rate", "any", "kd", "kh", ((F.col("bad") + F.col("ks") * F.col("rate")) / (F.col("n") + F.col("ks"))).alias("suffix_rate")
     )
     domain_rates = domains.join(suffix_rates, "suffix").select(
-        "domain", "suffix", "rate", "kh", "suffix_rate",
+        "domain", "suffix", "rate", "any", "kh", "suffix_rate",
         ((F.col("bad") + F.col("kd") * F.col("suffix_rate")) / (F.col("n") + F.col("kd"))).alias("domain_rate"),
     )
     total = F.col("n") + F.col("kh")
     mean = (F.col("bad") + F.col("kh") * F.col("domain_rate")) / total
     return hosts.join(domain_rates, ["domain", "suffix"]).select(
         "host", "domain", "suffix", "n", "bad", "rate", "suffix_rate", "domain_rate", mean.alias("host_rate"),
-        F.round(mean - z * F.sqrt(mean * (1 - mean) / (total + 1)), 9).alias("lower_bound"),
+        F.when(F.col("any"), F.round(mean - z * F.sqrt(mean * (1 - mean) / (total + 1)), 9)).alias("lower_bound"),
     )
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, max_bad_rate: float | None = None) -> DataFrame:
     """``pages`` (page_id, url) → page_id, host, path, rule, verdict, lower_bound."""
-    ranked = reputation(outcomes, z).select(
-        F.col("host").alias("known_host"), "lower_bound", F.round(F.lit(max_bad_rate) if max_bad_rate is not None else F.col("rate"), 9).alias("limit")
-    )
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # the pages' own hosts take part without an outcome, so that each of them has a prior at least
+    hosts = outcomes.select("host", "bad").unionByName(parts.select("host", F.lit(None).cast("int").alias("bad")))
+    limit = F.lit(max_bad_rate) if max_bad_rate is not None else F.col("rate")
+    ranked = reputation(hosts, z).select(
+        F.col("host").alias("known_host"), (F.col("lower_bound") > F.round(limit, 9)).alias("worse"), F.when(F.col("n") > 0, F.col("lower_bound")).alias("lower_bound")
+    )
     judged = parts.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).join(
         ranked, F.col("host") == F.col("known_host"), "left"
     )
-    by_method = F.when(F.col("lower_bound") > F.col("limit"), "block").otherwise("allow")
+    by_method = F.when(F.col("worse"), "block").otherwise("allow")
     return judged.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", by_method).alias("verdict"), "lower_bound"
     )

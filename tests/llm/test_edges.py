@@ -323,5 +323,15 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), none).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_unlabelled_hosts_are_judged_by_their_domain_or_suffix(spark):
+    urls = ["http://new.bad.info/", "http://new.unknown.info/", "http://new.good.org/", "http://unknown.biz/", "http://a1.bad.info/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = [(f"a{i}.bad.info", 1) for i in range(9) for _ in range(40)] + [(f"a{i}.good.org", 0) for i in range(9) for _ in range(80)]
+    known = spark.createDataFrame(outcomes, "host string, bad int")
+    got = {r.page_id: (r.verdict, r.lower_bound is None) for r in url_filter.judge(pages, known).collect()}
+    assert got == {0: ("block", True), 1: ("block", True), 2: ("allow", True), 3: ("allow", True), 4: ("block", False), 5: ("allow", True)}
+    assert url_filter.judge(pages, known.limit(0), max_bad_rate=0.1).where("verdict = 'block'").count() == 0
+
+
 def test_words_pattern():
     assert re.findall(r"[^\x20\x09-\x0D]+", "a\u00a0b c") == ["a\u00a0b", "c"]
