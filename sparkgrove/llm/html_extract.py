@@ -2,8 +2,8 @@
 
 Every page is parsed into blocks of text under a path of containers; each container is
 named by its tag and classes, generalised by dropping digits (``div.post-12`` becomes
-``div.post-``). A page scores its containers by the text of article-like blocks under
-them, and names the deepest one that holds nearly all of it. Spark counts these votes
+``div.post-``). A page names the deepest container that holds all text not left out, or
+the article around it. Spark counts these votes
 per host and path; the path with most votes wins, and each page of the host is
 extracted again from the containers on the winning path. A page without such a
 container keeps its own best one. Menus, headers, footers, sidebars, notices, adverts,
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .url_filter import host_of
 
-#: Share of the article-like text that the voted container holds at least.
-SHARE = 0.9
 #: Names of HTML elements by the way they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp noembed".split())
@@ -61,20 +59,26 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PARTS = re.compile(r"[a-z]+")
 #: Fixed values: ``with-sidebar`` is not a sidebar.
 _BESIDE = frozenset(("with", "has", "no", "without"))
-#: Elements nested deeper are read as part of the container at this depth.
+#: Of which open elements each element is the nearest that ends them, or hides them.
+_NEAREST = {tag: tuple(name for name in _ENDS if tag == name or tag in _WALLS[name]) for tag in set(_ENDS).union(*_WALLS.values())}
+#: Paths go down to this depth; deeper elements are on the path of the one there.
 MAX_DEPTH = 256
 _DIGITS = re.compile(r"[0-9]+")
-_PROSE = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd td article main section".split())
 
 
 class Container:
-    """An open element: its generalised path, whether it is left out, and its text."""
+    """An open element: its generalised path, whether it is left out or in an article."""
 
-    __slots__ = ("article", "depth", "parent", "path", "score", "skip", "tag")
+    __slots__ = ("article", "depth", "named", "nearest", "parent", "path", "skip", "tag")
 
     def __init__(self, tag: str, path: str, skip: bool, article: bool, parent: Container | None):
-        self.tag, self.path, self.skip, self.article, self.parent, self.score = tag, path, skip, article, parent, 0
+        self.tag, self.path, self.skip, self.article, self.parent = tag, path, skip, article, parent
         self.depth = parent.depth + 1 if parent else 0
+        #: the element that the path names, and the nearest elements by what they end or hide
+        self.named = self if self.depth <= MAX_DEPTH else parent.named
+        self.nearest = parent.nearest if parent else {}
+        if tag in _NEAREST:
+            self.nearest = self.nearest | dict.fromkeys(_NEAREST[tag], self)
 
 
 def _opened(tag: str, attributes: str, parent: Container) -> Container:
@@ -95,7 +99,10 @@ def _opened(tag: str, attributes: str, parent: Container) -> Container:
     article = parent.article or tag in ("article", "main")
     skip = parent.skip or role in ROLES or (tag in SKIPPED and not (tag == "header" and parent.article))
     skip = skip or (marked and tag not in ("body", "html", "article", "main"))
-    return Container(tag, f"{parent.path}/{tag}.{names}" if names else f"{parent.path}/{tag}", skip, article, parent)
+    path = parent.path
+    if parent.depth < MAX_DEPTH:
+        path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
+    return Container(tag, path, skip, article, parent)
 
 
 def blocks(html: str) -> list[tuple[Container, str]]:
@@ -104,6 +111,13 @@ def blocks(html: str) -> list[tuple[Container, str]]:
     root = at = Container("", "", False, False, None)
     found: list[tuple[Container, str]] = []
     pieces: list[str] = []
+    opened: dict[str, int] = {}
+
+    def leave(node: Container) -> None:
+        nonlocal at
+        while at is not node.parent:
+            opened[at.tag] -= 1
+            at = at.parent
 
     def flush() -> None:
         if pieces:
@@ -124,12 +138,12 @@ def blocks(html: str) -> list[tuple[Container, str]]:
         if m[2]:
             if tag in INLINE:
                 continue
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
+            if opened.get(tag):
                 flush()
-                at = node.parent
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             elif tag in ("p", "br"):
                 flush()
             continue
@@ -145,14 +159,13 @@ def blocks(html: str) -> list[tuple[Container, str]]:
         flush()
         for name, by in _ENDS.items():
             if tag in by:
-                node, walls = at, _WALLS[name]
-                while node is not root and node.tag != name and node.tag not in walls:
-                    node = node.parent
-                if node is not root and node.tag == name:
-                    at = node.parent
-        if tag in VOID or at.depth >= MAX_DEPTH or m[4].endswith("/") and tag in ("svg", "math"):
+                node = at.nearest.get(name)
+                if node is not None and node.tag == name:
+                    leave(node)
+        if tag in VOID or m[4].endswith("/") and tag in ("svg", "math"):
             continue
         at = _opened(tag, m[4], at)
+        opened[tag] = opened.get(tag, 0) + 1
     if end < n and not at.skip:
         pieces.append(html[end:])
     flush()
@@ -160,19 +173,25 @@ def blocks(html: str) -> list[tuple[Container, str]]:
 
 
 def best_path(found: list[tuple[Container, str]]) -> str:
-    """The path of the deepest container with ``SHARE`` of the article-like text."""
-    total, nodes = 0, set()
-    for node, text in found:
-        n = len(text) if node.tag in _PROSE else len(text) // 2
-        total += n
+    """The path of the deepest container of all ``found``, or of the article around it."""
+    best = last = None
+    for node, _ in found:
+        if node is last:
+            continue
+        last, node = node, node.named
         if node.tag == "p":  # a paragraph is part of a container, not one itself
             node = node.parent
-        while node is not None:
-            node.score += n
-            nodes.add(node)
-            node = node.parent
-    enough = [node for node in nodes if node.score >= SHARE * total and total]
-    return max(enough, key=lambda node: node.depth).path if enough else ""
+        best = best or node
+        while best is not node:
+            if best.depth >= node.depth:
+                best = best.parent
+            else:
+                node = node.parent
+    if best is None:
+        return ""
+    while best.article and best.tag not in ("article", "main"):
+        best = best.parent
+    return best.path
 
 
 def main_text(html: str | None, path: str | None) -> str:

@@ -222,6 +222,50 @@ def test_html_parts():
     assert html_extract.main_text(page, None) == "Head & tail First paragraph here. Second line one two a b Last words."
 
 
+def test_html_keeps_the_text_around_a_wrapped_body(spark):
+    body = "<p>" + "body text " * 200 + "</p>"
+    pages = [
+        (f"<body><article><h1>Title</h1><p>lead</p><div class=body>{body}</div></article><footer>f</footer>", "Title lead "), (f"<article><div class=body>{body}</div></article>", ""),
+        (f"<body><div class=post-1><h1>Title</h1><div>lead</div><div class=body>{body}</div></div><aside>x</aside>", "Title lead "),
+    ]
+    rows = [(i, f"http://h{i // 4}.com/{i}", pages[i % 2 if i < 4 else 2][0]) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: (pages[i % 2 if i < 4 else 2][1] + "body text " * 200).strip() for i in range(6)}
+
+
+def html_and_text(node, skip=False):
+    """HTML of a tree of (tag, children or words), and its text that is not boilerplate."""
+    tag, inside = node
+    skip = skip or tag in ("nav", "aside", "div class=sidebar")
+    if isinstance(inside, str):
+        return f"<{tag}>{inside}</{tag.split()[0]}>", [] if skip else [inside]
+    parts = [html_and_text(x, skip) for x in inside]
+    return f"<{tag}>{''.join(h for h, _ in parts)}</{tag.split()[0]}>", [t for _, x in parts for t in x]
+
+
+LEAVES = st.tuples(st.sampled_from(["p", "h2", "div", "blockquote", "nav", "pre"]), st.sampled_from(["one", "two words", "three " * 50 + "end"]))
+TREES = st.recursive(LEAVES, lambda x: st.tuples(st.sampled_from(["div", "article", "section", "main", "aside", "div class=body", "div class=sidebar"]), st.lists(x, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TREES, max_size=4), st.lists(TREES, max_size=2), st.sampled_from([0, 0, 1, 250, 255, 300]))
+def test_html_drops_boilerplate_only(trees, after, depth):
+    tree = ("div", trees)
+    for _ in range(depth):
+        tree = ("div", [tree])
+    html, texts = html_and_text(("body", [tree, *after]))
+    assert html_extract.main_text(html, None) == " ".join(texts)
+
+
+def test_deep_and_wrongly_nested_html():
+    deep = "<div class=sidebar>" + "<div>" * 400 + "</div>" * 400 + "<p>links</p></div><p>article</p>"
+    assert html_extract.main_text(deep, None) == "article"
+    below = "<div>" * 300 + "<p>one</p><nav>menu</nav><ul><li>two<li>three<ul><li>four</ul></ul>" + "</div>" * 300 + "<p>five"
+    assert html_extract.main_text(below, None) == "one two three four five"
+    many = "<table><tr><td><p>" + "<div>x" * 50_000 + "</b></i></section>" * 50_000
+    assert html_extract.main_text(many, None).count("x") == 50_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/pdiv \"'=a&;!-", max_size=80))
 def test_html_never_fails(html):
