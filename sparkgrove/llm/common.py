@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, shared_dir  # noqa: F401
+
 #: A word of the size and fingerprint contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,23 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests on one machine) is a local one set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sparkgrove-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends there,
     and a lost executor costs a reread, not a recomputation."""

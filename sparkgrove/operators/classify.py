@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import to_long, width_of
+from ..shared import fresh_path
 
 #: Least variance of a feature in a class.
 VARIANCE_FLOOR = 1e-9
-#: Test rows sent to all tasks at a time by nearest neighbours.
+#: Test rows that tasks of nearest neighbours read at a time.
 TEST_BLOCK = 20_000
+#: Numbers of one product of test and training rows at most, in doubles 32 MB.
+PRODUCT = 4_000_000
 #: Numbers of a closed-form model at most; it goes to every task.
 MAX_MODEL = 5_000_000
 
@@ -66,38 +69,43 @@ def gaussian_nb(train: DataFrame, test: DataFrame) -> DataFrame:
     return _least(train, test, minus_log)
 
 
-def _neighbours(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _neighbours(tiles: str, k: int):
     """Task function: the k nearest of each batch of training rows for every test row."""
-    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import dataset
+
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["features"].to_numpy())
-            near = np.round(unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, 9)
-            train_ids, labels = pdf["entity_id"].to_numpy(), pdf["label"].to_numpy()
-            order = np.lexsort((np.broadcast_to(train_ids, near.shape), -near), axis=1)[:, :k]
-            row = np.repeat(np.arange(len(ids)), order.shape[1])
-            at = order.ravel()
-            yield pd.DataFrame({"entity_id": ids[row], "near": near[row, at], "train_id": train_ids[at], "vote": labels[at]})
+            x, train_ids, labels = _unit(np.stack(pdf["features"].to_numpy())), pdf["entity_id"].to_numpy(), pdf["label"].to_numpy()
+            for tile in dataset.dataset(tiles, format="parquet").to_batches(batch_size=TEST_BLOCK, batch_readahead=1, fragment_readahead=1):
+                step = max(1, PRODUCT // len(x))
+                for part in (tile.slice(at, step) for at in range(0, tile.num_rows, step)):
+                    ids = part.column("entity_id").to_numpy()
+                    near = np.round(_unit(part.column("features").flatten().to_numpy().reshape(len(ids), -1)) @ x.T, 9)
+                    least = np.partition(near, -min(k, len(x)), axis=1)[:, -min(k, len(x)), None]
+                    row, at = np.nonzero(near >= least)  # with all ties of the last one
+                    order = np.lexsort((train_ids[at], -near[row, at], row))
+                    row, at = row[order], at[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, at = row[best], at[best]
+                    yield pd.DataFrame({"entity_id": ids[row], "near": near[row, at], "train_id": train_ids[at], "vote": labels[at]})
 
     return run
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Majority class of the k nearest training rows by cosine (rounded to 9 places).
-    Ties in distance go to the lower id, in votes to the lower label."""
-    n_blocks = -(-test.count() // TEST_BLOCK)
-    parts = None
-    for i in range(max(1, n_blocks)):  # one for every TEST_BLOCK test rows or so
-        block = test.where(F.pmod(F.xxhash64("entity_id"), F.lit(max(1, n_blocks))) == i).select("entity_id", "features").toPandas()
-        if len(block):
-            run = _neighbours(block["entity_id"].to_numpy(), np.stack(block["features"].to_numpy()), k)
-            found = train.select("entity_id", "features", "label").mapInPandas(run, "entity_id long, near double, train_id long, vote int")
-            parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return test.select("entity_id", "label", F.col("label").alias("predicted")).limit(0)
+    Ties in distance go to the lower id, in votes to the lower label. Test rows lie in
+    the shared folder, and every task with training rows streams them."""
+    tiles = fresh_path(test.sparkSession, "test-tiles")
+    test.select("entity_id", "features").write.option("maxRecordsPerFile", 64 * TEST_BLOCK).parquet(tiles)
+    parts = train.select("entity_id", "features", "label").mapInPandas(_neighbours(tiles, k), "entity_id long, near double, train_id long, vote int")
     nearest = Window.partitionBy("entity_id").orderBy(F.col("near").desc(), "train_id")
     votes = parts.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= k).groupBy("entity_id", "vote").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("entity_id").agg(F.min(F.struct((-F.col("n")).alias("down"), "vote"))["vote"].alias("predicted"))

@@ -124,6 +124,22 @@ def test_test_blocks_give_the_same_neighbours(raw, monkeypatch):
     assert sorted(map(tuple, classify.knn_classify(*catalogue.split(raw)).collect())) == whole
 
 
+def test_neighbours_do_not_pass_through_the_driver(raw, monkeypatch):
+    whole = sorted(map(tuple, classify.knn_classify(*catalogue.split(raw)).collect()))
+
+    def fetched(*_):
+        raise AssertionError("rows were fetched")
+
+    for name, value in (("TEST_BLOCK", 30), ("PRODUCT", 100)):
+        monkeypatch.setattr(classify, name, value, raising=False)
+    for name in ("toPandas", "collect", "toArrow"):
+        monkeypatch.setattr(type(raw), name, fetched)
+    made = classify.knn_classify(*catalogue.split(raw))
+    monkeypatch.undo()
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sorted(map(tuple, made.collect())) == whole
+
+
 def test_kmeans_finds_planted_classes(planted):
     clusters = clustering.kmeans(planted, 10).persist()
     table = clustering.cluster_by_class(clusters, planted).collect()
