@@ -8,9 +8,14 @@ its text consumed. Further kinds add spans and never remove any:
 
 ``mailbox``     an email whose name part goes on in letters that are not ASCII
 ``login``       user and password in a URL, ``scheme://user:password@``
-``iban``        an account number that passes its mod-97 check
-``identifier``  a number after a cue such as ``ssn`` or ``passport``
+``iban``        an account number that passes its mod-97 check, in its country's length
+                if that passes, else in the greatest length that does
+``identifier``  a number after a cue such as ``ssn`` or ``passport``, with five digits
+                in its first 20 characters, to its end; past those a part after a space
+                belongs to it if it holds a digit
 ``secret``      a value of 16 or more characters after a cue such as ``token =``
+``address``     an address with a scheme, its host a dotted name or an IP address and its
+                port in range; without the signs of the sentence that follow it
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no
 spans. Repeated rows get a row each. Only doc_id and text are read.
@@ -19,6 +24,7 @@ spans. Repeated rows get a row each. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("mailbox", "login", "iban", "identifier", "secret")
+MORE_KINDS = ("mailbox", "login", "iban", "identifier", "secret", "address")
 _KINDS = {k: i for i, k in enumerate(BASE_KINDS + MORE_KINDS)}
 #: Cue words (lower case) and what they announce.
 CUES = {
@@ -47,6 +53,19 @@ _LOGIN = re.compile(r"([^\s/@:]+):([^\s/@]+)@")
 _AFTER = re.compile(r"(?:\s+(?:number|no|nr|id|is))?\.?\s*[:=#]?\s*[\"']?")
 _NUMBER = re.compile(r"[0-9A-Z](?:[ -]?[0-9A-Z]){4,19}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    text[:2]: int(text[2:])
+    for text in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 "
+        "NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+_MORE = re.compile(r"[0-9A-Z]*+(?:-[0-9A-Z]++| (?=[A-Z]*+[0-9])[0-9A-Z]++)*+")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+_HOST = re.compile(r"(?:[^\s/?#@\"'<>]*+@)?(?:\[([0-9A-Fa-f:.]++)\]|([\w.-]++))(?::([0-9]++))?")
+_PATH = re.compile(r"(?:[/?#][^\s\"'<>]*+)?")
 _SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_\-/+.]{16,})")
 Span = tuple[str, int, int]
 
@@ -84,6 +103,39 @@ def _email(text: str, at: int, free: int) -> Span | None:
     return ("email", start, domain.end()) if domain and start < at else None
 
 
+def _is_host(name: str) -> bool:
+    """A dotted name, or four numbers of an IP address."""
+    parts = name.removesuffix(".").split(".")
+    if parts[-1].isdecimal():
+        return bool(_IP.fullmatch(name)) and all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in parts)
+    return len(parts) > 1 and all(0 < len(x) < 64 and x[0] != "-" != x[-1] for x in parts)
+
+
+def _is_ipv6(name: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(name))
+    except ValueError:
+        return False
+
+
+def _address(text: str, at: int, free: int) -> Span | None:
+    """Around the ``://`` at ``at``, from ``free`` on."""
+    start = at
+    while start > free and text[start - 1] in _SCHEME:
+        start -= 1
+    while start < at and not text[start].isalpha():
+        start += 1
+    m = _HOST.match(text, at + 3)
+    if start == at or not m or m[3] and (len(m[3]) > 5 or int(m[3]) > 65535) or not (_is_ipv6(m[1]) if m[1] else _is_host(m[2].rstrip("."))):
+        return None
+    end = _PATH.match(text, m.end()).end()
+    open_brackets = text.count("(", at, end) - text.count(")", at, end)
+    while text[end - 1] in ".,;:!?*" or text[end - 1] == ")" and open_brackets < 0:
+        end -= 1
+        open_brackets += text[end] == ")"
+    return ("address", start, end)
+
+
 def _lowered(text: str) -> str:
     """Lower case that keeps every offset."""
     low = text.lower()
@@ -127,6 +179,9 @@ def spans(text: str | None, automaton) -> list[Span]:
         elif what == ":":
             if m := _LOGIN.match(text, last + 1):
                 found.append(("login", m.start(), m.end() - 1))
+            if span := _address(text, last - 2, ends["address"]):
+                found.append(span)
+                ends["address"] = span[2]
         elif last + 1 >= ends[what] and (span := _announced(what, text, last + 1)):
             found.append(span)
             ends[what] = span[2]
@@ -145,9 +200,19 @@ def _announced(kind: str, text: str, at: int) -> Span | None:
     start = _AFTER.match(text, at).end()
     if kind == "iban":
         m = _IBAN.match(text, start)
-        return (kind, *m.span()) if m and mod97(m[0]) else None
+        end = next((end for end in _iban_ends(m[0]) if mod97(m[0][:end])), 0) if m else 0
+        return (kind, start, start + end) if end else None
     m = _NUMBER.match(text, start)
-    return (kind, *m.span()) if m and len(_digits_of(m[0])) >= 5 else None
+    return (kind, start, _MORE.match(text, m.end()).end()) if m and len(_digits_of(m[0])) >= 5 else None
+
+
+def _iban_ends(text: str) -> list[int]:
+    """Where an account number at the start may end: its country's length, then the
+    longest first."""
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    n = _IBAN_LENGTHS.get(text[:2], 0)
+    whole = [end for end in ends[:13:-1] if end == len(text) or text[end] == " "]
+    return ends[n - 1 : n] * (n > 0) + whole
 
 
 def joined(found: list[Span]) -> str:

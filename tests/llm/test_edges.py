@@ -318,8 +318,24 @@ def test_more_spans(docs):
     assert pii.personal_data(docs).count() == len(CASES) and pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_account_and_address_boundaries():
+    number, card = "DE89 3704 0044 0532 0130 00", "1234-5678-9012-3456-7890-1234-5678"
+    cases = {
+        f"IBAN {number} BIC COBADEFF": ("iban", number), f"iban: {number.replace(' ', '')} 2024 Rent": ("iban", number.replace(" ", "")), f"IBAN {number}": ("iban", number),
+        f"IBAN {number} Please pay": ("iban", number), "IBAN NO93 8601 1117 947 OSLO": ("iban", "NO93 8601 1117 947"), "IBAN DE89 3704 0044 0532 0130 01 BIC": None,
+        f"account number {card} is": ("identifier", card), f"acct {'9' * 40}.": ("identifier", "9" * 40), f"acct 1234 5678 9012 3456 7890 1234 {'AB' * 9}": ("identifier", "1234 5678 9012 3456 7890 1234"),
+        "see (https://a.example.org:8080/x_(y)?q=1#z).": ("address", "https://a.example.org:8080/x_(y)?q=1#z"), "git+ssh://me@10.0.0.1/x, and": ("address", "git+ssh://me@10.0.0.1/x"),
+        "at http://[2001:db8::1]:80/ or": ("address", "http://[2001:db8::1]:80/"), 'href="http://münchen.de">': ("address", "http://münchen.de"), "http://localhost/ 1://a.b http://300.1.1.1/ http://a.b:99999/ ://": None,
+    }
+    for text, want in cases.items():
+        found = [(k, text[s:e]) for k, s, e in pii.spans(text, pii.anchors()) if k in ("iban", "identifier", "address")]
+        assert found == ([want] if want else []), text
+
+
 def test_long_runs_of_digits_take_linear_time():
     assert pii.spans("1" * 200_000 + "@" * 50_000, pii.anchors()) == []
+    for part in ("ACCT", "ACCT ", "a://", "a://b.c", "://", "IBAN ", "IBAN DE89 3704 ", "a://b.c)"):
+        pii.spans(part * 50_000, pii.anchors())
 
 
 def test_toxicity_edges(docs, labels):
