@@ -3,9 +3,10 @@
 Each source is a flow whose documents wait in a shuffled order, pass after pass. A
 document's virtual finish time is the number of its source's words served when it
 ends, over the source's target: all sources reach virtual time 1 together, with the
-total budget spent. Copies of documents are sorted globally by virtual finish time
-and the stream is cut where the budget ends; the copy of each source that is being
-served at that moment is cut there too, so every source takes its target to the word.
+total budget spent. So the budget ends where each source has its target: the words taken
+of a copy follow from its start and that target, without a sort (``taken``), and the copy
+of each source that is being served at that moment is cut there, so every source takes its
+target to the word. ``mix`` and ``mixed_rows`` sort what is taken by virtual finish time.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share the
 budget (all words); no target exceeds ``max_epochs`` times its source's size, and the
