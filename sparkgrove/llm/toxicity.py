@@ -4,7 +4,9 @@ Texts are lower-cased, and homoglyphs, digits and signs that stand for letters a
 folded. The lexicon holds word beginnings, learned from labelled documents: Spark
 counts in how many toxic and clean ones each word occurs, beginnings sum their words,
 and those whose log odds surely suffice are taken, each as long as it
-stays without losing support. Exception phrases (a hit with the word before or after
+stays without losing support. Words shorter than the shortest beginning are taken under
+the same bounds, and hit whole words only; so in scripts without spaces they hit where
+other signs part them from the text around. Exception phrases (a hit with the word before or after
 it) are learned where a beginning also occurs in clean documents; a hit inside one does
 not count. The sum of weights, normalised by the text's length, gives the score through
 a logistic curve fitted on the same documents.
@@ -78,12 +80,14 @@ class Lexicon:
 
     def hits(self, text: str, automaton) -> list[tuple[int, int, float]]:
         """(start, end of the term, weight): the longest term of each word that
-        begins with one, but for those inside exception phrases."""
+        begins with one, or is a short one, but for those inside exception phrases."""
         best: dict[int, tuple[int, float]] = {}
         for last, (n, weight) in automaton.iter(text) if self.weights else ():
             start = last - n + 1
             if start and text[start - 1].isalnum():
                 continue
+            if n < min(BEGINNINGS) and text[last + 1 : last + 2].isalnum():
+                continue
             if start not in best or best[start][0] < last + 1:
                 best[start] = (last + 1, weight)
         found = [(s, e, w) for s, (e, w) in best.items()]
@@ -133,7 +137,7 @@ def _terms(labelled: DataFrame) -> dict[str, float]:
         return {}
     begins = [F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in BEGINNINGS]
     words = _counted(labelled).select(F.explode(F.array_distinct(F.array_compact(F.array(*begins, F.col("word"))))).alias("term"), "t", "n")
-    terms = words.groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c")).where(F.length("term") >= min(BEGINNINGS))
+    terms = words.groupBy("term").agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("t")).alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     bound = weight - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     strong = terms.withColumn("weight", weight).where((F.col("t") >= MIN_SUPPORT) & (bound >= MIN_WEIGHT))

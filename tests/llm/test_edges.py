@@ -354,6 +354,16 @@ def test_toxicity_learns_and_folds(spark):
     assert min(score(t) for t in ("what an idiot", "what an 1d10t", "what an ІDIOT!", "IDIOTS")) > 0.7 > max(score(t) for t in ("what a friend", "", None and "", "videidiot"))
 
 
+def test_toxicity_learns_short_words_as_whole_ones(spark):
+    rows = [(i, ("you are a zog friend " if i % 4 == 0 else "you are a zogal friend ") + f"w{i}" + (" 坏" if i % 8 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    automaton = lexicon.automaton()
+    hit = lambda t: len(lexicon.hits(toxicity.folded(t), automaton))
+    assert {"zog", "坏"} <= set(lexicon.weights) and [hit(t) for t in ("a z0g!", "ZOG", "zog_", "zogal", "hezog", "zogs", "(坏)", "坏人")] == [1, 1, 1, 0, 0, 0, 1, 0]
+    assert lexicon.score("what a zog", automaton) > 0.7 > lexicon.score("what a zogal", automaton)
+
+
 def test_held_out_accuracy(spark):
     big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
