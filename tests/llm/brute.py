@@ -119,11 +119,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return found
 
 
-def mix_counts(rows: list[tuple[int, str | None, int]]) -> dict[int, list[int]]:
-    """(doc_id, source, size) → words taken in each of three passes."""
-    sizes = defaultdict(int)
-    for _, source, size in rows:
-        sizes[source] += size
+def mix_targets(sizes: dict) -> dict:
+    """Source → words it should get."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
     target, free = {}, set(names)
@@ -131,17 +128,39 @@ def mix_counts(rows: list[tuple[int, str | None, int]]) -> dict[int, list[int]]:
         level = (sum(sizes.values()) - sum(target.values())) / max(1, sum(weight[s] for s in free))
         above = {s for s in free if level * weight[s] > 3 * sizes[s]}
         if not above:
-            break
+            return target | {s: level * weight[s] for s in free}
         target |= {s: 3.0 * sizes[s] for s in above}
         free -= above
-    target |= {s: level * weight[s] for s in free}
-    out = {}
-    for name in names:
+
+
+def mix_queue(rows: list[tuple[int, str | None, int]], packet: int = 256) -> list[tuple]:
+    """(doc_id, source, size) → the queue in its order: (finish, source, doc_id, pass,
+    words served) of each packet, 0 after the budget is spent."""
+    sizes = defaultdict(int)
+    for _, source, size in rows:
+        sizes[source] += size
+    target, waiting = mix_targets(sizes), []
+    for name in sizes:
         own = sorted((r for r in rows if r[1] == name), key=lambda r: (hashlib.md5(f"mix:{r[0]}:{r[2]}".encode()).hexdigest(), r[0]))
         at = 0
-        for doc_id, _, size in own:
-            out[doc_id] = [max(0, min(size, int(target[name]) - at - e * sizes[name])) for e in range(3)]
-            at += size
+        for e in range(3):
+            for doc_id, _, size in own:
+                for k in range(0, size, packet):
+                    words = min(packet, size - k)
+                    at += words
+                    waiting.append((at / target[name], name is None, name or "", at, doc_id, e, words))
+    left, out = sum(sizes.values()), []
+    for finish, none, name, _, doc_id, e, words in sorted(waiting):
+        out.append((finish, None if none else name, doc_id, e, min(words, left)))
+        left -= out[-1][-1]
+    return out
+
+
+def mix_counts(rows: list[tuple[int, str | None, int]]) -> dict[int, list[int]]:
+    """(doc_id, source, size) → words taken in each of three passes."""
+    out = {doc_id: [0, 0, 0] for doc_id, _, _ in rows}
+    for _, _, doc_id, e, words in mix_queue(rows):
+        out[doc_id][e] += words
     return out
 
 

@@ -275,29 +275,52 @@ def test_html_never_fails(html):
 
 def test_mixing(docs):
     sized = mixing.sized(docs)
-    copies = mixing.schedule(sized)
-    assert copies.count() == 3 * len(CASES)
-    per = copies.groupBy("source", "target", "source_size").agg(F.sum("taken").alias("taken")).collect()
-    assert all(abs(r.taken - r.target) <= 1 and r.target <= 3 * r.source_size for r in per)
+    packets = mixing.served(mixing.schedule(sized))
+    copies = packets.groupBy("doc_id", "source", "size", "epoch", "copy").agg(F.sum("words").alias("words"))
+    assert copies.count() == 3 * len(CASES) and copies.where("words != size").count() == 0
+    per = packets.groupBy("source", "target", "source_size", "budget").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= mixing.PACKET and r.target <= 3 * r.source_size for r in per)
+    assert {r.budget for r in per} == {sum(r.taken for r in per)} == {sum(r.source_size for r in per)}
     order = [r.finish for r in mixing.mix(sized).collect()]
     assert order == sorted(order)
     assert mixing.mixed_rows(docs).columns == docs.columns
     assert mixing.schedule(sized.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).count() == 0
+    none = sized.where("size = 0")
+    assert {r.taken for r in mixing.served(mixing.schedule(none)).collect()} == {0}
+
+
+def test_the_stream_is_range_partitioned_by_virtual_time(docs):
+    plan = mixing.served(mixing.schedule(mixing.sized(docs)))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(tick" in plan
 
 
 @settings(max_examples=20, deadline=None)
 @given(sizes=st.lists(st.integers(0, 10_000), min_size=1, max_size=9))
 def test_targets_are_those_of_repeated_resharing(spark, sizes):
-    rows = [(i, f"s{i}", n) for i, n in enumerate(sizes)]
-    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([r[1:] for r in rows], "source string, source_size long")).collect()}
-    want = {f"s{i}": sum(v) for i, v in brute.mix_counts(rows).items()}
-    assert all(abs(got[s] - want[s]) <= 1 for s in want) and abs(sum(got.values()) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
-
-
-def test_buckets_do_not_change_the_mix(docs, monkeypatch):
-    whole = values(mixing.schedule(mixing.sized(docs)), "doc_id", "source", "epoch", "copy", "start", "taken")
-    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 2)
-    assert values(mixing.schedule(mixing.sized(docs)), "doc_id", "source", "epoch", "copy", "start", "taken") == whole
+    of = {f"s{i}": n for i, n in enumerate(sizes)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(of.items()), "source string, source_size long")).collect()}
+    want = brute.mix_targets(of)
+    assert all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want) and abs(sum(got.values()) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
+
+
+@pytest.mark.parametrize("packet", [256, 7])
+def test_long_documents_of_few_sources_are_queued(spark, monkeypatch, packet):
+    monkeypatch.setattr(mixing, "PACKET", packet)
+    rows = [(i, [None, "a", "b", "ü"][i % 7 % 4], (i * 37) % 300 + (5_000 if i % 11 == 3 else 0)) for i in range(60)]
+    got = mixing.served(mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string, size long")))
+    taken = {(r.doc_id, r.epoch): r.n for r in got.groupBy("doc_id", "epoch").agg(F.sum("taken").alias("n")).collect()}
+    want = dict.fromkeys(taken, 0)
+    for _, _, doc_id, e, words in brute.mix_queue(rows, packet):
+        want[doc_id, e] += words
+    assert taken == want
+
+
+def test_buckets_and_ticks_do_not_change_the_mix(docs, monkeypatch):
+    names = ("doc_id", "source", "epoch", "copy", "packet", "start", "taken")
+    whole = values(mixing.served(mixing.schedule(mixing.sized(docs))), *names)
+    for name in ("ROWS_PER_BUCKET", "PACKETS_PER_TICK"):
+        monkeypatch.setattr(mixing, name, 2)
+    assert values(mixing.served(mixing.schedule(mixing.sized(docs))), *names) == whole
 
 
 @settings(max_examples=300, deadline=None)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import brute
 import pytest
 
-from sparkgrove.llm import registry
+from sparkgrove.llm import mixing, registry
 
 
 def rows(spark, sf_dir, name: str, *columns: str) -> list[tuple]:
@@ -58,13 +59,21 @@ def test_personal_data(answer, documents):
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(row.spans.split(",")) | {""}
 
 
+def test_mixing_is_the_queue(answer, spark, sf_dir):
+    sized = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows(spark, sf_dir, "documents", "doc_id", "source", "text")]
+    want = brute.mix_counts(sized)
+    got = answer("op6_mixing")
+    assert {r.doc_id: r.taken for r in got} == {i: sum(x) for i, x in want.items()}
+    assert sum(r.taken for r in got) == sum(n for _, _, n in sized)
+
+
 def test_mixing_meets_its_targets(answer):
     sums = {}
     for r in answer("op6_mixing"):
         assert 0 <= r.taken <= 3 * r.size
         sums[r.target, r.source_size] = sums.get((r.target, r.source_size), 0) + r.taken  # one for each source
     for (target, size), taken in sums.items():
-        assert target <= 3 * size and abs(taken - target) <= 1
+        assert target <= 3 * size and abs(taken - target) <= mixing.PACKET
 
 
 def test_main_text_is_the_article(answer):
