@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkgrove import ship
 from sparkgrove.llm import decontam, mixing, simhash, token_store, toxicity
-from sparkgrove.llm.common import materialize, table
+from sparkgrove.llm.common import in_files, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store of the mix, read back by key: doc_id, start, n_tokens, ids_crc32."""
-    return token_store.written_and_read(docs)
+    """The token store of the mix, its shards in the mix's order (that of the rows in
+    their files), read back by key: doc_id, start, n_tokens, ids_crc32."""
+    return token_store.written_and_read(docs, order=in_files(docs))
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,5 +24,17 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_files(docs: DataFrame) -> list[Column] | None:
+    """Columns by which rows of files that Spark wrote sort as they lie in them: the
+    files by the numbers of their tasks. None for rows that are not read from files."""
+    name = F.col("_metadata.file_name")
+    place = [F.regexp_extract(name, "^part-([0-9]+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

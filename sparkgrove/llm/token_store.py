@@ -2,28 +2,32 @@
 
 Layout of a store, all under one folder:
 
-``shards/NNNNNN.ids``   raw little-endian ids of a range of documents, two bytes each
+``shards/N.ids``        raw little-endian ids of consecutive documents, two bytes each
                         where the vocabulary allows it, else four; no headers
 ``docs/``               Parquet directory: doc_id, copy, shard, offset, n_tokens
+``positions/``          Parquet: shard, first (ids in all shards before it)
 ``index/NNNNNN.mph``    minimal perfect hash of one bucket of keys: bit vectors of its
                         levels, then fingerprint, shard, offset and length by slot
-``manifest.json``       id width, shards with their first position, buckets; written last
-
-Documents are range-sorted by doc_id (nulls last, equal ids by text), encoded, and each
-partition streams its ids to one shard. A key is (doc_id, copy), copy counting rows of
-equal doc_id from 0. To look a key up, its bucket and slot are computed, the stored
-fingerprint is compared, and the slot's offset leads to the ids: constant time. The hash
-is built level by level (Limasset et al., 2017): keys alone in their cell of a bit vector
-settle there, others go to the next level; the rank of the cell is the slot.
-
-Encoding: for tokenizers that drop white space (``by_words``) each distinct word is
-encoded once with the tokenizers library and remembered in the task's process; one
-document of every slice is also encoded whole, and a difference raises.
+``manifest.json``       id width, totals, buckets; written last
+
+Documents are range-sorted, by doc_id (nulls last, equal ids by text) or by the caller's
+order, encoded, and each partition streams its ids to shards of at most ``SHARD_IDS`` ids
+or one document. A key is (doc_id, copy), copy counting rows of equal doc_id from 0 in
+that order. To look a key up, its bucket and slot are computed, the stored fingerprint is
+compared, and the slot's offset leads to the ids: constant time. The hash is built level by
+level (Limasset et al., 2017): keys alone in their cell of a bit vector settle there,
+others go to the next level; the rank of the cell is the slot.
+
+Encoding: a tokenizer whose file has the normalizer and the pre-tokenizer of ``_BY_WORDS``
+drops white space and splits words from each other before anything else, so each distinct
+word is encoded once with the tokenizers library and remembered in the task's process; one
+document of every slice is also encoded whole, and a difference raises. Any other
+tokenizer encodes whole texts.
 
 Defined results: null texts are empty and hold the end id only. Null doc_ids are keys
 of their own. Repeated rows are documents of their own. An empty table gives a store
-without shards. Columns besides doc_id and text are not read. A lost executor's tasks
-run again and move the same files into place.
+without shards. Columns besides doc_id, text and the order's are not read. A lost
+executor's tasks run again and move the same files into place.
 """
 
 from __future__ import annotations
@@ -33,13 +37,14 @@ import json
 import string
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table
@@ -48,13 +53,33 @@ from .storage import located, read_bytes, written
 END_ID = 1
 #: UTF-8 bytes encoded at a time, and words remembered by one process.
 SLICE_BYTES, MEMORY = 2 << 20, 500_000
+#: Ids of a shard, and of what is read back at a time; a longer document stands alone.
+SHARD_IDS, READ_IDS = 1 << 26, 1 << 20
 #: Keys of an index bucket at most, on average; bits a key in each level of the hash.
 BUCKET_KEYS, GAMMA, LEVELS = 1 << 16, 2, 40
 _U = np.uint64
 
-
-#: Words that show whether a tokenizer makes one piece of letters, one of punctuation.
-_SAMPLES = ("Ab", "aB.", "\u00c9cole,", "stra\u00dfe###", "\u00fcber!?", "\u00d1and\u00fa...", "\u0396\u03c9\u03ae;", "\u0416\u0443\u043a&&&")
+#: The parts of a tokenizer file with which words are encoded apart.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer file's content is one that encodes words apart."""
+    tokens = config.get("added_tokens") or []
+    apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokens)
+    # nor may a special token look like a word of letters with punctuation after it
+    odd = all((body := t["content"].rstrip(string.punctuation)) and not body.isalpha() for t in tokens)
+    return apart and odd and config["model"]["type"] == "BPE" and all(config.get(k) == v for k, v in _BY_WORDS.items())
 
 
 class _Letters(dict):
@@ -75,27 +100,22 @@ class Encoder:
 
     _kept: dict = {}
 
-    def __init__(self, path: str, by_words: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words(json.loads(Path(path).read_text()))
         self.model, self.normalizer, self.pre = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.special = {t.content: [i] for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = sorted(self.special, key=len, reverse=True)
-        if by_words:
-            self.letters, self.plain = _Letters(self._split), True
-            # a special token must not look like a plain word
-            self.plain = all(self._pieces(w) == self._split(w) for w in _SAMPLES) and not any(
-                a.rstrip(string.punctuation).isalpha() or not a.rstrip(string.punctuation) for a in self.added
-            )
+        self.letters = _Letters(self._split)
         self.forget()
 
     @classmethod
-    def of(cls, path: str, by_words: bool) -> Encoder:
+    def of(cls, path: str) -> Encoder:
         """One for each process, so that words stay known from task to task."""
-        if (path, by_words) not in cls._kept:
-            cls._kept[path, by_words] = cls(path, by_words)
-        return cls._kept[path, by_words]
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
@@ -113,7 +133,7 @@ class Encoder:
         """As the tokenizer splits a word; letters with punctuation after them, the
         most frequent case, are put together from what it makes of single letters."""
         body = word.rstrip(string.punctuation)
-        if self.plain and body.isalpha() and is_normalized("NFC", body):
+        if body.isalpha() and is_normalized("NFC", body):
             whole = body.translate(self.letters)
             if "\0" not in whole:
                 return [whole, word[len(body) :]] if len(body) < len(word) else [whole]
@@ -156,7 +176,7 @@ class Encoder:
         if len(texts):
             whole = self.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids
             if not np.array_equal(whole, ids[: bounds[1]]):
-                raise ValueError("this tokenizer's ids depend on white space: encode with by_words=False")
+                raise ValueError("this tokenizer's ids of words depend on their neighbours")
         return ids, np.diff(bounds)
 
 
@@ -177,35 +197,32 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at += n
 
 
-def _shards(path: str, tokenizer: str, by_words: bool, width: int, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
+def _shards(path: str, tokenizer: str, width: int, end_id: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        shard, attempt, at, held, copies = context.partitionId(), context.taskAttemptId(), 0, None, 0
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        encoder = Encoder.of(tokenizer, by_words)
-        with written(f"{path}/shards/{shard:06d}.ids", str(attempt)) as out:
-            for batch in (b for part in ([first], batches) for b in part):
-                texts = pc.fill_null(batch.column(1), "")
-                for row, part in _slices(texts):
-                    ids, counts = encoder.encode(part)
-                    out.write(_with_end(ids, counts, end_id).astype(f"<u{width}").tobytes())
-                    n = counts + 1
-                    keys = batch.column(0).slice(row, len(part))
-                    copy = []
-                    for key in keys.to_pylist():
-                        copies = copies + 1 if held == (key,) else 0
-                        held = (key,)
-                        copy.append(copies)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys, pa.array(copy, pa.int64()), pa.array(np.full(len(part), shard, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n)], schema=schema
-                    )
-                    at += int(n.sum())
+        shard, attempt, encoder = context.partitionId() << 20, str(context.taskAttemptId()), Encoder.of(tokenizer)
+        # slices of the task's documents: keys, ids with end ids, lengths
+        made = (
+            (batch.column(0).slice(row, len(part)), _with_end(ids, counts, end_id), counts + 1)
+            for batch in batches
+            for row, part in _slices(pc.fill_null(batch.column(1), ""))
+            for ids, counts in [encoder.encode(part)]
+        )
+        waiting = next(made, None)
+        while waiting:
+            at = 0
+            with written(f"{path}/shards/{shard}.ids", attempt) as out:
+                while waiting and (not at or at + len(waiting[1]) <= SHARD_IDS):
+                    keys, ids, n = waiting
+                    out.write(ids.astype(f"<u{width}").tobytes())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(n), shard)), pa.array(at + np.cumsum(n) - n), pa.array(n)], schema=schema)
+                    at += len(ids)
+                    waiting = next(made, None)
+            shard += 1
 
     return run
 
@@ -280,7 +297,7 @@ def _index(path: str):
         out = io.BytesIO()
         np.savez(
             out, sizes=perfect.sizes, bits=perfect.bits, rest=perfect.rest, prints=_prints(ids, none, copies)[order],
-            shard=pdf["shard"].to_numpy(np.int32)[order], offset=pdf["offset"].to_numpy(np.int64)[order], n=pdf["n_tokens"].to_numpy(np.int64)[order],
+            shard=pdf["shard"].to_numpy(np.int64)[order], offset=pdf["offset"].to_numpy(np.int64)[order], n=pdf["n_tokens"].to_numpy(np.int64)[order],
         )
         with written(f"{path}/index/{bucket:06d}.mph", str(TaskContext.get().taskAttemptId())) as stream:
             stream.write(out.getvalue())
@@ -294,57 +311,43 @@ def _bucketed(keys: DataFrame, n_buckets: int) -> DataFrame:
     return keys.withColumns({"key": key, "bucket": F.pmod(F.xxhash64("doc_id", "copy"), F.lit(n_buckets)).cast("int")})
 
 
-def _carried(shards: list) -> list[tuple[int, int | None, int]]:
-    """(shard, doc_id, copies in earlier shards) where a doc_id goes on from one shard
-    to the next; one row for each shard at most."""
-    found, held, n = [], None, 0
-    for r in shards:
-        goes_on = held is not None and held[0] == r["low"]["doc_id"]
-        base = n if goes_on else 0
-        if base:
-            found.append((r["shard"], r["low"]["doc_id"], base))
-        last = r["high"]["doc_id"]
-        n = r["high"]["copy"] + 1 + (base if last == r["low"]["doc_id"] else 0)
-        held = (last,)
-    return found
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with copy: counted per id and shard first, so that no task holds all rows
+    of an id."""
+    inside = F.row_number().over(Window.partitionBy("doc_id", "shard").orderBy("offset")) - 1
+    earlier = Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    per_shard = rows.groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    goes_on = per_shard.select(F.col("doc_id").alias("of"), F.col("shard").alias("of_shard"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).where("base > 0")
+    joined = rows.withColumn("inside", inside).join(goes_on, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard")), "left")
+    return joined.select("doc_id", (F.col("inside") + F.coalesce("base", F.lit(0))).alias("copy"), "shard", "offset", "n_tokens")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, by_words: bool = True, end_id: int = END_ID) -> dict:
-    """Encodes ``docs`` (doc_id, text) into a new store at ``path``; returns its manifest."""
+def write(docs: DataFrame, path: str, tokenizer: str, order: list[Column] | None = None, end_id: int = END_ID) -> dict:
+    """Encodes ``docs`` (doc_id, text) into a new store at ``path``, in ``order`` or by
+    doc_id; returns its manifest."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id) < 1 << 16 else 4
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = given.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()
-    )
-    made = ordered.mapInArrow(_shards(path, tokenizer, by_words, width, end_id), "doc_id long, copy long, shard int, offset long, n_tokens long")
+    by = order or [F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text")]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by{i}") for i, c in enumerate(by)])
+    by = [F.col(f"by{i}").asc_nulls_last() for i in range(len(by))]
+    ordered = given.repartitionByRange(*by[: 2 if order is None else None]).sortWithinPartitions(*by).select("doc_id", "text")
+    encoded = ordered.mapInArrow(_shards(path, tokenizer, width, end_id), "doc_id long, shard long, offset long, n_tokens long")
+    encoded.write.parquet(f"{path}/encoded")
+    made = _numbered(spark.read.schema(encoded.schema).parquet(f"{path}/encoded"))
     made.write.parquet(f"{path}/docs")
     rows = spark.read.schema(made.schema).parquet(f"{path}/docs")
-    ends = F.struct("offset", "doc_id", "copy")
-    shards = sorted(
-        rows.groupBy("shard").agg(F.min(ends).alias("low"), F.max(ends).alias("high"), F.sum("n_tokens").alias("ids"), F.count(F.lit(1)).alias("docs")).collect(),
-        key=lambda r: r["shard"],
-    )  # a row for each file
-    directory = "docs"
-    if carried := _carried(shards):
-        more = F.broadcast(spark.createDataFrame(carried, "shard int, doc_id long, base long"))  # a row for each file at most
-        joined = rows.alias("r").join(more.alias("m"), (F.col("r.shard") == F.col("m.shard")) & F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")), "left")
-        copy = (F.col("r.copy") + F.coalesce("m.base", F.lit(0))).alias("copy")
-        directory = "docs-numbered"
-        joined.select("r.doc_id", copy, "r.shard", "r.offset", "r.n_tokens").write.parquet(f"{path}/{directory}")
-        rows = spark.read.schema(made.schema).parquet(f"{path}/{directory}")
-    first, at, n_docs = [], 0, 0
-    for r in shards:
-        first.append([r["shard"], at])
-        at, n_docs = at + r["ids"], n_docs + r["docs"]
-    n_buckets = max(1, n_docs // BUCKET_KEYS, min(len(shards), n_docs >> 8))
+    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first")).write.parquet(f"{path}/positions")
+    n_docs, n_ids = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_buckets = max(1, n_docs // BUCKET_KEYS, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs >> 8))
     built = _bucketed(rows, n_buckets).groupBy("bucket").applyInPandas(_index(path), "bucket int, n long")
     n_keys = built.agg(F.sum("n")).first()[0] or 0
     if n_keys != n_docs:
         raise ValueError(f"the index holds {n_keys} keys for {n_docs} documents")
-    manifest = {"width": width, "end_id": end_id, "docs": n_docs, "ids": at, "first": first, "buckets": n_buckets, "directory": directory}
+    manifest = {"width": width, "end_id": end_id, "docs": n_docs, "ids": n_ids, "buckets": n_buckets}
     store, where = located(path)
     with store.open_output_stream(f"{where}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
@@ -357,8 +360,7 @@ def manifest_of(path: str) -> dict:
 
 def keys(spark: SparkSession, path: str) -> DataFrame:
     """All keys of a store: doc_id, copy."""
-    schema = "doc_id long, copy long"
-    return spark.read.schema(schema).parquet(f"{path}/{manifest_of(path)['directory']}") if manifest_of(path)["docs"] else spark.createDataFrame([], schema)
+    return spark.read.schema("doc_id long, copy long").parquet(f"{path}/docs")
 
 
 def _find(path: str):
@@ -379,21 +381,19 @@ def locate(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """``wanted`` (doc_id, copy) → the keys that the index knows, with shard, offset and
     n_tokens. Another key passes with the chance that fingerprints agree, 2**-32."""
     found = _bucketed(wanted.select("doc_id", "copy"), manifest_of(path)["buckets"]).groupBy("bucket")
-    return found.applyInPandas(_find(path), "doc_id long, copy long, shard int, offset long, n_tokens long")
-
+    return found.applyInPandas(_find(path), "doc_id long, copy long, shard long, offset long, n_tokens long")
 
-def _read(path: str, manifest: dict, digest):
-    width, first = manifest["width"], dict(manifest["first"])
 
+def _read(path: str, width: int, digest):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, shard = pdf.sort_values("offset"), int(pdf["shard"].iloc[0])
-        store, at = located(f"{path}/shards/{shard:06d}.ids")
+        store, at = located(f"{path}/shards/{shard}.ids")
         found = []
         with store.open_input_file(at) as f:
             for offset, n in zip(pdf["offset"].tolist(), pdf["n_tokens"].tolist()):
                 f.seek(offset * width)
                 found.append(digest(np.frombuffer(f.read(n * width), f"<u{width}")))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "copy": pdf["copy"], "start": pdf["offset"] + first[shard], "n_tokens": pdf["n_tokens"], "value": found})
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "copy": pdf["copy"], "start": pdf["first"] + pdf["offset"], "n_tokens": pdf["n_tokens"], "value": found})
 
     return run
 
@@ -401,20 +401,22 @@ def _read(path: str, manifest: dict, digest):
 def read(spark: SparkSession, path: str, wanted: DataFrame, digest=None, kind: str = "array<int>") -> DataFrame:
     """Keyed access: ``wanted`` (doc_id, copy) → doc_id, copy, start, n_tokens, value:
     the ids read from the shards, or ``digest`` of them as Spark type ``kind``."""
-    found = locate(spark, path, wanted).groupBy("shard")
-    return found.applyInPandas(_read(path, manifest_of(path), digest or np.ndarray.tolist), f"doc_id long, copy long, start long, n_tokens long, value {kind}")
+    part = F.floor(F.col("offset") / READ_IDS)
+    first = spark.read.schema("shard long, first long").parquet(f"{path}/positions")
+    found = locate(spark, path, wanted).join(first, "shard").groupBy("shard", part.alias("part"))
+    return found.applyInPandas(_read(path, manifest_of(path)["width"], digest or np.ndarray.tolist), f"doc_id long, copy long, start long, n_tokens long, value {kind}")
 
 
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def written_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def written_and_read(docs: DataFrame, tokenizer: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """Writes ``docs`` to a new store in the shared folder and reads every key back."""
     import public_tokenizers
 
     path = fresh_path(docs.sparkSession, "token-store")
-    write(docs, path, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    write(docs, path, tokenizer or public_tokenizers.path("word_bpe_49k.json"), order)
     back = read(docs.sparkSession, path, keys(docs.sparkSession, path), crc32, "long")
     return back.select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
 

@@ -23,9 +23,9 @@ def token_ids(text: str | None) -> list[int]:
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def token_rows(docs: list[tuple[int, str | None]]) -> list[tuple]:
+def token_rows(docs: list[tuple[int, str | None]], by_id: bool = True) -> list[tuple]:
     out, start = [], 0
-    for doc_id, text in sorted(docs, key=lambda d: d[0]):
+    for doc_id, text in sorted(docs, key=lambda d: d[0]) if by_id else docs:
         ids = token_ids(text)
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

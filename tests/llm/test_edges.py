@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -96,13 +98,51 @@ WORDS = ["It's", "<|endoftext|>", "ÉCOLE", "straße", "x1y2", "a\u0301b", "ΑΣ
 def test_words_are_encoded_like_whole_texts(texts):
     import public_tokenizers
 
-    encoder = token_store.Encoder.of(public_tokenizers.path("word_bpe_49k.json"), True)
+    encoder = token_store.Encoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_words
     texts = [" ".join(words) for words in texts]
     ids, counts = encoder.encode(pa.array(texts, pa.string()))
     assert ids.tolist() == [i for t in texts for i in brute.token_ids(t)[:-1]]
     assert counts.tolist() == [len(brute.token_ids(t)) - 1 for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    config = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    assert token_store.by_words(config)
+    config["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"Regex": "([\u4e00-\u9fff]) "}, "content": "x"})
+    changed = str(tmp_path / "changed.json")
+    Path(changed).write_text(json.dumps(config))
+    texts = [(1, "x"), (2, "日本語 中文 a"), (3, None), (4, "it's 1 2")]
+    for path in (changed, public_tokenizers.path("byte_bpe_50k.json")):
+        assert not token_store.Encoder.of(path).by_words
+        plain = Tokenizer.from_file(path)
+        store = str(tmp_path / path.rpartition("/")[2]) + "-store"
+        token_store.write(spark.createDataFrame(texts, "doc_id long, text string"), store, path)
+        got = {r.doc_id: r.value for r in token_store.read(spark, store, token_store.keys(spark, store)).collect()}
+        assert got == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
+
+
+@pytest.mark.parametrize("ids", [1 << 26, 5])
+def test_shards_in_a_given_order(spark, tmp_path, monkeypatch, ids):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_store, "SHARD_IDS", ids)
+    monkeypatch.setattr(token_store, "READ_IDS", 3)
+    monkeypatch.setattr(token_store, "SLICE_BYTES", 20)
+    rows = [(i * 7 % 5 if i % 6 else None, f"text {i} " + "a " * (i % 4), 90 - i) for i in range(90)]
+    path, df = str(tmp_path / "store"), spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(5)
+    token_store.write(df, path, public_tokenizers.path("word_bpe_49k.json"), [F.col("place")])
+    got = sorted(token_store.read(spark, path, token_store.keys(spark, path)).collect(), key=lambda r: r.start)
+    want = sorted(rows, key=lambda r: r[2])
+    assert [(r.doc_id, r.value) for r in got] == [(i, brute.token_ids(t)) for i, t, _ in want]
+    for i in {r[0] for r in rows}:
+        assert [r.copy for r in got if r.doc_id == i] == list(range(sum(x[0] == i for x in rows)))
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+
+
 def test_top_k(spark):
     vectors = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]),
                (100, [1e300, -1e300]), (8, [0.0, 0.001]), (9, [-0.001, 0.0])]

@@ -18,10 +18,16 @@ def test_pipeline(spark, sf_dir):
     kept = [r for i, r in enumerate(kept) if parts[i] == i]
     known = brute.windows([tuple(r) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()])
     kept = [r for r in kept if not brute.decontam_row(r.text, known)[4]]
+    texts = {r.doc_id: r.text for r in kept}
     sizes = {r.doc_id: len((r.text or "").split()) for r in kept}
-    passes = brute.mix_counts([(r.doc_id, r.source, sizes[r.doc_id]) for r in kept])
-    mixed = [(r.doc_id, r.text) for r in kept for taken in passes[r.doc_id] if 2 * taken > sizes[r.doc_id]]
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(brute.token_rows(mixed))
+    queue = brute.mix_queue([(r.doc_id, r.source, sizes[r.doc_id]) for r in kept])
+    taken, finish = {}, {}
+    for at, source, doc_id, e, words in queue:
+        taken[doc_id, e] = taken.get((doc_id, e), 0) + words
+        finish[doc_id, e] = (at, source, doc_id)
+    mixed = sorted((finish[x], x[0]) for x in taken if 2 * taken[x] > sizes[x[0]])
+    got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()), key=lambda r: r[1])
+    assert got == brute.token_rows([(doc_id, texts[doc_id]) for _, doc_id in mixed], by_id=False)
     assert len(mixed) > 50
 
 
