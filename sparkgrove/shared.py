@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_made: dict[str, None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) is a local one set.
+    Only a session on one machine (master ``local``) that names none, as in tests, gets a
+    local one; on a cluster that would be another folder for each executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sparkgrove-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -22,4 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``fresh_path`` named, with all it holds."""
+    if path in _made:
+        del _made[path]
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every folder that this process has written to the shared one. Results that
+    were not written elsewhere are gone, too."""
+    for path in list(_made):
+        remove(spark, path)

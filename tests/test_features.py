@@ -169,3 +169,23 @@ def test_stream_is_scored(spark, planted, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert accuracy(spark.table("scored")) == 1.0
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from sparkgrove import shared
+
+    path = shared.fresh_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    shared.remove(spark, str(tmp_path))  # not one of ours
+    assert tmp_path.exists() and spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(shared, "_made", {path: None})
+    shared.cleanup(spark)
+    assert shared._made == {}
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path)
+    unset = SimpleNamespace(get=lambda name, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
