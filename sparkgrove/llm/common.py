@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import fresh_path, shared_dir  # noqa: F401
+from ..shared import fresh_path, remove, shared_dir  # noqa: F401
 
 #: A word of the size and fingerprint contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,26 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder for the time of a ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, kind: str) -> DataFrame:
+        path = fresh_path(self.spark, kind)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def in_files(docs: DataFrame) -> list[Column] | None:
     """Columns by which rows of files that Spark wrote sort as they lie in them: the
     files by the numbers of their tasks. None for rows that are not read from files."""

@@ -3,7 +3,8 @@
 Lines are compared as lower-cased word sequences. A line goes if an earlier line of the
 corpus (by doc_id, nulls last, then line number) has the same words, or, for lines of at
 least ``MIN_WORDS`` words, words within one edit: one word inserted, deleted or replaced.
-Blank lines stay.
+The earlier line need not stay itself: of a chain of lines, each one edit from the one
+before, only the first stays. Blank lines stay.
 
 1. Every line is hashed; equal lines meet in an aggregate that keeps the earliest.
 2. Two lines within one word edit share their first or their last half. Distinct lines
@@ -17,12 +18,17 @@ Blank lines stay.
    another's variant is within one deletion.
 5. Each line's earliest partners are verified on the words themselves.
 
+What a join does not need stays where it is: halves, variants, lines and documents pass
+sieves (see ``sieve``) of bounded size before they are shuffled, at every size of input,
+and documents without a line that goes are not shuffled at all.
+
 Hashes of 128 bits stand for equal lines in step 1, of 64 bits in steps 2 to 4; only the
 words decide in step 5.
 
 Defined results: null texts have no lines and stay null; an empty text is one blank line.
 Rows with equal doc_id are ordered by the hash of their text; wholly equal rows count as
-one document and get equal results. Empty tables give empty results.
+one document and get equal results. Null doc_ids come last. Empty tables give empty
+results. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +36,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Scratch, materialize, table
+from .sieve import bits_for, flagged, sieve, sifted
 
 #: Shorter lines must be equal to be duplicates.
 MIN_WORDS = 8
-#: Hashes or places of lines that are sent to all tasks; beyond, they are joined.
-BROADCAST_LINES = 1_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -93,28 +98,21 @@ def firsts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h", "h2").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` as a side to send to all tasks, if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
-
-
-def _candidates(known: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another: h, h2, place, ord. The longs of
-    ord follow the places, and name the lines from here on."""
-    halves = known.where("halves is not null").select("h", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
-    hit = halves.join(_few(materialize(shared, "shared-halves")), "half", "left_semi").select("h", "h2").distinct()
-    found = known.select("h", "h2", "place").join(_few(materialize(hit, "line-hashes")), ["h", "h2"])
-    return materialize(found.sort("place").withColumn("ord", F.monotonically_increasing_id()), "line-candidates")
+def _candidates(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct lines that share a half with another, and few more: h, h2, place, ord. The
+    longs of ord follow the places, and name the lines from here on."""
+    halves = known.where("halves is not null").select("h", "h2", "place", F.explode("halves").alias("half"))
+    shared = scratch.table(halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half"), "shared-halves")
+    found = sifted(halves, ["half"], shared).dropDuplicates(["h", "h2"]).select("h", "h2", "place")
+    return scratch.table(found.sort("place").withColumn("ord", F.monotonically_increasing_id()), "line-candidates")
 
 
-def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _with_words(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """``wanted`` (place, ord) → ord, words, from the documents at those places."""
-    at = F.struct("place.line_no", "ord")
-    by_doc = wanted.groupBy("place.id", "place.hash").agg(F.collect_list(at).alias("of"))
-    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        by_doc = F.broadcast(by_doc)
-    texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["id"]) & F.xxhash64(docs["text"]).eqNullSafe(by_doc["hash"]))
+    of = F.collect_list(F.struct("place.line_no", "ord")).alias("of")
+    by_doc = scratch.table(wanted.groupBy(F.col("place.id").alias("doc_id"), F.col("place.hash").alias("hash")).agg(of), "line-documents")
+    given = sifted(docs.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"], by_doc)
+    texts = given.join(by_doc, given["doc_id"].eqNullSafe(by_doc["doc_id"]) & (given["hash"] == by_doc["hash"]))
     texts = texts.select("of", F.split("text", "\n").alias("lines"))
     got = F.transform("of", lambda x: F.struct(x["ord"].alias("ord"), F.get(F.col("lines"), x["line_no"]).alias("line")))
     lines = texts.select(F.explode(got).alias("x")).select("x.ord", normalized(F.col("x.line")).alias("words"))
@@ -135,15 +133,16 @@ def variants(lines: DataFrame) -> DataFrame:
     return each.select("ord", F.explode(keys).alias("k")).select("k.key", "k.pos", "ord")
 
 
-def _partners(keyed: DataFrame) -> DataFrame:
+def _partners(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """Each line with an earlier partner under one of its keys: ord, first (the
     partner), by (replaced, deleted, inserted), pos of the word that the longer line has
     more, or that both replace."""
-    wholes = _few(materialize(keyed.where("pos < 0").select("key", F.col("ord").alias("first")), "whole-lines"))
+    wholes = scratch.table(keyed.where("pos < 0").select("key", F.col("ord").alias("first")), "whole-lines")
     less = keyed.where("pos >= 0")
-    groups = less.groupBy("key", "pos").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    replaced = less.join(groups.drop("lines"), ["key", "pos"]).where("first < ord").select("ord", "first", "pos", F.lit("replaced").alias("by"))
-    met = less.join(wholes, "key")
+    groups = less.groupBy("key", "pos").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
+    groups = scratch.table(groups, "variant-groups")
+    replaced = sifted(less, ["key", "pos"], groups).join(groups, ["key", "pos"]).where("first < ord").select("ord", "first", "pos", F.lit("replaced").alias("by"))
+    met = scratch.table(sifted(less, ["key"], wholes).join(wholes, "key").select("ord", "first", "pos"), "variant-lines")
     deleted = met.where("first < ord").select("ord", "first", "pos", F.lit("deleted").alias("by"))
     later = met.where("first > ord").groupBy("first").agg(F.min(F.struct("ord", "pos")).alias("one"))
     inserted = later.select(F.col("first").alias("ord"), F.col("one.ord").alias("first"), "one.pos", F.lit("inserted").alias("by"))
@@ -165,35 +164,48 @@ def _verified(partners: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct lines (h, h2) with an earlier line within one word edit."""
-    candidates = _candidates(known)
-    lines = materialize(_with_words(docs, candidates), "line-words")
-    keyed = materialize(variants(lines), "line-variants")
-    return candidates.join(_verified(_partners(keyed), lines), "ord").select("h", "h2")
+    """Distinct lines (h, h2, place) with an earlier line within one word edit."""
+    with Scratch(docs.sparkSession) as scratch:
+        candidates = _candidates(known, scratch)
+        lines = scratch.table(_with_words(docs, candidates, scratch), "line-words")
+        keyed = scratch.table(variants(lines), "line-variants")
+        return materialize(candidates.join(_verified(_partners(keyed, scratch), lines), "ord").select("h", "h2", "place"), "near-lines")
+
+
+def gone_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) → a row for each document that loses lines: doc_id, hash (of
+    the text), gone and near_lines (numbers of all these lines, and of the near ones)."""
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.table(hashed_lines(docs), "lines")
+        known = scratch.table(firsts(lines), "distinct-lines")
+        near = near_lines(docs, known).withColumn("near", F.lit(True))
+        going = known.where("copies > 1").select("h", "h2", "place", F.lit(False).alias("near")).unionByName(near)
+        going = scratch.table(going.groupBy("h", "h2").agg(F.min("place").alias("first"), F.max("near").alias("near")), "going-lines")
+        gone = sifted(lines.drop("halves"), ["h", "h2"], going).join(going, ["h", "h2"]).where(F.col("near") | (F.col("first") != _place()))
+        by_doc = gone.groupBy(F.col("id").alias("doc_id"), "hash").agg(
+            F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near_lines")
+        )
+        return materialize(by_doc, "gone-lines")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) → doc_id, text without the lines that go, n_lines,
     n_same and n_near: lines gone as equal or as within one edit."""
     docs = docs.select("doc_id", "text")
-    lines = materialize(hashed_lines(docs), "lines")
-    known = materialize(firsts(lines), "distinct-lines")
-    near = materialize(near_lines(docs, known).withColumn("near", F.lit(True)), "near-lines")
-    going = known.select("h", "h2", "copies", F.col("place").alias("first")).join(near, ["h", "h2"], "left").where("near or copies > 1").drop("copies")
-    gone = lines.drop("halves").join(going, ["h", "h2"]).where(F.col("near") | (F.col("first") != _place()))
-    by_doc = gone.groupBy("none", "id", "hash").agg(
-        F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("near_lines")
-    )
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["id"]) & F.xxhash64(docs["text"]).eqNullSafe(by_doc["hash"]), "left")
-    joined = joined.withColumn("lines", F.split("text", "\n"))
+    by_doc = gone_lines(docs)
+    bits = bits_for(by_doc.count())
+    marked = flagged(docs.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"], sieve(by_doc, ["doc_id", "hash"], bits), bits, "loses")
+    losing, whole = marked.where("loses"), marked.where("not loses")
+    joined = losing.join(by_doc, losing["doc_id"].eqNullSafe(by_doc["doc_id"]) & (losing["hash"] == by_doc["hash"]), "left")
+    joined = joined.select(losing["doc_id"], "text", F.split("text", "\n").alias("lines"), "gone", "near_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
-    )
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
     n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size("near_lines"), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    return joined.select(
-        "doc_id", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.greatest(n_gone - n_near, F.lit(0)).cast("long").alias("n_same"), F.greatest(n_near, F.lit(0)).cast("long").alias("n_near")
+    counts = [F.greatest(n_gone - n_near, F.lit(0)).cast("long").alias("n_same"), F.greatest(n_near, F.lit(0)).cast("long").alias("n_near")]
+    none = F.lit(0).cast("long")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
+    return joined.select("doc_id", kept.alias("text"), n_lines, *counts).unionByName(
+        whole.select("doc_id", "text", n_lines, none.alias("n_same"), none.alias("n_near"))
     )
 
 

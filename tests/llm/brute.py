@@ -172,12 +172,18 @@ def within_one(a: list, b: list) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def line_rows(docs: list[tuple[int, str | None]], least: int = 8) -> dict[int, tuple]:
-    """doc_id → text, n_lines, n_same, n_near; every line is held against all earlier."""
+def line_rows(docs: list[tuple[int | None, str | None]], least: int = 8) -> dict[tuple, tuple]:
+    """(doc_id, text) → text, n_lines, n_same, n_near; every line is held against all
+    earlier. Wholly equal rows are one, rows of equal id go by the hash of their text."""
     seen: list[list[str]] = []
     near: list[bool] = []
     place, out = {}, {}
-    for doc_id, text in sorted(docs, key=lambda d: d[0]):
+
+    def order(doc: tuple) -> tuple:
+        digest = xxhash.xxh64(doc[1].encode(), seed=42).intdigest() if doc[1] is not None else 42
+        return doc[0] is None, doc[0] or 0, digest - (1 << 64) if digest >> 63 else digest
+
+    for doc_id, text in sorted(set(docs), key=order):
         kept, same, close = [], 0, 0
         lines = text.split("\n") if text is not None else []
         for line in lines:
@@ -197,5 +203,5 @@ def line_rows(docs: list[tuple[int, str | None]], least: int = 8) -> dict[int, t
                 close += 1
             else:
                 kept.append(line)
-        out[doc_id] = ("\n".join(kept) if text is not None else None, len(lines), same, close)
+        out[doc_id, text] = ("\n".join(kept) if text is not None else None, len(lines), same, close)
     return out

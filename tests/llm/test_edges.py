@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkgrove.llm import components, decontam, html_extract, line_dedup, mixing, pii, simhash, token_store, topk, toxicity, url_filter
+from sparkgrove.llm import components, decontam, html_extract, line_dedup, mixing, pii, sieve, simhash, token_store, topk, toxicity, url_filter
 
 LONG = " ".join(f"word{i % 97} tail{i % 13}" for i in range(40_000))
 DOCS = "doc_id long, text string, source string"
@@ -40,15 +40,25 @@ def values(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
-def test_line_dedup(docs):
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs.where("doc_id is not null and doc_id != 2")).collect()}
-    want = brute.line_rows([(i, t) for i, t, _ in CASES if i not in (None, 2)])
-    assert {i: (r.text, r.n_lines, r.n_same, r.n_near) for i, r in got.items()} == want
-    assert got[8].n_near == 1 and got[9].n_same == 1 and got[3].text is None and got[7].text == "\n\n \t\n"
-    assert line_dedup.dedup_lines(docs).count() == len(CASES)
+def line_rows(df) -> list[tuple]:
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_same, r.n_near) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+
+
+def test_line_dedup(spark, docs):
+    given = [(i, t) for i, t, _ in CASES] + [(2, "other text of two\nA b c d e f g h i j"), (None, "no id here"), (None, "and\nno id here\na b c d e f g h i j k")]
+    want = brute.line_rows(given)
+    got = line_rows(docs.select("doc_id", "text", "hash").unionByName(spark.createDataFrame([(*x, "own") for x in given[len(CASES) :]], "doc_id long, text string, hash string")))
+    assert got == sorted(((i, *want[i, t]) for i, t in given), key=repr)
+    assert (8, "", 1, 0, 1) in got and (9, "", 1, 1, 0) in got and (3, None, 0, 0, 0) in got and (7, "\n\n \t\n", 4, 0, 0) in got
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_of_a_chain_of_lines_the_first_stays(spark):
+    words = "one two three four five six seven eight nine".split()
+    chain = [" ".join(["x"] * i + words[i:]) for i in range(4)]
+    assert line_rows(spark.createDataFrame([(1, "\n".join(chain))], "doc_id long, text string")) == [(1, chain[0], 4, 0, 3)]
+
+
 LINES = [
     "one two three four five six seven eight nine", "one two three four five six seven eight nine ten", "zero one two three four five six seven eight nine",
     "one two three four x five six seven eight nine", "one two three four five six seven nine eight", "one two three six five four seven eight nine",
@@ -56,12 +66,21 @@ LINES = [
 ]
 
 
-@pytest.mark.parametrize("few", [0, 10])
-def test_lines_within_one_edit(spark, monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", few)  # joined, or sent to all tasks
+@pytest.mark.parametrize("bits", [8, 1 << 28])
+def test_lines_within_one_edit(spark, monkeypatch, bits):
+    monkeypatch.setattr(sieve, "MAX_BITS", bits)  # sieves that let all pass, or hardly any
     texts = [(i, "\n".join(LINES[j] for j in ((i, i + 3) if i % 2 else (9 - i, i)) if j < 10)) for i in range(10)]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_same, r.n_near) for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == brute.line_rows(texts)
+    want = brute.line_rows(texts)
+    assert line_rows(spark.createDataFrame(texts, "doc_id long, text string")) == sorted(((i, *want[i, t]) for i, t in texts), key=repr)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 15, 1 << 20])
+def test_sieves_let_every_key_pass(spark, bits):
+    keys = spark.range(0, 3000, 3).withColumn("s", F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id"))))
+    rows = spark.range(3000).withColumns({"s": F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), F.col("id"))), "at": F.lit(1), "bitmap": F.lit("own")})
+    got = sieve.flagged(rows, ["id", "s"], sieve.sieve(keys, ["id", "s"], bits), bits, "met")
+    assert got.columns == [*rows.columns, "met"] and got.count() == 3000 and got.where("id % 3 = 0 and not met").count() == 0
+    assert bits < 1 << 20 or got.where("id % 3 != 0 and met").count() < 20
 
 
 def test_token_store(spark, docs, monkeypatch):
