@@ -1,23 +1,27 @@
 """Exact top-k search by tiled matrix products.
 
 The query set is stated by the caller and packed into tiles of bounded size, written
-to the shared folder. Every task streams its vectors as shards, multiplies each shard
-with each query tile, and keeps the k best of the shard per query; the partial lists
-are merged as a tree, so that no task sees more than a fixed number of lists per query.
+to the shared folder. Every task gathers its vectors in blocks of ``BLOCK_BYTES``, streams
+the query tiles once for each block, multiplies each with the block shard by shard, and
+keeps the best of the block per query. The partial lists are merged as a tree, so that no
+task sees more than a fixed number of lists per query.
 
-Scores are integer inner products, computed exactly: in doubles where the bound
-n * max|q| * max|v| stays under 2**53, else with Python integers (beyond a long, scores
-are clipped to its range). Scaled components beyond the largest double become that.
+Scores are integer inner products, computed exactly: in doubles for all rows whose
+components are small enough that n * max|q| * max|v| stays under 2**53, with Python
+integers for the others alone (beyond a long, scores are clipped to its range). Scaled
+components beyond the largest double become that.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no
 part, as queries or candidates. A vector meets only vectors of its own length; empty
-vectors take no part either. Rows with a null id take no part. A repeated id is a
-vector of its own for each row, but no row meets rows of its own id. Ties go to the
-smaller vec_id. With fewer than k candidates all are returned; empty tables give none.
+vectors take no part either. Rows with a null id take no part. A query is a row of the
+vectors and does not meet itself, but it meets other rows, those that repeat its id or all
+of it as well. Ties go to the smaller vec_id. With fewer than k candidates all are
+returned; empty tables give none. Columns besides id and vector are not read.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,8 @@ from .common import fresh_path, table
 
 #: Rows of a query tile and of a shard: a tile of their products has 32 MB of doubles.
 QUERY_TILE, SHARD = 1024, 4096
+#: Bytes of vectors for which a task reads the query tiles once.
+BLOCK_BYTES = 64 << 20
 #: Lists that one node of the merge tree takes per query.
 FAN_IN = 16
 _LONG = 2**63 - 1
@@ -54,11 +60,21 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    if q.shape[1] * float(np.abs(q).max()) * float(np.abs(v).max()) < 2**53:
-        return (q @ v.T).astype(np.int64)
-    whole = [[int(x) for x in row] for row in q], [[int(x) for x in row] for row in v]
-    exact = [[max(-_LONG - 1, min(_LONG, sum(a * b for a, b in zip(x, y)))) for y in whole[1]] for x in whole[0]]
-    return np.array(exact, dtype=np.int64)
+    """All inner products; only rows with large components leave the doubles."""
+    limit = (2**53 / q.shape[1]) ** 0.5
+    out = np.empty((len(q), len(v)), np.int64)
+    large_q, large_v = (np.abs(x).max(axis=1) >= limit for x in (q, v))
+    out[np.ix_(~large_q, ~large_v)] = q[~large_q] @ v[~large_v].T
+    if large_q.any():
+        out[large_q] = _exact(q[large_q], v)
+    if large_v.any():
+        out[np.ix_(~large_q, large_v)] = _exact(q[~large_q], v[large_v])
+    return out
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    whole = [[[int(x) for x in row] for row in rows] for rows in (q, v)]
+    return np.array([[max(-_LONG - 1, min(_LONG, sum(a * b for a, b in zip(x, y)))) for y in whole[1]] for x in whole[0]], np.int64).reshape(len(q), len(v))
 
 
 def _best(k: int, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -69,51 +85,59 @@ def _best(k: int, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> np.n
     return order[place < k]
 
 
-def _partial(k: int, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per query the k best of one tile: a partial selection, then the ties sorted."""
-    rows, cols = [], []
-    for i in range(len(query_ids)):
-        line, other = scores[i], np.flatnonzero(ids != query_ids[i])
-        if len(other) > k:
-            cut = np.partition(line[other], len(other) - k)[len(other) - k]
-            other = other[line[other] >= cut]
-            if len(other) > k:
-                other = other[np.lexsort((ids[other], ~line[other]))[:k]]
-        rows.append(np.full(len(other), i))
-        cols.append(other)
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    return r, ids[c], scores[r, c]
+def _partial(k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids and scores of the k best of each row of ``scores``, more where they tie."""
+    at = scores.shape[1] - k
+    if at <= 0:
+        rows, cols = np.indices(scores.shape).reshape(2, -1)
+    else:
+        rows, cols = np.nonzero(scores >= np.partition(scores, at, axis=1)[:, at, None])
+    found = rows, ids[cols], scores[rows, cols]
+    best = _best(k, *found)
+    return found[0][best], found[1][best], found[2][best]
+
 
+_PARTS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("own", pa.int64()), ("shard", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-_PARTS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("shard", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+def _tiles(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query rows, their ids and their vectors, by vector length."""
+    from pyarrow import dataset
+
+    for tile in dataset.dataset(path, format="parquet").to_batches(columns=["query_row", "v", "id"], batch_size=QUERY_TILE):
+        if tile.num_rows:
+            rows, ids = tile.column(0).to_numpy(), tile.column(2).to_numpy()
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), tile.column(1)], ["id", "v"])
+            for at, q in _matrices(numbered):
+                yield rows[at], ids[at], q
 
 
 def _search(tiles_path: str, k: int):
+    def found(shard: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for rows, ids, q in _tiles(tiles_path) if held else ():
+            parts = [_partial(k, part_ids, _scores(q, v)) for part_ids, v in held.get(q.shape[1], ())]
+            if parts:
+                at, vec_ids, score = (np.concatenate(x) for x in zip(*parts))
+                best = _best(k, at, vec_ids, score)
+                at = at[best]
+                own = np.array([_scores(x, x)[0, 0] for x in q[:, None]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (rows[at], ids[at], own[at], np.full(len(at), shard), vec_ids[best], score[best])], schema=_PARTS
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import dataset
         from pyspark import TaskContext
 
-        shard, task = 0, TaskContext.get().partitionId()
+        shard, held, size = TaskContext.get().partitionId() * 1_000_003, defaultdict(list), 0
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD):
                 for ids, v in _matrices(batch.slice(at, SHARD)):
-                    for tile in dataset.dataset(tiles_path, format="parquet").to_batches(columns=["id", "v", "query_row"], batch_size=QUERY_TILE):
-                        if not tile.num_rows:
-                            continue
-                        query_row = tile.column(2).to_numpy()
-                        place = dict(zip(query_row.tolist(), range(len(query_row))))
-                        numbered = pa.RecordBatch.from_arrays([tile.column(2), tile.column(1)], ["id", "v"])
-                        real = tile.column(0).to_numpy()
-                        for number, q in _matrices(numbered):
-                            if q.shape[1] != v.shape[1]:
-                                continue
-                            qid = real[[place[x] for x in number.tolist()]]
-                            r, cand, score = _partial(k, qid, ids, _scores(q, v))
-                            if len(r):
-                                yield pa.RecordBatch.from_arrays(
-                                    [pa.array(number[r]), pa.array(qid[r]), pa.array(np.full(len(r), task * 1_000_003 + shard)), pa.array(cand), pa.array(score)], schema=_PARTS
-                                )
-                    shard += 1
+                    held[v.shape[1]].append((ids, v))
+                    size += v.nbytes
+                if size >= BLOCK_BYTES:
+                    yield from found(shard, held)
+                    shard, held, size = shard + 1, defaultdict(list), 0
+        yield from found(shard, held)
 
     return run
 
@@ -124,22 +148,29 @@ def _merged(parts: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """``queries`` and ``vectors``: (id, v) from ``quantized`` → query_id, rank, vec_id, score."""
+    """``queries``, rows of ``vectors``, against ``vectors``: (id, v) from ``quantized`` →
+    query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     tiles = fresh_path(spark, "query-tiles")
     queries.withColumn("query_row", F.monotonically_increasing_id()).write.option("maxRecordsPerFile", 64 * QUERY_TILE).parquet(tiles)
-    parts = vectors.mapInArrow(_search(tiles, k), "query_row long, query_id long, shard long, vec_id long, score long")
-    # tree: lists of a group of shards first, then the groups' lists; each node takes FAN_IN lists or so
-    width = vectors.count() // SHARD + vectors.rdd.getNumPartitions()
+    # one more than asked for, since the query itself is among the vectors
+    parts = vectors.mapInArrow(_search(tiles, k + 1), "query_row long, query_id long, own long, shard long, vec_id long, score long")
+    # tree: lists of a group of blocks first, then the groups' lists; each node takes FAN_IN lists or so
+    row = ["query_row", "query_id", "own"]
+    width = vectors.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    width = width // BLOCK_BYTES + vectors.rdd.getNumPartitions()
     while width > FAN_IN:
         width = -(-width // FAN_IN)
         node = F.pmod(F.xxhash64("shard"), F.lit(width)).alias("node")
-        merged = _merged(parts.select("query_row", "query_id", node, "vec_id", "score"), k, ["query_row", "query_id", "node"])
-        parts = merged.select("query_row", "query_id", F.col("node").alias("shard"), F.explode("best").alias("b")).select(
-            "query_row", "query_id", "shard", "b.vec_id", F.bitwise_not(F.col("b.down")).alias("score")
+        merged = _merged(parts.select(*row, node, "vec_id", "score"), k + 1, [*row, "node"])
+        parts = merged.select(*row, F.col("node").alias("shard"), F.explode("best").alias("b")).select(
+            *row, "shard", "b.vec_id", F.bitwise_not(F.col("b.down")).alias("score")
         )
-    last = _merged(parts, k, ["query_row", "query_id"])
-    return last.select("query_id", F.posexplode("best").alias("pos", "b")).select(
+    last = _merged(parts, k + 1, row)
+    # where the query itself is on its list, any row with its id and score stands for it
+    self_ = F.array_position("best", F.struct(F.bitwise_not("own").alias("down"), F.col("query_id").alias("vec_id"))).cast("int")
+    others = F.filter("best", lambda b, i: i + 1 != self_)
+    return last.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), "b.vec_id", F.bitwise_not(F.col("b.down")).alias("score")
     )
 
@@ -151,11 +182,11 @@ def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
-SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+  SELECT a.place, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.place <> b.place AND len(a.q) = len(b.q))
+SELECT * EXCLUDE (place) FROM (SELECT place, query_id, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 WHERE rank <= 5
 """

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+import time
 from pathlib import Path
 
 import brute
@@ -162,25 +164,61 @@ def test_shards_in_a_given_order(spark, tmp_path, monkeypatch, ids):
     assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
 
 
+def top_rows(vectors, every: int, k: int) -> list[tuple]:
+    df = topk.quantized(vectors)
+    return values(topk.top_k(df.where(F.col("id") % every == 0), df, k), "query_id", "rank", "vec_id", "score")
+
+
 def test_top_k(spark):
     vectors = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]),
                (100, [1e300, -1e300]), (8, [0.0, 0.001]), (9, [-0.001, 0.0])]
-    df = topk.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit("own") for c in ("id", "v", "own", "best", "query_row", "score")})
     got = {}
-    for r in topk.top_k(df.where(F.col("id") % 50 == 0), df, 3).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for query_id, *x in top_rows(rows, 50, 3):
+        got.setdefault(query_id, []).append(tuple(x))
     assert sorted(got[0]) == [(1, 100, 2**63 - 1), (2, 1, 65536), (3, 2, 65536)]
     assert [x[1] for x in sorted(got[50])] == [0, 1, 2] and sorted(got[100])[0][2] == 2**63 - 1
+    df = topk.quantized(rows)
     assert topk.top_k(df.limit(0), df, 3).count() == 0 and topk.top_k(df, df.limit(0), 3).count() == 0
 
 
+def brute_top(rows: list[tuple], every: int, k: int) -> list[tuple]:
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for at, (query_id, q) in enumerate(whole):
+        if query_id % every == 0:
+            others = sorted((-sum(a * b for a, b in zip(q, v)), i) for j, (i, v) in enumerate(whole) if j != at and len(v) == len(q))
+            out += [(query_id, rank + 1, i, -s) for rank, (s, i) in enumerate(others[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [64 << 20, 100])
+def test_top_k_meets_rows_that_repeat_its_id_and_large_ones(spark, monkeypatch, block):
+    for name, n in (("BLOCK_BYTES", block), ("QUERY_TILE", 3), ("SHARD", 4), ("FAN_IN", 2)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(3)
+    rows = [(i % 15, [float(x) for x in rng.integers(-3, 4, 3) / 256]) for i in range(40)]
+    rows += [(5, rows[5][1]), (5, rows[5][1]), (10, [0.0] * 3), (20, [2.0**20, -(2.0**21), 3.0]), (21, [2.0**22, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert top_rows(df, 5, 4) == brute_top(rows, 5, 4)
+
+
+def test_one_huge_component_leaves_the_rest_to_matrix_products():
+    rng = np.random.default_rng(4)
+    q, v = np.floor(rng.normal(0, 256, (512, 64))), np.floor(rng.normal(0, 256, (4096, 64)))
+    v[7, 3] = 2.0**60
+    began = time.perf_counter()
+    got = topk._scores(q, v)
+    assert time.perf_counter() - began < 2
+    assert got[5, 7] == max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[5], v[7])))) and got[5, 8] == int(q[5] @ v[8])
+
+
 def test_top_k_in_small_tiles(spark, sf_dir, monkeypatch):
-    vectors = topk.quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).repartition(6)
-    queries = vectors.where(F.col("id") % 20 == 0)
-    whole = values(topk.top_k(queries, vectors, 5), "query_id", "rank", "vec_id", "score")
-    for name, n in (("QUERY_TILE", 7), ("SHARD", 11), ("FAN_IN", 2)):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").repartition(6)
+    whole = top_rows(vectors, 20, 5)
+    for name, n in (("QUERY_TILE", 7), ("SHARD", 11), ("FAN_IN", 2), ("BLOCK_BYTES", 9_000)):
         monkeypatch.setattr(topk, name, n)
-    assert values(topk.top_k(queries, vectors, 5), "query_id", "rank", "vec_id", "score") == whole
+    assert top_rows(vectors, 20, 5) == whole
 
 
 def test_simhash(docs):
