@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,5 +61,16 @@ def in_files(docs: DataFrame) -> list[Column] | None:
     return place
 
 
+def pieces(batch: pa.RecordBatch, text_column: int, n_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``n_bytes`` of text or one row, so that what a task
+    makes of a part stays small, however long the texts of a batch are."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, n_bytes + (ends[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("mailbox", "login", "iban", "identifier", "secret", "address")
@@ -228,7 +228,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             rows = [spans(t.as_py(), automaton) for t in batch.column(1)]
             base = [[s for s in row if s[0] in BASE_KINDS] for row in rows]
             counts = [pa.array([sum(s[0] == kind for s in row) for row in base], pa.int64()) for kind in BASE_KINDS]

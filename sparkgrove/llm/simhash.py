@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Scratch, materialize, pieces, table
 from .components import components
 
 #: Widths of the ring's segments, from the lowest bit.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", as_col: str = "fp") ->
     schema = docs.select(*names).schema.add(as_col, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, len(names))):
             texts = batch.column(len(names)).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, batch.num_rows)
             columns = [batch.column(i) for i in range(len(names))]

@@ -47,12 +47,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, pieces, table
 from .storage import located, read_bytes, written
 
 END_ID = 1
 #: UTF-8 bytes encoded at a time, and words remembered by one process.
-SLICE_BYTES, MEMORY = 2 << 20, 500_000
+SLICE_BYTES, MEMORY = 2 << 20, 200_000
 #: Ids of a shard, and of what is read back at a time; a longer document stands alone.
 SHARD_IDS, READ_IDS = 1 << 26, 1 << 20
 #: Keys of an index bucket at most, on average; bits a key in each level of the hash.
@@ -188,15 +188,6 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
     return out
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(texts):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, side="right")))
-        yield at, texts.slice(at, n)
-        at += n
-
-
 def _shards(path: str, tokenizer: str, width: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -207,10 +198,10 @@ def _shards(path: str, tokenizer: str, width: int, end_id: int):
         shard, attempt, encoder = context.partitionId() << 20, str(context.taskAttemptId()), Encoder.of(tokenizer)
         # slices of the task's documents: keys, ids with end ids, lengths
         made = (
-            (batch.column(0).slice(row, len(part)), _with_end(ids, counts, end_id), counts + 1)
+            (part.column(0), _with_end(ids, counts, end_id), counts + 1)
             for batch in batches
-            for row, part in _slices(pc.fill_null(batch.column(1), ""))
-            for ids, counts in [encoder.encode(part)]
+            for part in pieces(batch, 1, SLICE_BYTES)
+            for ids, counts in [encoder.encode(pc.fill_null(part.column(1), ""))]
         )
         waiting = next(made, None)
         while waiting:

@@ -13,7 +13,8 @@ a logistic curve fitted on the same documents.
 
 Fitting takes at most ``MAX_LABELLED`` labelled documents, those of least md5(doc_id):
 the bound that lets their ids be broadcast. Everything else covers whole texts and all
-rows.
+rows: every term and phrase with the evidence enters the lexicon, and one of more than
+``MAX_ENTRIES`` of either, which could not be sent to every task, is an error.
 
 Defined results: null and empty texts have no hits and get the curve's value for none.
 Null doc_ids are not held out and never fitted on; null labels are not used; of several
@@ -32,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, pieces, table
 
-#: Labelled documents fitted on, terms of the lexicon and exception phrases, at most.
-MAX_LABELLED, MAX_TERMS, MAX_PHRASES = 20_000, 2_000, 2_000
+#: Labelled documents fitted on at most; terms, and phrases, beyond which fitting fails.
+MAX_LABELLED, MAX_ENTRIES = 20_000, 1_000_000
 #: Lengths of word beginnings; toxic documents a term must occur in; what the lower
 #: bound of its log odds (at so many standard errors) must reach.
 BEGINNINGS, MIN_SUPPORT, MIN_WEIGHT, ERRORS = range(4, 13), 5, 2.0, 1.96
@@ -110,16 +111,29 @@ def around(text: str, start: int) -> list[str]:
     word = _WORD.match(text, start)
     if not word:
         return []
-    after = _WORD.search(text, word.end(), word.end() + 40)
-    before = [m[0] for m in _WORD.finditer(text, max(0, start - 40), start)]
-    return [f"{b} {word[0]}" for b in before[-1:]] + [f"{word[0]} {m[0]}" for m in [after] if m]
+    after, end = _WORD.search(text, word.end()), start
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    before = end
+    while before and text[before - 1].isalnum():
+        before -= 1
+    found = [f"{text[before:end]} {word[0]}"] if before < end else []
+    return [*found, f"{word[0]} {after[0]}"] if after else found
+
+
+def _gathered(entries: DataFrame, what: str) -> list:
+    """The rows of ``entries``, if a lexicon may have as many."""
+    rows = entries.limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a lexicon of more than {MAX_ENTRIES} {what} is not sent to every task")
+    return rows
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
     """(toxic, text) → word, toxic, n: documents with the word, summed by task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             words, marks = [], []
             for text, toxic in zip(batch.column(1), batch.column(0).to_pylist()):
                 found = set(_WORD.findall(folded(text.as_py())))
@@ -141,12 +155,12 @@ def _terms(labelled: DataFrame) -> dict[str, float]:
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     bound = weight - ERRORS * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     strong = terms.withColumn("weight", weight).where((F.col("t") >= MIN_SUPPORT) & (bound >= MIN_WEIGHT))
-    best = strong.orderBy(F.col("t").desc(), "term").limit(20 * MAX_TERMS).collect()
+    best = sorted(_gathered(strong, "terms"), key=lambda r: r["term"])
     # beginnings of equal reach: only the longest stays, and none that a shorter one implies
     support = {r["term"]: r["t"] for r in best}
     covered = {term[:n] for term in support for n in range(min(BEGINNINGS), len(term)) if support[term] >= COVER * support.get(term[:n], float("inf"))}
     kept = [r for r in best if r["term"] not in covered and not _implied(r["term"], support, covered)]
-    return {r["term"]: round(r["weight"], 6) for r in kept[:MAX_TERMS]}
+    return {r["term"]: round(r["weight"], 6) for r in kept}
 
 
 def _implied(term: str, support: dict[str, int], covered: set[str]) -> bool:
@@ -157,7 +171,7 @@ def _implied(term: str, support: dict[str, int], covered: set[str]) -> bool:
 def _phrases(labelled: DataFrame, lexicon: Lexicon) -> frozenset:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             found, marks = [], []
             for text, toxic in zip(batch.column(1), batch.column(0).to_pylist()):
                 text = folded(text.as_py())
@@ -167,8 +181,7 @@ def _phrases(labelled: DataFrame, lexicon: Lexicon) -> frozenset:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marks, pa.int32())], names=["phrase", "toxic"])
 
     counts = labelled.mapInArrow(run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    clean = counts.where("n - t >= 3 and t * 10 <= n").orderBy(F.col("n").desc(), "phrase").limit(MAX_PHRASES)
-    return frozenset(r["phrase"] for r in clean.collect())
+    return frozenset(r["phrase"] for r in _gathered(counts.where("n - t >= 3 and t * 10 <= n"), "phrases"))
 
 
 def _curve(labelled: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -214,11 +227,11 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``docs`` (``keep``..., text) → the kept columns and a last column, toxicity."""
     given = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)] + [F.col("text").alias("of")])
     names = [f"c{i}" for i in range(len(keep))]
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_TERMS and MAX_PHRASES entries at most
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # MAX_ENTRIES terms and phrases at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = held.value.automaton()
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, len(names))):
             scores = [held.value.score(folded(t.as_py()), automaton) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(scores, pa.float64())], names=[*names, "toxicity"])
 

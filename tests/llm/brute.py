@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -164,6 +165,21 @@ def mix_counts(rows: list[tuple[int, str | None, int]]) -> dict[int, list[int]]:
     return out
 
 
+def toxicity_score(folded: str, weights: dict, phrases: set, curve: tuple | None) -> float:
+    """Of a folded text: each word's longest term, but for words of an exception phrase."""
+    if curve is None:
+        return 0.0
+    words, total = re.findall(r"[^\W_]+", folded), 0.0
+    for i, word in enumerate(words):
+        terms = [t for t in weights if word == t or len(t) >= 4 and word.startswith(t)]
+        pairs = {f"{a} {b}" for a, b in zip(words[max(0, i - 1) : i + 1], words[max(0, i - 1) + 1 : i + 2])}
+        if terms and not pairs & set(phrases):
+            total += weights[max(terms, key=len)]
+    a, b, c = curve
+    spaces = sum(x in " \n" for x in folded)
+    return 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * math.log1p(spaces))))
+
+
 def within_one(a: list, b: list) -> bool:
     """Whether one insertion, deletion or replacement makes ``a`` into ``b``."""
     if abs(len(a) - len(b)) > 1:

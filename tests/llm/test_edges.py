@@ -484,6 +484,26 @@ def test_toxicity_learns_short_words_as_whole_ones(spark):
     assert lexicon.score("what a zog", automaton) > 0.7 > lexicon.score("what a zogal", automaton)
 
 
+def test_a_word_of_a_phrase_may_be_long_and_far(spark):
+    far = "clown" + " .-" * 40 + "fish" * 30
+    assert toxicity.around(far, 0) == ["clown " + "fish" * 30] and toxicity.around("x" * 90 + "_" * 70 + "clown", 160) == ["x" * 90 + " clown"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiots", "id", "idx", "clown", "fish", "_", "-", " ", "ü", "idiota", "\n", "x1"]), max_size=20))
+def test_scores_are_those_of_the_plain_scorer(parts):
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "idiota": 2.5, "id": 4.0, "clown": 2.0}, frozenset(["clown fish", "x1 idiot"]), (-2.0, 3.0, -0.5))
+    text = toxicity.folded("".join(parts))
+    assert lexicon.score(text, lexicon.automaton()) == pytest.approx(brute.toxicity_score(text, lexicon.weights, lexicon.phrases, lexicon.curve), abs=1e-9)
+
+
+def test_a_lexicon_too_large_to_send_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ENTRIES", 3)
+    assert len(toxicity._gathered(spark.range(3), "terms")) == 3
+    with pytest.raises(ValueError, match="more than 3 terms"):
+        toxicity._gathered(spark.range(4), "terms")
+
+
 def test_held_out_accuracy(spark):
     big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
@@ -492,7 +512,7 @@ def test_held_out_accuracy(spark):
     row = joined.agg(
         F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))
     ).first()
-    assert row[0] > 0.97 and row[1] > 0.85 and row[2] < 0.01 and docs.count()
+    assert row[0] > 0.97 and row[1] >= 0.9 and row[2] < 0.01 and docs.count()
 
 
 def test_url_parts(spark):

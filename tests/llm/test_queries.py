@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import brute
 import pytest
 
-from sparkgrove.llm import mixing, registry
+from sparkgrove.llm import mixing, registry, toxicity
 
 
 def rows(spark, sf_dir, name: str, *columns: str) -> list[tuple]:
@@ -49,6 +50,17 @@ def test_decontamination(answer, documents, spark, sf_dir):
     assert got == {d: brute.decontam_row(t, known) for d, t in documents}
 
 
+def test_toxicity_scores(spark):
+    larger = "/root/testdata/sf0.01"  # with enough labels to learn from
+    docs, labels = (spark.read.parquet(f"{larger}/{name}.parquet") for name in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.weights
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in registry.queries()["op8_toxicity"](spark, larger).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        score = brute.toxicity_score(toxicity.folded(text), lexicon.weights, lexicon.phrases, lexicon.curve)
+        assert got[doc_id] == (pytest.approx(score, abs=1e-9), int(score >= 0.7), zlib.crc32(str(doc_id).encode()) % 3 == 1)
+
+
 def test_personal_data(answer, documents):
     got = {r.doc_id: r for r in answer("op7_pii")}
     for doc_id, text in documents:
