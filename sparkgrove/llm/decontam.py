@@ -4,40 +4,51 @@ Documents are taken in shards of bounded size, one shard at a time in each task.
 suffix array over the shard's word positions is sorted as deep as the longest test
 suffix; every test suffix is searched in it by bisection, which gives the places of
 each window of ``window`` words, and each place is then extended to its longest
-verbatim match by bisecting the sorted test suffixes. The test items are written to
-the shared folder in blocks of bounded size and streamed from there by each task, so a
-benchmark of any size passes through bounded memory and nothing is broadcast.
+verbatim match by bisecting the sorted test suffixes. Blocks of test items of bounded size
+(a longer item is a block of its own) are prepared once, as a job, and lie in the shared
+folder, where each task loads them one after another, so a benchmark of any size passes
+through bounded memory and nothing is broadcast.
 
 Only positions that begin a run of at least one window's length of words the block
 knows enter the suffix array: no other suffix can match.
 
 Defined results: A-Z are lower-cased; words are runs of ASCII letters, digits and any
 non-ASCII characters. An item of fewer words than a window, but not none, is one
-window. Null texts have no words. Items with a null id count as hits but give no id;
-repeated ids count once. Without items nothing is hit; without documents the result is
-empty. Repeated rows give a row each.
+window. Null texts have no words. Repeated ids count as one item; so do null ids, as an item
+that is counted but not listed. A location names one item of its longest match, though others
+may hold it, too. Without items nothing is hit; without documents the result is empty.
+Repeated rows give a row each. Columns besides those asked for and the texts are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fresh_path, table
-from .storage import located
+from .common import fresh_path, pieces, table
+from .storage import located, read_bytes, written
 
 WINDOW = 10
-#: UTF-8 bytes of a shard (a longer document is a shard of its own) and test items of a block.
-SHARD_BYTES, BLOCK_ITEMS = 8 << 20, 20_000
-#: Word ids of a block fit 21 bits, three to a sort key.
-_BITS, _PACK = 21, 3
+#: UTF-8 bytes of a shard (a longer document is a shard of its own); test items of a block,
+#: and bytes of them.
+SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 8 << 20, 20_000, 8 << 20
+#: Bits of a word id: as many ids as fit 63 bits make a sort key. The second for blocks of
+#: more distinct words than the first can number.
+BITS = (21, 31)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_RESULT = [("n_words", "long"), ("n_hit", "long"), ("longest_match", "long"), ("n_items", "long"), ("item_ids", "array<string>")]
+_RESULT = [
+    ("n_words", "long"), ("n_hit", "long"), ("longest_match", "long"), ("n_items", "long"), ("item_ids", "array<string>"),
+    ("locations", "array<struct<start: long, n_words: long, item_id: string, item_start: long>>"),
+]
+_LOCATIONS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -58,18 +69,19 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Block:
     """Test items of one block: their vocabulary, windows and sorted suffixes."""
 
-    def __init__(self, ids: list, texts: pa.Array, window: int):
+    def __init__(self, ids: list, texts: pa.Array, window: int, bits: tuple[int, ...] = BITS):
         flat, counts = _words(texts)
         coded = flat.dictionary_encode()
         self.vocabulary = coded.dictionary
-        if len(self.vocabulary) >= (1 << _BITS) - 1:
-            raise ValueError("a block of test items has too many distinct words; lower BLOCK_ITEMS")
+        self.bits = next(b for b in bits if len(self.vocabulary) < (1 << b) - 1)
         # word ids from 1; 0 stands for any other word and for the space between texts
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         self.longest = int(counts.max(initial=0))
-        pad, parts, starts, lengths, owner, at = np.zeros(self.longest + _PACK, np.int64), [], [], [], [], 0
+        n_pad = self.longest + 63 // self.bits
+        pad, parts, starts, lengths, owner, firsts, at = np.zeros(n_pad, np.int64), [], [], [], [], [], 0
         first = np.concatenate([[0], np.cumsum(counts)])
         for i, n in enumerate(counts):
+            firsts.append(at)
             if n:
                 starts.append(at + np.arange(max(1, n - window + 1)))
                 lengths.append(np.full(len(starts[-1]), min(n, window)))
@@ -77,38 +89,38 @@ class Block:
                 parts += [codes[first[i] : first[i] + n], [0]]
                 at += n + 1
         self.words = np.concatenate([*parts, pad]).astype(np.int64) if parts else pad
-        self.starts, self.lengths, self.owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, owner))
+        self.firsts = np.array(firsts, np.int64)
+        starts, lengths, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, owner))
         self.ids = [None if x is None else str(x) for x in ids]
-        self.shortest = int(self.lengths.min(initial=window))
-        self.packed = _pack(self.words)
+        self.shortest = int(lengths.min(initial=window))
+        self.packed = _pack(self.words, self.bits)
+        self.suffixes = _sorted(self.packed, np.flatnonzero(self.words[: len(self.words) - n_pad]), self.longest, self.bits)
         # one representative of equal windows; the items of each window
-        whole = _sorted(self.packed, np.flatnonzero(self.words[: len(self.words) - _PACK]), self.longest)
-        self.suffixes = whole
         seen: dict[bytes, int] = {}
-        self.window_of = np.array([seen.setdefault(self.words[s : s + n].tobytes(), len(seen)) for s, n in zip(self.starts, self.lengths)], np.int64)
-        _, keep = np.unique(self.window_of, return_index=True)
-        self.query, self.query_length = self.starts[keep], self.lengths[keep]
-        order = np.argsort(self.window_of, kind="stable")
-        self.items = self.owner[order]
-        self.item_bounds = np.searchsorted(self.window_of[order], np.arange(len(keep) + 1))
+        window_of = np.array([seen.setdefault(self.words[s : s + n].tobytes(), len(seen)) for s, n in zip(starts, lengths)], np.int64)
+        _, keep = np.unique(window_of, return_index=True)
+        self.query, self.query_length = starts[keep], lengths[keep]
+        order = np.argsort(window_of, kind="stable")
+        self.items = owner[order]
+        self.item_bounds = np.searchsorted(window_of[order], np.arange(len(keep) + 1))
 
 
-def _pack(words: np.ndarray) -> np.ndarray:
-    """Three words from each position on as one key; ``words`` ends in zeros."""
+def _pack(words: np.ndarray, bits: int) -> np.ndarray:
+    """As many words from each position on as fit one key; ``words`` ends in zeros."""
     key = words.copy()
-    for i in range(1, _PACK):
-        key <<= _BITS
+    for i in range(1, 63 // bits):
+        key <<= bits
         key[:-i] |= words[i:]
     return key
 
 
-def _sorted(packed: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
+def _sorted(packed: np.ndarray, positions: np.ndarray, depth: int, bits: int) -> np.ndarray:
     """Suffix array: ``positions`` sorted by the ``depth`` words that follow, by
-    refining only those that are still tied, three words at a time."""
+    refining only those that are still tied, a key's words at a time."""
     order = positions[np.argsort(packed[positions], kind="stable")]
     group = np.concatenate([[0], np.cumsum(packed[order][1:] != packed[order][:-1])]) if len(order) else np.zeros(0, np.int64)
-    last = len(packed) - 1
-    for at in range(_PACK, depth, _PACK):
+    last, step = len(packed) - 1, 63 // bits
+    for at in range(step, depth, step):
         tied = np.flatnonzero(np.concatenate([group[1:] == group[:-1], [False]]) | np.concatenate([[False], group[1:] == group[:-1]])) if len(group) else group
         if not len(tied):
             break
@@ -122,22 +134,22 @@ def _sorted(packed: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray
     return order
 
 
-def _compare(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compare(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Signs of a[pa:] against b[pb:] over ``lengths`` words, and the words in common."""
-    sign, common = np.zeros(len(pa_), np.int64), np.zeros(len(pa_), np.int64)
+    sign, common, step = np.zeros(len(pa_), np.int64), np.zeros(len(pa_), np.int64), 63 // bits
     alive = np.arange(len(pa_))
-    for at in range(0, int(lengths.max(initial=0)), _PACK):
+    for at in range(0, int(lengths.max(initial=0)), step):
         alive = alive[lengths[alive] > at]
         if not len(alive):
             break
-        shift = _BITS * (_PACK - np.minimum(_PACK, lengths[alive] - at))
+        shift = bits * (step - np.minimum(step, lengths[alive] - at))
         x = a[np.minimum(pa_[alive] + at, len(a) - 1)] >> shift
         y = b[np.minimum(pb[alive] + at, len(b) - 1)] >> shift
-        n = np.minimum(_PACK, lengths[alive] - at)
+        n = np.minimum(step, lengths[alive] - at)
         same = x == y
         part = np.zeros(len(alive), np.int64)
-        for i in range(_PACK):
-            drop = _BITS * np.maximum(n - 1 - i, 0)
+        for i in range(step):
+            drop = bits * np.maximum(n - 1 - i, 0)
             part += (i < n) & (x >> drop == y >> drop)
         common[alive] += part
         sign[alive[~same]] = np.sign(x - y)[~same]
@@ -145,12 +157,12 @@ def _compare(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, leng
     return sign, common
 
 
-def _bisect(packed: np.ndarray, array: np.ndarray, queries: np.ndarray, at: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
+def _bisect(packed: np.ndarray, array: np.ndarray, queries: np.ndarray, at: np.ndarray, lengths: np.ndarray, right: bool, bits: int) -> np.ndarray:
     low, high = np.zeros(len(at), np.int64), np.full(len(at), len(array))
     while np.any(open_ := low < high):
         i = np.flatnonzero(open_)
         mid = (low[i] + high[i]) // 2
-        sign, _ = _compare(packed, array[mid], queries, at[i], lengths[i])
+        sign, _ = _compare(packed, array[mid], queries, at[i], lengths[i], bits)
         up = (sign <= 0) if right else (sign < 0)
         low[i[up]], high[i[~up]] = mid[up] + 1, mid[~up]
     return low
@@ -163,41 +175,55 @@ def _repeat(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[which]
 
 
-def _shard(texts: pa.Array, blocks: Iterator[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+class Found(NamedTuple):
+    """By document: words, words hit, the longest match, item ids, locations."""
+
+    words: np.ndarray
+    hit: np.ndarray
+    longest: np.ndarray
+    items: list[set]
+    locations: list[list[tuple]]
+
+
+def _shard(texts: pa.Array, blocks: Iterator[Block]) -> Found:
     flat, counts = _words(texts)
     # a zero after each document, so that nothing matches across two of them
     at = np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)
     doc_of = np.repeat(np.arange(len(counts)), counts + 1)
     size = len(flat) + len(counts)
-    hit, longest, found = np.zeros(size, bool), np.zeros(len(counts), np.int64), [set() for _ in counts]
+    hit, longest, items = np.zeros(size, bool), np.zeros(len(counts), np.int64), [set() for _ in counts]
+    matches: list[tuple] = []
     for block in blocks:
         if not len(block.query) or not len(flat):
             continue
-        words = np.zeros(size + block.longest + _PACK, np.int64)
+        bits = block.bits
+        words = np.zeros(size + block.longest + 63 // bits, np.int64)
         words[at] = pc.fill_null(pc.index_in(flat, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         known = words > 0
         unknown = np.flatnonzero(~known)
         positions = np.flatnonzero(known)
         run = unknown[np.searchsorted(unknown, positions)] - positions
         positions = positions[run >= block.shortest]
-        packed = _pack(words)
-        array = _sorted(packed, positions, block.longest)
-        ends = [_bisect(packed, array, block.packed, block.query, block.query_length, right) for right in (False, True)]
+        packed = _pack(words, bits)
+        array = _sorted(packed, positions, block.longest, bits)
+        ends = [_bisect(packed, array, block.packed, block.query, block.query_length, right, bits) for right in (False, True)]
         which, place = _repeat(*ends)
         if not len(which):
             continue
         places, length = array[place], block.query_length[which]
         # longest match of each place: with its neighbours among the sorted test suffixes
         spots = np.unique(places)
-        full = np.full(len(spots), block.longest)
-        near = _bisect(block.packed, block.suffixes, packed, spots, full, False)
-        best = np.zeros(len(spots), np.int64)
-        for side in (near - 1, near):
+        near = _bisect(block.packed, block.suffixes, packed, spots, np.full(len(spots), block.longest), False, bits)
+        best, best_at = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
+        for side in (near, near - 1):
             ok = (side >= 0) & (side < len(block.suffixes))
             other = block.suffixes[np.clip(side, 0, len(block.suffixes) - 1)]
-            common = _common_known(packed, spots, block, other)
-            best = np.maximum(best, np.where(ok, common, 0))
+            common = np.where(ok, _common_known(packed, spots, block, other), 0)
+            best_at = np.where(common > best, other, best_at)
+            best = np.maximum(best, common)
         np.maximum.at(longest, doc_of[spots], best)
+        owner = np.searchsorted(block.firsts, best_at, side="right") - 1
+        matches += zip(spots.tolist(), best.tolist(), [block.ids[i] for i in owner.tolist()], (best_at - block.firsts[owner]).tolist())
         edge = np.zeros(size + block.longest + 1, np.int64)
         np.add.at(edge, places, 1)
         np.add.at(edge, places + length, -1)
@@ -205,71 +231,114 @@ def _shard(texts: pa.Array, blocks: Iterator[Block]) -> tuple[np.ndarray, np.nda
         pairs = np.unique(np.stack([doc_of[places], which], axis=1), axis=0)
         owner, spot = _repeat(block.item_bounds[pairs[:, 1]], block.item_bounds[pairs[:, 1] + 1])
         for doc, item in np.unique(np.stack([pairs[owner, 0], block.items[spot]], axis=1), axis=0).tolist():
-            if block.ids[item] is not None:
-                found[doc].add(block.ids[item])
-    n_hit = np.bincount(doc_of[hit], minlength=len(counts))
-    return counts, n_hit, longest, [sorted(x) for x in found]
+            items[doc].add(block.ids[item])
+    first, locations, end = np.cumsum(counts + 1) - counts - 1, [[] for _ in counts], 0
+    # of all blocks' matches those that no other one holds
+    for spot, n, item, item_start in sorted(matches, key=lambda m: (m[0], -m[1], m[2] is None, m[2] or "", m[3])):
+        if spot + n > end:
+            end, doc = spot + n, doc_of[spot]
+            locations[doc].append((int(spot - first[doc]), n, item, item_start))
+    return Found(counts, np.bincount(doc_of[hit], minlength=len(counts)), longest, items, locations)
 
 
 def _common_known(packed: np.ndarray, spots: np.ndarray, block: Block, other: np.ndarray) -> np.ndarray:
     """Words in common up to the first that is unknown or ends a text."""
-    _, common = _compare(packed, spots, block.packed, other, np.full(len(spots), block.longest))
+    _, common = _compare(packed, spots, block.packed, other, np.full(len(spots), block.longest), block.bits)
     zeros = np.flatnonzero(block.words == 0)
     left = zeros[np.searchsorted(zeros, other)] - other
     return np.minimum(common, left)
 
 
-def _blocks(path: str, window: int) -> Iterator[Block]:
+def _prepare(path: str, window: int):
+    """Task function: blocks of the task's items, written to ``path``; a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context, n = TaskContext.get(), 0
+        for batch in batches:
+            for rows in (batch.slice(at, BLOCK_ITEMS) for at in range(0, batch.num_rows, BLOCK_ITEMS)):
+                for part in pieces(rows, 1, BLOCK_BYTES):
+                    name = f"{context.partitionId():06d}-{n:06d}.block"
+                    with written(f"{path}/{name}", str(context.taskAttemptId())) as out:
+                        out.write(pickle.dumps(Block(part.column(0).to_pylist(), part.column(1), window, BITS), protocol=5))
+                    n += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part.num_rows], pa.int64())], names=["name", "n"])
+
+    return run
+
+
+def prepared(items: DataFrame, window: int = WINDOW) -> str:
+    """Prepares ``items`` (item_id, text) as blocks in the shared folder; returns their
+    folder, which lists them in ``names``."""
+    spark = items.sparkSession
+    path = fresh_path(spark, "test-items")
+    items.select("item_id", "text").write.parquet(f"{path}/items")
+    given = spark.read.parquet(f"{path}/items")  # small files are read together
+    given.mapInArrow(_prepare(f"{path}/blocks", window), "name string, n long").write.parquet(f"{path}/names")
+    return path
+
+
+def _blocks(path: str) -> Iterator[Block]:
     from pyarrow import dataset
 
-    store, at = located(path)
-    for batch in dataset.dataset(at, filesystem=store, format="parquet").to_batches(columns=["item_id", "text"], batch_size=BLOCK_ITEMS):
-        if batch.num_rows:
-            yield Block(batch.column(0).to_pylist(), batch.column(1), window)
+    store, at = located(f"{path}/names")
+    for name in sorted(dataset.dataset(at, filesystem=store, format="parquet").to_table(columns=["name"]).column(0).to_pylist()):
+        yield pickle.loads(read_bytes(f"{path}/blocks/{name}"))
+
 
+def _shards(batches: Iterator[pa.RecordBatch], text_column: int, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in shards of about ``n_bytes`` of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, text_column, n_bytes):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(text_column))).as_py() or 0
+            if size >= n_bytes // 2:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
-def _scan(path: str, window: int, n_kept: int, names: list[str]):
+
+def _scan(path: str, n_kept: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only: list[Block] = []  # a benchmark of one block is prepared once for the task
+        only: list[Block] = []  # a benchmark of one block is loaded once for the task
 
         def blocks() -> Iterator[Block]:
             if only:
                 yield from only
                 return
             n = 0
-            for block in _blocks(path, window):
+            for block in _blocks(path):
                 n += 1
                 last = block
                 yield block
             if n == 1:
                 only.append(last)
 
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(n_kept)), 0).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < batch.num_rows:
-                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SHARD_BYTES, side="right")))
-                part = batch.slice(at, end - at)
-                n_words, n_hit, longest, found = _shard(part.column(n_kept), blocks())
-                made = [n_words, n_hit, longest, np.array([len(x) for x in found], np.int64)]
-                columns = [part.column(i) for i in range(n_kept)] + [pa.array(x.astype(np.int64)) for x in made] + [pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                at = end
+        for part in _shards(batches, n_kept, SHARD_BYTES):
+            found = _shard(part.column(n_kept), blocks())
+            numbers = [found.words, found.hit, found.longest, np.array([len(x) for x in found.items], np.int64)]
+            ids = pa.array([sorted(x - {None}) for x in found.items], pa.list_(pa.string()))
+            places = pa.array([[dict(zip(("start", "n_words", "item_id", "item_start"), m)) for m in x] for x in found.locations], _LOCATIONS)
+            columns = [part.column(i) for i in range(n_kept)] + [pa.array(x.astype(np.int64)) for x in numbers] + [ids, places]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, prefix: str = "") -> DataFrame:
     """``docs`` (``keep``..., text) against ``items`` (item_id, text) → the kept columns,
-    n_words, n_hit, longest_match, n_items and item_ids, each with ``prefix``."""
-    path = fresh_path(docs.sparkSession, "test-items")
-    items.select("item_id", "text").write.option("maxRecordsPerFile", BLOCK_ITEMS).parquet(path)
+    n_words, n_hit, longest_match, n_items, item_ids and locations, each with ``prefix``.
+    Locations are the maximal verbatim matches of a window and more: the document's word
+    they start at and their length, an item and its word they start at."""
+    path = prepared(items, window)
     names = [f"c{i}" for i in range(len(keep))] + [n for n, _ in _RESULT]
-    schema = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).schema
-    for name, kind in _RESULT:
-        schema = schema.add(name, kind if kind == "long" else docs.sparkSession.range(0).select(F.array(F.lit("")).alias("x")).schema["x"].dataType)
     given = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)] + [F.col("text")])
-    return given.mapInArrow(_scan(path, window, len(keep), names), schema).toDF(*keep, *[prefix + n for n, _ in _RESULT])
+    schema = docs.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n, kind in _RESULT)).schema
+    schema = StructType([*given.drop("text").schema, *schema])
+    return given.mapInArrow(_scan(path, len(keep), names), schema).toDF(*keep, *[prefix + n for n, _ in _RESULT])
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -282,7 +351,5 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", "longest_match", "n_items",
-        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "locations",
     )
-
-

@@ -100,11 +100,11 @@ def _partial(k: int, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, n
 _PARTS = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("own", pa.int64()), ("shard", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _tiles(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _tiles(path: str, n_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query rows, their ids and their vectors, by vector length."""
     from pyarrow import dataset
 
-    for tile in dataset.dataset(path, format="parquet").to_batches(columns=["query_row", "v", "id"], batch_size=QUERY_TILE):
+    for tile in dataset.dataset(path, format="parquet").to_batches(columns=["query_row", "v", "id"], batch_size=n_rows):
         if tile.num_rows:
             rows, ids = tile.column(0).to_numpy(), tile.column(2).to_numpy()
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), tile.column(1)], ["id", "v"])
@@ -114,7 +114,7 @@ def _tiles(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 def _search(tiles_path: str, k: int):
     def found(shard: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, q in _tiles(tiles_path) if held else ():
+        for rows, ids, q in _tiles(tiles_path, QUERY_TILE) if held else ():
             parts = [_partial(k, part_ids, _scores(q, v)) for part_ids, v in held.get(q.shape[1], ())]
             if parts:
                 at, vec_ids, score = (np.concatenate(x) for x in zip(*parts))

@@ -75,7 +75,7 @@ def windows(items: list[tuple[int, str | None]], size: int = 10) -> dict[tuple,
     for item_id, text in items:
         words = decontam_words(text)
         for i in range(max(1, len(words) - size + 1)) if words else ():
-            found[tuple(words[i : i + size])] |= {str(item_id)} if item_id is not None else set()
+            found[tuple(words[i : i + size])] |= {str(item_id) if item_id is not None else None}
     return found
 
 
@@ -90,7 +90,20 @@ def decontam_row(text: str | None, known: dict[tuple, set[str]]) -> tuple:
             if (window := tuple(words[i : i + n])) in known:
                 hit |= set(range(i, i + n))
                 items |= known[window]
-    return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+    return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), bool(hit)
+
+
+def matches(text: str | None, items: list[str | None], window: int = 10) -> list[tuple[int, int]]:
+    """(start, length) of the matches with items that no longer one holds, in words; those
+    of an item of fewer words than a window are the whole item."""
+    words, found = decontam_words(text), set()
+    for item in map(decontam_words, items):
+        for a in range(len(words)):
+            for b in range(len(item)):
+                n = next((k for k in range(min(len(words) - a, len(item) - b)) if words[a + k] != item[b + k]), min(len(words) - a, len(item) - b))
+                if n and n >= min(window, len(item)):
+                    found.add((a, n))
+    return sorted((a, n) for a, n in found if not any((b <= a and a + n <= b + m and (a, n) != (b, m)) for b, m in found))
 
 
 def _luhn(digits: str) -> bool:

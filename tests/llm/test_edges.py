@@ -275,7 +275,8 @@ def test_decontamination(spark, docs, monkeypatch):
     want = sorted(((i, *brute.decontam_row(t, known)[:3]) for i, t, _ in CASES), key=repr)
     assert got() == want
     monkeypatch.setattr(decontam, "SHARD_BYTES", 10)
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    for name in ("BLOCK_ITEMS", "BLOCK_BYTES"):
+        monkeypatch.setattr(decontam, name, 2)
     assert got() == want
     kept = decontam.clean(docs, benchmark)
     assert kept.columns == docs.columns and values(kept, "doc_id") == sorted(((i,) for i, t, _ in CASES if not brute.decontam_row(t, known)[4]), key=repr)
@@ -285,19 +286,39 @@ def test_decontamination(spark, docs, monkeypatch):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("ab ", max_size=60), min_size=1, max_size=5), st.lists(st.text("abc ", max_size=40), min_size=1, max_size=6), st.integers(2, 5))
 def test_suffix_arrays_find_every_window(texts, items, window):
-    block = decontam.Block(list(range(len(items))), pa.array(items), window)
-    counts, hit, longest, found = decontam._shard(pa.array(texts), iter([block]))
+    half = len(items) // 2
+    blocks = [decontam.Block(ids, pa.array([items[i] for i in ids], pa.string()), window) for ids in (list(range(half)), list(range(half, len(items)))) if ids]
+    found = decontam._shard(pa.array(texts), iter(blocks))
     known = brute.windows(list(enumerate(items)), window)
     for i, text in enumerate(texts):
         n_words, n_hit, n_items, _, _ = brute.decontam_row(text, known)
-        assert (counts[i], hit[i], len(found[i])) == (n_words, n_hit, n_items)
-        words, best = text.split(), 0
-        for item in (x.split() for x in items):
-            for a in range(len(words)):
-                for b in range(len(item)):
-                    n = next((k for k in range(min(len(words) - a, len(item) - b)) if words[a + k] != item[b + k]), min(len(words) - a, len(item) - b))
-                    best = max(best, n if n >= min(window, len(item)) else 0)
-        assert longest[i] == best
+        assert (found.words[i], found.hit[i], len(found.items[i])) == (n_words, n_hit, n_items)
+        matches = brute.matches(text, items, window)
+        assert [(start, n) for start, n, _, _ in found.locations[i]] == matches and found.longest[i] == max((n for _, n in matches), default=0)
+        for start, n, item, item_start in found.locations[i]:
+            assert text.split()[start : start + n] == items[int(item)].split()[item_start : item_start + n]
+
+
+@pytest.mark.parametrize("bits", [(2, 31), (21, 31)])
+def test_blocks_are_prepared_once_at_any_vocabulary(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontam, "BITS", bits)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 42)
+    items = [(i, " ".join(f"w{i * 7 % 11 + k}" for k in range(12))) for i in range(3)] + [(None, "x y"), (None, "y x")]
+    path = decontam.prepared(spark.createDataFrame(items, ITEMS).coalesce(1), 10)
+    blocks = list(decontam._blocks(path))
+    assert [b.bits for b in blocks] == ([31, 31, 31, 2] if bits[0] == 2 else [21] * 4)  # two words fit two bits
+
+    def built(*_):
+        raise AssertionError("a block was built again")
+
+    monkeypatch.setattr(decontam.Block, "__init__", built)
+    texts = [f"a {items[1][1]} x y x", items[2][1], "none", None]
+    scan = decontam._scan(path, 1, ["c0"] + [n for n, _ in decontam._RESULT])
+    (out,) = scan(iter([pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["c0", "text"]) for i, t in enumerate(texts)]))
+    known = brute.windows(items)
+    for row, text in zip(out.to_pylist(), texts):
+        assert (row["n_words"], row["n_hit"], row["n_items"]) == brute.decontam_row(text, known)[:3]
+        assert [(m["start"], m["n_words"]) for m in row["locations"]] == brute.matches(text, [t for _, t in items])
 
 
 def test_html(spark):

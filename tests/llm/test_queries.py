@@ -48,6 +48,14 @@ def test_decontamination(answer, documents, spark, sf_dir):
     known = brute.windows(rows(spark, sf_dir, "benchmark", "item_id", "text"))
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in answer("op9_decontamination")}
     assert got == {d: brute.decontam_row(t, known) for d, t in documents}
+    texts = {str(i): brute.decontam_words(t) for i, t in rows(spark, sf_dir, "benchmark", "item_id", "text")}
+    words, n = {d: brute.decontam_words(t) for d, t in documents}, 0
+    for r in answer("op9_decontamination"):
+        assert bool(r.locations) == r.contaminated and r.longest_match == max((x.n_words for x in r.locations), default=0)
+        for x in r.locations:
+            assert words[r.doc_id][x.start : x.start + x.n_words] == texts[x.item_id][x.item_start : x.item_start + x.n_words]
+            n += x.n_words
+    assert n
 
 
 def test_toxicity_scores(spark):
