@@ -99,11 +99,11 @@ def firsts(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct lines that share a half with another, and few more: h, h2, place, ord. The
-    longs of ord follow the places, and name the lines from here on."""
+    """Distinct lines that share a half with another: h, h2, place, ord. The longs of ord
+    follow the places, and name the lines from here on."""
     halves = known.where("halves is not null").select("h", "h2", "place", F.explode("halves").alias("half"))
     shared = scratch.table(halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half"), "shared-halves")
-    found = sifted(halves, ["half"], shared).dropDuplicates(["h", "h2"]).select("h", "h2", "place")
+    found = sifted(halves, ["half"], shared).join(shared, "half", "left_semi").dropDuplicates(["h", "h2"]).select("h", "h2", "place")
     return scratch.table(found.sort("place").withColumn("ord", F.monotonically_increasing_id()), "line-candidates")
 
 
