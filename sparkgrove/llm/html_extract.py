@@ -5,15 +5,19 @@ named by its tag and classes, generalised by dropping digits (``div.post-12`` be
 ``div.post-``). A page names the deepest container that holds all text not left out, or
 the article around it. Spark counts these votes
 per host and path; the path with most votes wins, and each page of the host is
-extracted again from the containers on the winning path. A page without such a
-container keeps its own best one. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out wherever they stand.
+extracted again from the containers on the winning path, if these hold at least half of the
+page's text; else from its own best one, which holds all of it. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments and hidden elements are
+left out wherever they stand, inside a line of text as well. They are known by their tags,
+roles and attributes, and by the word that a class or id ends in (``left-sidebar``,
+``ad-slot``, but not ``related-work``).
 
 Defined results: a null or empty html has an empty text. A null url, or one without a
 host, votes under the empty host. Ties between paths go to the shorter path, then to
 the first by code point. Repeated rows vote each. Malformed markup (unclosed or
-crossing tags) is read like a browser would in simple cases, and never fails. Columns
-besides page_id, url and html are not read.
+crossing tags, stray quotes) is read like a browser would in simple cases, at any depth, and
+never fails; a tag that never ends is text. Columns besides page_id, url and html are not
+read.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Scratch, materialize, pieces, table
+from .sieve import bits_for, flagged, sieve
 from .url_filter import host_of
 
 #: Names of HTML elements by the way they are read.
@@ -39,13 +44,23 @@ INLINE = frozenset(
 #: Elements that are never part of an article; ``header`` is one only outside of it.
 SKIPPED = frozenset("nav footer aside form button select option datalist dialog menu svg math canvas object audio video head header map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that mark what is not the article.
+#: Words that mark what is not the article, if they are the last word of a
+#: class or id but for words of place and shape; the second only outside of an article.
 MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner nav navbar navigation menu menus "
-    "breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices alert alerts "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond "
-    "disqus discussion replies reply pagination pager toolbar form search skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions banner banners nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead topbar cookie cookies consent gdpr notice notices alert "
+    "alerts popup popups modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond "
+    "disqus replies pagination pager toolbar".split()
 )
+MARKED_OUTSIDE = frozenset("header search form overlay skip discussion reply".split())
+SHAPES = frozenset(
+    "area articles author bar block body bottom box button buttons column container content count desktop fixed form global group heading icon icons inline inner "
+    "item items left link links list local main message meta mobile outer page panel posts primary right row secondary section site slot sticky tab tabs text title "
+    "tools top unit view wrap wrapper".split()
+)
+#: Fixed values: ``with-sidebar`` is not a sidebar, ``article-header`` not a page's header.
+_BESIDE_ALL = frozenset("with has no without".split())
+_BESIDE = _BESIDE_ALL | frozenset("article entry post story content chapter".split())
 #: Elements whose end is implied by the start of these.
 _ENDS = {
     "p": frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -54,55 +69,73 @@ _ENDS = {
 }
 #: What an implied end does not reach through.
 _WALLS = {"p": frozenset("button table td th caption".split()), "li": frozenset("ul ol menu".split()), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "option": frozenset(["select"])}
-_TOKEN = re.compile(r"<(?:!--(.*?)(?:-->|$)|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^<>]*+>)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
-#: Fixed values: ``with-sidebar`` is not a sidebar.
-_BESIDE = frozenset(("with", "has", "no", "without"))
+_TOKEN = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)*+)>|[!?/][^>]*+>)", re.S
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_JUDGED = re.compile(r"class|id|role|style", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Of which open elements each element is the nearest that ends them, or hides them.
 _NEAREST = {tag: tuple(name for name in _ENDS if tag == name or tag in _WALLS[name]) for tag in set(_ENDS).union(*_WALLS.values())}
-#: Paths go down to this depth; deeper elements are on the path of the one there.
-MAX_DEPTH = 256
 _DIGITS = re.compile(r"[0-9]+")
 
 
 class Container:
-    """An open element: its generalised path, whether it is left out or in an article."""
+    """An open element: its generalised name, whether it is left out or in an article, and
+    a number that tells its path from others."""
 
-    __slots__ = ("article", "depth", "named", "nearest", "parent", "path", "skip", "tag")
+    __slots__ = ("article", "depth", "name", "nearest", "number", "parent", "skip", "tag")
 
-    def __init__(self, tag: str, path: str, skip: bool, article: bool, parent: Container | None):
-        self.tag, self.path, self.skip, self.article, self.parent = tag, path, skip, article, parent
-        self.depth = parent.depth + 1 if parent else 0
-        #: the element that the path names, and the nearest elements by what they end or hide
-        self.named = self if self.depth <= MAX_DEPTH else parent.named
+    def __init__(self, tag: str, name: str, skip: bool, article: bool, parent: Container | None):
+        self.tag, self.name, self.skip, self.article, self.parent = tag, name, skip, article, parent
+        self.depth, self.number = (parent.depth + 1, hash((parent.number, name))) if parent else (0, 0)
+        #: the nearest elements by what they end or hide
         self.nearest = parent.nearest if parent else {}
         if tag in _NEAREST:
             self.nearest = self.nearest | dict.fromkeys(_NEAREST[tag], self)
 
+    def path(self) -> str:
+        names, node = [], self
+        while node.parent:
+            names.append(node.name)
+            node = node.parent
+        return "".join(f"/{name}" for name in reversed(names))
+
+
+def marks(token: str, article: bool) -> bool:
+    """Whether a class or id names something else than an article's text."""
+    parts = [x.lower() for x in _PARTS.findall(token.lower() if token.isupper() else token)]
+    kept = list(parts)
+    while len(kept) > 1 and (kept[-1] in SHAPES or len(kept[-1]) == 1):
+        kept.pop()
+    if not kept or kept[-1] not in MARKED and (article or kept[-1] not in MARKED_OUTSIDE):
+        return False
+    beside = _BESIDE if kept[-1] == "header" else _BESIDE_ALL
+    return not any(x in beside for x in kept[:-1])
+
+
+def _judged(tag: str, attributes: str, article: bool) -> tuple[str, bool, bool]:
+    """What an element's attributes say: its classes without digits, whether it is marked
+    as something else than the article's text, whether it is hidden."""
+    given: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        given.setdefault(key.lower(), "".join(values))
+    tokens = given.get("class", "").split()
+    marked = given.get("role", "").strip().lower() in ROLES or any(marks(t, article) for t in (*tokens, *given.get("id", "").split()))
+    hidden = "hidden" in given or bool(_HIDING.search(given.get("style", "")))
+    return ".".join(sorted(_DIGITS.sub("", t).lower().replace("/", "|") for t in tokens)), marked, hidden
+
 
 def _opened(tag: str, attributes: str, parent: Container) -> Container:
-    names, marked, role = "", False, ""
-    if attributes:
-        for key, *values in _ATTRIBUTE.findall(attributes):
-            value, key = "".join(values).lower(), key.lower()
-            if key == "role":
-                role = value.strip()
-                continue
-            for token in value.split():
-                parts = set(_PARTS.findall(token))
-                if parent.article:
-                    parts.discard("header")
-                marked = marked or not parts.isdisjoint(MARKED) and parts.isdisjoint(_BESIDE)
-            if key == "class":
-                names = ".".join(sorted(_DIGITS.sub("", c) for c in value.split()))
+    names, marked, hidden = _judged(tag, attributes, parent.article) if attributes else ("", False, False)
     article = parent.article or tag in ("article", "main")
-    skip = parent.skip or role in ROLES or (tag in SKIPPED and not (tag == "header" and parent.article))
-    skip = skip or (marked and tag not in ("body", "html", "article", "main"))
-    path = parent.path
-    if parent.depth < MAX_DEPTH:
-        path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
-    return Container(tag, path, skip, article, parent)
+    skip = parent.skip or hidden or (marked and tag not in ("body", "html", "article", "main"))
+    if tag == "header":
+        skip = skip or not parent.article and not any(x in _BESIDE for x in names.replace("-", ".").replace("_", ".").split("."))
+    else:
+        skip = skip or tag in SKIPPED
+    return Container(tag, f"{tag}.{names}" if names else tag, skip, article, parent)
 
 
 def blocks(html: str) -> list[tuple[Container, str]]:
@@ -110,35 +143,46 @@ def blocks(html: str) -> list[tuple[Container, str]]:
     character references resolved."""
     root = at = Container("", "", False, False, None)
     found: list[tuple[Container, str]] = []
-    pieces: list[str] = []
+    held: list[str] = []
     opened: dict[str, int] = {}
+    # of a marked or hidden element inside a block: its container, its tag, how many are open
+    muted: tuple[Container, str, int] | None = None
 
     def leave(node: Container) -> None:
-        nonlocal at
+        nonlocal at, muted
         while at is not node.parent:
             opened[at.tag] -= 1
             at = at.parent
+        if muted and at.depth < muted[0].depth:
+            muted = None
 
     def flush() -> None:
-        if pieces:
-            text = "".join(pieces)
-            pieces.clear()
+        if held:
+            text = "".join(held)
+            held.clear()
             if text := " ".join((unescape(text) if "&" in text else text).split()):
                 found.append((at, text))
 
-    end, n, search = 0, len(html), _TOKEN.search
-    while m := search(html, end):
-        if m.start() > end and not at.skip:
-            pieces.append(html[end : m.start()])
-        end = m.end()
-        tag = m[3]
+    end, look, n = 0, 0, len(html)
+    while (look := html.find("<", look)) >= 0:
+        m = _TOKEN.match(html, look)
+        if m is None:
+            look += 1
+            if html[look : look + 1].isalpha() or html[look : look + 1] in ("/", "!", "?"):
+                break  # a tag that never ends: the rest is text
+            continue
+        if look > end and not at.skip and not muted:
+            held.append(html[end:look])
+        end = look = m.end()
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[1]:
             if tag in INLINE:
-                continue
-            if opened.get(tag):
+                if muted and muted[1] == tag:
+                    muted = (muted[0], tag, muted[2] - 1) if muted[2] > 1 else None
+            elif opened.get(tag):
                 flush()
                 node = at
                 while node.tag != tag:
@@ -147,14 +191,20 @@ def blocks(html: str) -> list[tuple[Container, str]]:
             elif tag in ("p", "br"):
                 flush()
             continue
-        if tag in RAW and not m[4].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}$", re.I).search(html, end)
-            end = close.end() if close else n
+        if tag in RAW and not m[3].endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}\Z", re.I).search(html, end)
+            end = look = close.end() if close else n
             continue
         if tag == "br":
-            pieces.append(" ")
+            if not muted:
+                held.append(" ")
             continue
         if tag in INLINE:
+            if tag not in VOID:
+                if muted:
+                    muted = (muted[0], muted[1], muted[2] + (muted[1] == tag))
+                elif m[3] and (_JUDGED.search(m[3]) or "hidden" in m[3].lower()) and any(_judged(tag, m[3], at.article)[1:]):
+                    muted = (at, tag, 1)
             continue
         flush()
         for name, by in _ENDS.items():
@@ -162,12 +212,12 @@ def blocks(html: str) -> list[tuple[Container, str]]:
                 node = at.nearest.get(name)
                 if node is not None and node.tag == name:
                     leave(node)
-        if tag in VOID or m[4].endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        at = _opened(tag, m[4], at)
+        at = _opened(tag, m[3], at)
         opened[tag] = opened.get(tag, 0) + 1
-    if end < n and not at.skip:
-        pieces.append(html[end:])
+    if end < n and not at.skip and not muted:
+        held.append(html[end:])
     flush()
     return [(node, text) for node, text in found if not node.skip]
 
@@ -178,7 +228,7 @@ def best_path(found: list[tuple[Container, str]]) -> str:
     for node, _ in found:
         if node is last:
             continue
-        last, node = node, node.named
+        last = node
         if node.tag == "p":  # a paragraph is part of a container, not one itself
             node = node.parent
         best = best or node
@@ -191,54 +241,82 @@ def best_path(found: list[tuple[Container, str]]) -> str:
         return ""
     while best.article and best.tag not in ("article", "main"):
         best = best.parent
-    return best.path
+    return best.path()
+
+
+def _under(found: list[tuple[Container, str]], path: str) -> list[str]:
+    """Texts of the blocks in containers on ``path``."""
+    names, number, known = path.split("/")[1:], 0, {}
+    for name in names:
+        number = hash((number, name))
+    texts = []
+    for node, text in found:
+        seen = []
+        while node.depth > len(names) and node not in known:
+            seen.append(node)
+            node = node.parent
+        inside = known[node] if node in known else (node.depth, node.number) == (len(names), number)
+        known |= dict.fromkeys([node, *seen], inside)
+        if inside:
+            texts.append(text)
+    return texts
 
 
 def main_text(html: str | None, path: str | None) -> str:
-    """Text of all blocks under containers on ``path``, or under the page's own best."""
+    """Text of all blocks under containers on ``path`` if they hold most of the page's, or
+    of the page's own best container, which holds all."""
     found = blocks(html) if html else []
-    if not found:
-        return ""
+    own = [text for _, text in found]
+    under = _under(found, path) if path else []
+    return " ".join(under if 2 * sum(map(len, under)) >= sum(map(len, own)) else own)
 
-    def under(wanted: str) -> list[str]:
-        return [text for node, text in found if node.path == wanted or node.path.startswith(wanted + "/")]
 
-    return " ".join((under(path) if path is not None else []) or under(best_path(found)))
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for b in batches for part in pieces(b, 2)):
+        paths = [best_path(blocks(x.as_py() or "")) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string())], names=["page", "host", "path"])
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = [best_path(blocks(x.as_py() or "")) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
+def page_paths(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) → page (a hash of the row), host, path: the path that
+    each page with any text votes for."""
+    given = pages.select(_page(), host_of(F.col("url")).alias("host"), "html")
+    return given.mapInArrow(_votes, "page long, host string, path string").where("path != ''")
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html) → host, path, votes: the winning path of each host."""
-    given = pages.select(host_of(F.col("url")).alias("host"), "html")
-    votes = given.mapInArrow(_votes, "host string, path string").where("path != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
+def host_paths(votes: DataFrame) -> DataFrame:
+    """``votes`` (host, path) → host, path, votes: the winning path of each host."""
+    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     rank = F.struct((-F.col("votes")).alias("down"), F.length("path").alias("n"), "path")
-    return votes.groupBy("host").agg(F.min(rank).alias("best")).select("host", "best.path", (-F.col("best.down")).alias("votes"))
+    return counted.groupBy("host").agg(F.min(rank).alias("best")).select("host", "best.path", (-F.col("best.down")).alias("votes"))
+
+
+def _page() -> Column:
+    return F.xxhash64("page_id", "url", "html").alias("page")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in pieces(b, 2)):
         texts = [main_text(h.as_py(), p) for h, p in zip(batch.column(2), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-#: Hosts whose winning paths are sent to all tasks; beyond, they are joined by host.
-BROADCAST_HOSTS = 10_000
-
-
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) → page_id, url, text."""
-    winners = materialize(host_paths(pages).select(F.col("host").alias("of"), "path"), "host-paths")
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
-    given = pages.select("page_id", "url", "html").join(winners, host_of(F.col("url")) == F.col("of"), "left")
-    made = given.select("page_id", "url", "html", "path")
-    schema = made.select("page_id", "url").schema.add("text", "string")
-    return made.mapInArrow(_extracted, schema)
+    """``pages`` (page_id, url, html) → page_id, url, text. Only pages that voted for
+    another path than their host's winner are joined with it, behind a sieve; all others
+    are extracted where they lie."""
+    pages = pages.select("page_id", "url", "html")
+    with Scratch(pages.sparkSession) as scratch:
+        votes = scratch.table(page_paths(pages), "page-paths")
+        winners = scratch.table(host_paths(votes).select("host", F.col("path").alias("winner")), "host-paths")
+        others = votes.join(winners, "host").where("path != winner").select("page", "winner").dropDuplicates(["page"])
+        others = materialize(others, "pages-off-path")
+    bits = bits_for(others.count())
+    marked = flagged(pages.withColumn("page", _page()), ["page"], sieve(others, ["page"], bits), bits, "off")
+    off = marked.where("off").join(others, "page", "left").select("page_id", "url", "html", "winner")
+    own = marked.where("not off").select("page_id", "url", "html", F.lit(None).cast("string").alias("winner"))
+    schema = pages.select("page_id", "url").schema.add("text", "string")
+    return own.mapInArrow(_extracted, schema).unionByName(off.mapInArrow(_extracted, schema))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -326,7 +326,7 @@ def test_html(spark):
              (5, "http://a.com/3", "<body><div class=post-2><p>short</div><p>" + "other " * 30), (6, "http://a.com/9", "<body><div class=post-9><p>more</div>")]
     df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
-    assert got == {1: ("long text " * 9).strip(), 2: "", 3: "", 4: "plain", 5: "short", 6: "more"}
+    assert got == {1: ("long text " * 9).strip(), 2: "", 3: "", 4: "plain", 5: "short " + ("other " * 30).strip(), 6: "more"}
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
@@ -351,6 +351,62 @@ def test_html_keeps_the_text_around_a_wrapped_body(spark):
     assert got == {i: (pages[i % 2 if i < 4 else 2][1] + "body text " * 200).strip() for i in range(6)}
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class=page><h1>Headline</h1><div class=content><p>Body one.<p>Body two.</div></div>", "Headline Body one. Body two."),
+        ("<article><div class=related-work><p>a</div><p class=discussion>b</p><h2 id=search-methods>c</h2><div class=ad-free-content>d</div></article>", "a b c d"),
+        ("<article><p>one <span class=advert>BUY <i>NOW</i> <span>x</span></span>two <a class=share href=#>Share</a>three</p></article>", "one two three"),
+        ("<p>one <span class=ad>BUY</p><p>two</p>", "one two"), ("<div>a<span class=advert><div>x</div></span> b</div>c", "a b c"),
+        ("<div hidden>x</div><p style='color:red; Display : none'>y</p><div style=\"visibility:hidden\">z</div><p>a <b hidden>q</b> b<img hidden>c</p>", "a bc"),
+        ("<p title=it's>a</p><p class=a\">b</p><p title=\"x>y\" id='>'>c</p><p a=b'c\"d>e</p><p =>f</p><p a= 'q>' >g</p>", "a b c e f g"),
+        ("a < b <c d=\"e", "a < b <c d=\"e"), ("1<2 <!--> x <!-- <p> --!>y<!-- z", "1<2 x y"), ("<p>a</ p>b<?php x ?>c", "abc"),
+        ("<div class=site-header>x</div><header class=entry-header><h1>T</h1></header><div class='leftSidebar ADVERT'>y</div><div id=comments-area>z</div><p>a", "T a"),
+        ("<div class='with-sidebar no-comments'><p>a</div><div class='menu-of-the-day'>b</div><section class=comment-list>c</section>", "a b"),
+        ("<div class=x>" * 300 + "<nav>MENU ITEM</nav><p>a" + "</div>" * 300, "a"),
+    ],
+)
+def test_html_loses_and_leaks_nothing(html, text):
+    assert html_extract.main_text(html, None) == text
+
+
+def test_a_page_off_the_winning_path_keeps_its_article(spark):
+    usual = [(i, f"http://h.com/{i}", f"<body><article><p>text {i} of this page</article><div class=x>Imprint</div>" if i == 0 else f"<body><article><p>text {i} of this page</article>") for i in range(6)]
+    other = (9, "http://h.com/9", "<body><article>teaser</article><div class=b><h1>Own</h1><p>article of a page that is built in another way</div>")
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([*usual, other, other], "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i} of this page" for i in range(6)} | {9: "teaser Own article of a page that is built in another way"}
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 28])
+def test_html_of_many_hosts(spark, monkeypatch, bits):
+    """Generated templates, several of them on a host, against the texts they were made of."""
+    monkeypatch.setattr(sieve, "MAX_BITS", bits)
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join("w" + "abcdefghij"[int(d)] * int(d + 1) + str(k) for k, d in enumerate(rng.integers(0, 10, n)))
+    junk = [
+        lambda: f"<nav><ul><li><a href=/>J{word(2)}</a></ul></nav>", lambda: f"<div class='left-sidebar c{rng.integers(99)}'><h3>J{word(2)}</h3><p>J{word(9)}</div>",
+        lambda: f"<div id=cookie-notice>J{word(12)}</div>", lambda: f"<aside><p>J{word(20)}</aside>", lambda: f"<form><label>J{word(2)}</label><input><button>J</button></form>",
+        lambda: f"<section class=comments><div class=comment><p>J{word(30)}</div></section>", lambda: f"<script>var J='<p>{word(3)}';</script>", lambda: f"<div class=ad-slot>J{word(4)}</div>",
+    ]
+    wrap = [
+        lambda x: f"<main><div class='post-{rng.integers(999)}'>{x}</div></main>", lambda x: f"<div class=page><div class=inner>{x}</div></div>", lambda x: f"<article>{x}</article>",
+        lambda x: f"<table><tr><td id=main-text>{x}</table>", lambda x: f"<div><section class='story c{rng.integers(9)}'><div class=body>{x}</div></section></div>", lambda x: x,
+    ]
+    pages, texts = [], {}
+    for i in range(240):
+        parts = [word(rng.integers(3, 9)), *(word(rng.integers(5, 60)) for _ in range(rng.integers(1, 6)))]
+        tags = ["h1", *rng.choice(["p", "p", "blockquote", "h2", "div", "pre"], len(parts) - 1)]
+        inside = "".join(f"<{t}>{x}" + (f"</{t}>" if t != "p" or rng.random() < 0.5 else "") + (junk[7]() if rng.random() < 0.2 else "") for t, x in zip(tags, parts))
+        around = [junk[k]() for k in rng.integers(0, len(junk), 6)]
+        html = f"<html><body><header><a>J{word(3)}</a></header>{''.join(around[:3])}{wrap[(i % 12 + i % 7 // 6) % 6](inside)}{''.join(around[3:])}<footer>J{word(5)}</footer></body></html>"
+        pages.append((i, f"https://h{i % 12}.org/{i}", html))
+        texts[i] = " ".join(parts)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    hits = sum(len(set(got[i].split()) & set(t.split())) for i, t in texts.items())
+    assert hits >= 0.95 * sum(len(set(t.split())) for t in texts.values()) and hits >= 0.95 * sum(len(set(t.split())) for t in got.values())
+    assert sum(got[i] == t for i, t in texts.items()) >= 0.95 * len(texts)
+
+
 def html_and_text(node, skip=False):
     """HTML of a tree of (tag, children or words), and its text that is not boilerplate."""
     tag, inside = node
