@@ -320,10 +320,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, order: list[Column] | None
 
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id) < 1 << 16 else 4
-    by = order or [F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text")]
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by{i}") for i, c in enumerate(by)])
-    by = [F.col(f"by{i}").asc_nulls_last() for i in range(len(by))]
-    ordered = given.repartitionByRange(*by[: 2 if order is None else None]).sortWithinPartitions(*by).select("doc_id", "text")
+    names = [f"by{i}" for i in range(len(order or ()))]
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(n) for c, n in zip(order or (), names)])
+    by = [F.col(n).asc_nulls_last() for n in names] or [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
+    ordered = given.repartitionByRange(*by).sortWithinPartitions(*by, F.col("text").asc_nulls_first()).select("doc_id", "text")
     encoded = ordered.mapInArrow(_shards(path, tokenizer, width, end_id), "doc_id long, shard long, offset long, n_tokens long")
     encoded.write.parquet(f"{path}/encoded")
     made = _numbered(spark.read.schema(encoded.schema).parquet(f"{path}/encoded"))
