@@ -28,7 +28,3 @@ def width_of(feat: DataFrame) -> int:
     """Number of features, from one row."""
     row = feat.select(F.size("features")).first()
     return row[0] if row else 0
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

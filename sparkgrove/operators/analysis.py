@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
@@ -27,13 +28,13 @@ def feature_corr(feat: DataFrame) -> DataFrame:
     width = width_of(feat)
     if width > MAX_CORRELATED:
         raise ValueError(f"{width} features; a correlation matrix of more than {MAX_CORRELATED} does not fit the driver")
-    schema = "p1 int, p2 int, r double"
     if not width:
-        return feat.sparkSession.createDataFrame([], schema)
+        return feat.sparkSession.createDataFrame([], "p1 int, p2 int, r double")
     matrix = Correlation.corr(feat.select(array_to_vector("features").alias("x")), "x").first()[0].toArray()
-    pairs = [(i, j, float(matrix[i, j])) for i in range(width) for j in range(i + 1, width)]
-    r = F.when(~F.isnan("r"), tidy(F.col("r")))
-    return feat.sparkSession.createDataFrame(pairs, schema).withColumn("r", r)
+    # the matrix goes back by rows; Spark makes the pairs
+    rows = pa.table({"p1": pa.array(range(width), pa.int32()), "row": pa.array(list(matrix), pa.list_(pa.float64()))})
+    pairs = feat.sparkSession.createDataFrame(rows).select("p1", F.posexplode("row").alias("p2", "r")).where("p2 > p1")
+    return pairs.withColumn("r", F.when(~F.isnan("r"), tidy(F.col("r"))))
 
 
 def welch_t(long: DataFrame, a: int, b: int) -> DataFrame:

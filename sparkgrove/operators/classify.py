@@ -15,6 +15,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import to_long, width_of
 from ..shared import fresh_path
@@ -39,12 +40,15 @@ def _classes(train: DataFrame) -> DataFrame:
 
 
 def _least(train: DataFrame, test: DataFrame, loss: Callable[[Column, Column], Column]) -> DataFrame:
-    """The class of least loss, ties to the lower label."""
+    """The class of least loss, ties to the lower label. The model is fitted at once, by one
+    aggregate, and goes to the test rows as a scalar."""
+    most = MAX_MODEL // max(1, width_of(train))
     classes = _classes(train)
-    width = width_of(train)
-    if width * classes.count() > MAX_MODEL:
+    found = classes.limit(most + 1).collect()
+    if len(found) > most:
         raise ValueError(f"a model of more than {MAX_MODEL} numbers is not sent to every task")
-    model = classes.agg(F.collect_list(F.struct("label", "n", "m", "s2")).alias("model"))
+    schema = StructType([StructField("model", ArrayType(classes.schema))])
+    model = train.sparkSession.createDataFrame([(found,)], schema)
     losses = F.transform("model", lambda c: F.struct(loss(F.col("features"), c).alias("loss"), c["label"].alias("label")))
     scored = test.select("entity_id", "label", "features", model.scalar().alias("model"))
     return scored.select("entity_id", "label", F.array_min(losses)["label"].alias("predicted"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tidy
+from ..shared import fresh_path
 from .folds import with_folds
 
 
@@ -46,7 +47,9 @@ def cross_validate(feat: DataFrame, k: int, classifier: Callable[[DataFrame, Dat
 
     ``prepare(train, test)`` returns both, changed by what is learned from the training
     rows only (scaling, say)."""
-    folded = with_folds(feat, k).persist()
+    path = fresh_path(feat.sparkSession, "folds")
+    with_folds(feat, k).write.parquet(path)  # read once for each fold
+    folded = feat.sparkSession.read.parquet(path)
     scores = None
     for fold in range(k):
         train, test = (folded.where(F.col("fold") != fold).drop("fold"), folded.where(F.col("fold") == fold).drop("fold"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import tidy, to_long
+from ..functions import tidy, to_long, width_of
 from ..operators import analysis, classify, clustering, evaluate, folds, scaling
 from ..sources.features import read_features
 
-K_FOLDS, NEIGHBOURS = 5, 5
+K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +24,17 @@ def split(feat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return feat.where("entity_id % 5 != 0"), feat.where("entity_id % 5 = 0")
 
 
+def planted(feat: DataFrame) -> DataFrame:
+    """``feat`` with 3.0 added to the element that each row's label numbers: a table whose
+    classes any classifier or clustering that works tells apart."""
+    return feat.withColumn("features", F.transform("features", lambda x, i: x + F.when(i == F.col("label"), 3.0).otherwise(0.0)))
+
+
+def plane(feat: DataFrame) -> DataFrame:
+    """``feat`` with the first two features only, whose principal axes have a closed form."""
+    return feat.withColumn("features", F.slice("features", 1, 2))
+
+
 def _feat(make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: make(features(spark, sf_dir))
 
@@ -51,6 +62,54 @@ def p10_cluster_by_class(feat: DataFrame) -> DataFrame:
     return clustering.cluster_by_class(clusters, feat)
 
 
+def p8_pca_plane(feat: DataFrame) -> DataFrame:
+    """Squares of both components: an axis may point either way."""
+    return clustering.pca(plane(feat), 2).select("entity_id", *[tidy(F.col("pc")[i] * F.col("pc")[i]).alias(f"square{i + 1}") for i in range(2)])
+
+
+def p8_pca_norms(feat: DataFrame) -> DataFrame:
+    """All components together keep every row's distance from the mean, and have no
+    covariance; the mean is taken off here, since projection keeps it."""
+    pc = to_long(clustering.pca(feat, width_of(feat)).withColumnRenamed("pc", "features"))
+    centred = pc.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("pos")))
+    return centred.groupBy("entity_id").agg(tidy(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+
+
+def p8_pca_covariance(feat: DataFrame) -> DataFrame:
+    """Covariance of each two of the first three components."""
+    pc = clustering.pca(feat, 3)
+    found = [F.covar_samp(F.col("pc")[i], F.col("pc")[j]).alias(f"c{i + 1}{j + 1}") for i, j in ((0, 1), (0, 2), (1, 2))]
+    return pc.agg(*found).select(*[tidy(F.col(c)).alias(c) for c in ("c12", "c13", "c23")])
+
+
+def p9_kmeans_planted(feat: DataFrame) -> DataFrame:
+    """Clusters of the planted table by the class they hold: label, n, share."""
+    feat = planted(feat)
+    return clustering.cluster_by_class(clustering.kmeans(feat, CLASSES), feat).select("label", "n", "share")
+
+
+def p9_silhouette(feat: DataFrame) -> DataFrame:
+    feat = planted(feat)
+    value = clustering.silhouette(feat, clustering.kmeans(feat, CLASSES))
+    return feat.sparkSession.createDataFrame([(value,)], "silhouette double").select(tidy(F.col("silhouette")).alias("silhouette"))
+
+
+def _planted_scores(classifier: Callable[[DataFrame, DataFrame], DataFrame], places: int) -> Query:
+    """Test rows of the planted table by label: n and accuracy, to so many places."""
+
+    def make(feat: DataFrame) -> DataFrame:
+        right = (F.col("label") == F.col("predicted")).cast("double")
+        return classifier(*split(planted(feat))).agg(F.count(F.lit(1)).alias("n"), tidy(F.avg(right), places).alias("accuracy"))
+
+    return _feat(make)
+
+
+def p19_forest_top(feat: DataFrame) -> DataFrame:
+    """The features most important to a forest on the planted table, as many as classes."""
+    importance = classify.forest_importance(planted(feat))
+    return importance.orderBy(F.col("importance").desc(), "pos").limit(CLASSES).select("pos")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -62,17 +121,26 @@ def queries() -> dict[str, Query]:
         "p7_zscore": _feat(p7_zscore),
         "p8_pca": _feat(lambda feat: clustering.pca(feat, 3)),
         "p8_explained_variance": _feat(lambda feat: clustering.explained_variance(feat, 3)),
+        "p8_pca_plane": _feat(p8_pca_plane),
+        "p8_plane_variance": _feat(lambda feat: clustering.explained_variance(plane(feat), 2).withColumn("share", tidy(F.col("share")))),
+        "p8_pca_norms": _feat(p8_pca_norms),
+        "p8_pca_covariance": _feat(p8_pca_covariance),
         "p9_kmeans": _feat(lambda feat: clustering.kmeans(feat, 10)),
+        "p9_kmeans_planted": _feat(p9_kmeans_planted),
+        "p9_silhouette": _feat(p9_silhouette),
         "p10_cluster_by_class": _feat(p10_cluster_by_class),
         "p11_stratified_folds": _feat(lambda feat: folds.stratified_folds(feat, K_FOLDS)),
         "p12_nearest_centroid": _split(classify.nearest_centroid),
         "p13_gaussian_nb": _split(classify.gaussian_nb),
         "p14_knn_classify": _split(lambda train, test: classify.knn_classify(train, test, NEIGHBOURS)),
         "p15_logistic": _split(lambda train, test: classify.logistic(train, test, reg=0.01)),
+        "p15_logistic_planted": _planted_scores(lambda train, test: classify.logistic(train, test, reg=0.01), 6),
         "p16_random_forest": _split(classify.random_forest),
+        "p16_forest_planted": _planted_scores(classify.random_forest, 1),
         "p17_confusion": _split(lambda train, test: evaluate.confusion(classify.nearest_centroid(train, test))),
         "p17_class_scores": _split(lambda train, test: evaluate.class_scores(classify.nearest_centroid(train, test))),
         "p18_cross_validate": _feat(lambda feat: evaluate.cross_validate(feat, K_FOLDS, classify.nearest_centroid)),
+        "p19_forest_top": _feat(p19_forest_top),
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
     }
 
@@ -90,6 +158,11 @@ _FOLDS = """folds AS (
   SELECT vec_id AS entity_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1) % 5)::INTEGER AS fold FROM embeddings)"""
 
 
+_PLANE = """e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM e),
+t AS (SELECT *, (a + d) / 2 AS mid, sqrt((a - d) * (a - d) / 4 + b * b) AS r, atan2(2 * b, a - d) / 2 AS turn FROM m)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_read_features": "SELECT vec_id AS entity_id, len(embedding)::INTEGER AS width, label FROM embeddings",
@@ -104,6 +177,23 @@ def oracle_sql() -> dict[str, str]:
         "p6_anova_f": f"WITH {_F} SELECT pos, f FROM f",
         "p7_zscore": f"""WITH {_LONG}, s AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS sd FROM long GROUP BY pos)
   SELECT entity_id, pos, round(CASE WHEN sd = 0 THEN 0 ELSE (v - m) / sd END, 6) + 0.0e0 AS z FROM long JOIN s USING (pos)""",
+        "p8_pca_plane": f"""WITH {_PLANE}
+SELECT vec_id AS entity_id, round(pow(x * cos(turn) + y * sin(turn), 2), 6) + 0.0e0 AS square1, round(pow(y * cos(turn) - x * sin(turn), 2), 6) + 0.0e0 AS square2 FROM e, t""",
+        "p8_plane_variance": f"""WITH {_PLANE}
+SELECT 1 AS component, round((mid + r) / (2 * mid), 6) + 0.0e0 AS share FROM t UNION ALL SELECT 2, round((mid - r) / (2 * mid), 6) + 0.0e0 FROM t""",
+        "p8_pca_norms": f"""WITH {_LONG}, m AS (SELECT pos, avg(v) AS m FROM long GROUP BY pos)
+SELECT entity_id, round(sum((v - m) * (v - m)), 6) + 0.0e0 AS norm FROM long JOIN m USING (pos) GROUP BY entity_id""",
+        "p8_pca_covariance": "SELECT 0.0e0 AS c12, 0.0e0 AS c13, 0.0e0 AS c23",
+        "p9_kmeans_planted": "SELECT label, count(*) AS n, 1.0e0 AS share FROM embeddings GROUP BY label",
+        "p9_silhouette": f"""WITH {_LONG},
+p AS (SELECT entity_id, label, pos, v + CASE WHEN pos = label THEN 3.0e0 ELSE 0.0e0 END AS v FROM long),
+d AS (SELECT a.entity_id, a.label, b.label AS other, sum((a.v - b.v) * (a.v - b.v)) AS d, count(DISTINCT b.entity_id) AS n
+  FROM p a JOIN p b ON a.pos = b.pos GROUP BY ALL),
+s AS (SELECT entity_id, max(CASE WHEN label = other THEN d / (n - 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b FROM d GROUP BY entity_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0e0 AS silhouette FROM s""",
+        "p15_logistic_planted": "SELECT count(*) AS n, 1.0e0 AS accuracy FROM embeddings WHERE vec_id % 5 = 0",
+        "p16_forest_planted": "SELECT count(*) AS n, 1.0e0 AS accuracy FROM embeddings WHERE vec_id % 5 = 0",
+        "p19_forest_top": "SELECT DISTINCT label AS pos FROM embeddings",
         "p10_cluster_by_class": f"""WITH {_LONG},
 c AS (SELECT label AS k, pos, avg(v) AS m FROM long GROUP BY ALL),
 d AS (SELECT entity_id, label, k, sum((v - m) * (v - m)) AS d FROM long JOIN c USING (pos) GROUP BY ALL),
