@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, materialize, table
 
 #: (verdict, rule): host, slash, start of the path; as the contract of op10 lists them.
 RULES = (
@@ -92,11 +92,20 @@ def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """``outcomes`` (host, bad) → per host: suffix, domain, counts, the posterior of the
     rate of bad pages and its lower bound (null without any labels); plus the overall
     rate. Hosts with null outcomes only have n = 0: their posterior is their prior."""
-    hosts = (
+    with Scratch(outcomes.sparkSession) as scratch:
+        return materialize(_reputation(scratch.table(_counted(outcomes), "host-counts"), z), "host-reputation")
+
+
+def _counted(outcomes: DataFrame) -> DataFrame:
+    return (
         outcomes.groupBy(F.coalesce("host", F.lit("")).alias("host"))
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+
+
+def _reputation(hosts: DataFrame, z: float) -> DataFrame:
+    """Of counted hosts, which are read for each level and prior."""
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -166,17 +175,17 @@ outcomes AS (
   FROM p JOIN labels ON TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) = doc_id
   WHERE quality IS NOT NULL OR toxic IS NOT NULL),
 hosts AS (
-  SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad,
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad,
          array_to_string(string_split(host, '.')[-2:], '.') AS domain,
          string_split(host, '.')[-1] AS suffix
-  FROM outcomes GROUP BY host),
+  FROM (SELECT host, bad FROM outcomes UNION ALL SELECT host, NULL FROM p) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(bad), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1.0e0) AS rate FROM suffixes),
 grouped AS (SELECT 's' AS lvl, n, bad FROM suffixes UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 'h', n, bad FROM hosts),
 moments AS (
   SELECT lvl, count(*) AS g, sum(n)::DOUBLE AS nn, sum(bad)::DOUBLE / sum(n) AS p, sum(n * n)::DOUBLE AS n2, sum(bad * bad / n::DOUBLE) AS b2
-  FROM grouped GROUP BY lvl),
+  FROM grouped WHERE n > 0 GROUP BY lvl),
 ks AS (
   SELECT lvl, round(CASE WHEN nn - n2 / nn - (g - 1) <= 0 OR (b2 - nn * p * p) - p * (1 - p) * (g - 1) <= 0 OR p * (1 - p) <= 0 THEN {STRENGTH[1]}e0
     ELSE least(greatest(p * (1 - p) * (nn - n2 / nn - (g - 1)) / ((b2 - nn * p * p) - p * (1 - p) * (g - 1)) - 1, {STRENGTH[0]}e0), {STRENGTH[1]}e0) END, 6) AS k
@@ -188,7 +197,7 @@ dr AS (
   FROM domains d JOIN sr USING (suffix), ks WHERE lvl = 'd'),
 hr AS (
   SELECT host, n, rate, k, (bad + k * domain_rate) / (n + k) AS m FROM hosts JOIN dr USING (domain, suffix), ks WHERE lvl = 'h'),
-bound AS (SELECT host, round(rate, 9) AS lim, round(m - {Z}e0 * sqrt(m * (1 - m) / (n + k + 1)), 9) AS lower_bound FROM hr),
+bound AS (SELECT host, n, round(rate, 9) AS lim, round(m - {Z}e0 * sqrt(m * (1 - m) / (n + k + 1)), 9) AS lower_bound FROM hr),
 ruled AS (
   SELECT p.*, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
@@ -199,6 +208,6 @@ ruled AS (
   FROM p)
 SELECT page_id, r.host, path, rule,
        CASE WHEN rule IN ('example.net/de/8', 'com/en/', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN lower_bound > lim THEN 'block' ELSE 'allow' END AS verdict, lower_bound
+            WHEN lower_bound > lim THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN n > 0 THEN lower_bound END AS lower_bound
 FROM ruled r LEFT JOIN bound b ON r.host = b.host
 """

@@ -9,6 +9,7 @@ import time
 from pathlib import Path
 
 import brute
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -618,6 +619,22 @@ def test_unlabelled_hosts_are_judged_by_their_domain_or_suffix(spark):
     got = {r.page_id: (r.verdict, r.lower_bound is None) for r in url_filter.judge(pages, known).collect()}
     assert got == {0: ("block", True), 1: ("block", True), 2: ("allow", True), 3: ("allow", True), 4: ("block", False), 5: ("allow", True)}
     assert url_filter.judge(pages, known.limit(0), max_bad_rate=0.1).where("verdict = 'block'").count() == 0
+    assert url_filter.judge(pages.limit(0), known).count() == 0 and url_filter.judge(pages.limit(0), known.limit(0)).count() == 0
+
+
+def test_url_filter_is_its_sql(spark, tmp_path):
+    """With hosts that only their domain's or suffix's prior can judge."""
+    pages = [(i, f"http://a{i % 9}.{'bad.info' if i % 3 else 'good.org'}/en/{i}") for i in range(400)] + [(400, "http://new.bad.info/x"), (401, "http://new.info/"), (402, None), (402, "http://b.biz/")]
+    labels = [(i, 1, int(i % 3 > 0)) for i in range(380)] + [(None, 0, 1), (381, None, None)]
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string"), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int")}
+    db = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(f"SELECT page_id, host, path, rule, verdict, lower_bound FROM ({url_filter.ORACLE_SQL})").fetchall()
+    got = values(url_filter.op10_url_filter(spark, str(tmp_path)), "page_id", "host", "path", "rule", "verdict", "lower_bound")
+    assert [x[:5] for x in got] == [x[:5] for x in sorted(want, key=repr)]
+    assert {x[0]: x[4] for x in got if x[0] in (400, 401)} == {400: "block", 401: "block"}
 
 
 def test_words_pattern():
