@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, materialize, pieces, table
 from .components import components
+from .sieve import bits_for, flagged, sieve, sifted
 
 #: Widths of the ring's segments, from the lowest bit.
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -39,8 +40,6 @@ SEED = 42
 #: Fingerprints in one block of a large key.
 BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Keys of three fingerprints or more that are sent to all tasks; beyond, they are joined.
-BROADCAST_KEYS = 500_000
 #: Shingles unpacked to bits at a time.
 _STEP = 1 << 16
 
@@ -177,11 +176,12 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emitted(held[0])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) → edges (a, b) that span the graph of all links."""
+def links(nodes: DataFrame, written=materialize) -> DataFrame:
+    """Distinct fingerprints (fp) → edges (a, b) that span the graph of all links;
+    ``written`` writes a table and reads it again."""
     keyed = _keyed(nodes)
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    keys = materialize(keys, "simhash-keys").withColumn("bit", _bit_of(F.col("key")))
+    keys = written(keys, "simhash-keys").withColumn("bit", _bit_of(F.col("key")))
     x = F.col("a").bitwiseXOR(F.col("b"))
     chain_ok = F.lit(True)
     for j, mask in enumerate(_segment_masks()):
@@ -192,25 +192,36 @@ def links(nodes: DataFrame) -> DataFrame:
         low, high = (mask & -mask).bit_length() - 1, mask.bit_length() - 1
         chain_ok = F.when(F.col("bit").between(low, high), here).otherwise(chain_ok)
     pairs = keys.where("n = 2").where(chain_ok).select("a", "b")
-    large = keys.where("n > 2").select("key", "bit", "n")
-    if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        large = F.broadcast(large)
+    large = written(keys.where("n > 2").select("key", "bit", "n"), "simhash-crowded-keys")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
-    members = keyed.join(large, "key").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    members = sifted(keyed, ["key"], large).join(large, "key").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     grouped = members.select("key", "bit", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "fp")
     walked = grouped.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_walk, "a long, b long")
     return pairs.unionByName(walked).distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp, first, an orderable struct) → fp, root: the least first
+    that links reach. Components are found over the structs, so that their root is it."""
+    with Scratch(nodes.sparkSession) as scratch:
+        edges = scratch.table(links(nodes.select("fp"), scratch.table), "links")
+        met = scratch.table(sifted(nodes, ["fp"], edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "linked")
+        named = met.select("fp", F.struct("first", "fp").alias("node"))
+        for end in ("a", "b"):
+            ends = named.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
+            edges = scratch.table(edges.join(ends, end), f"links-{end}")
+        found = components(edges, "a_node", "b_node").select("node.fp", F.col("root.first").alias("root"))
+    return found
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` (id, text) → doc_id, fp, component_id, one row per row."""
     fps = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = scratch.table(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")), "nodes")
+        named = nodes.join(_rooted(nodes), "fp", "left").select("fp", F.coalesce("root", "first")["doc_id"].alias("component_id"))
+        named = materialize(named, "simhash-components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -225,16 +236,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Columns stay as they are, whatever their names."""
     marked = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
     fps = materialize(fingerprints(marked), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    found = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    rows = fps.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    chosen = chosen.join(rows, chosen["id"].eqNullSafe(rows["doc_id"]) & (chosen["hash"] == rows["text_hash"])).select("id", "hash", "n")
-    chosen = materialize(chosen, "simhash-kept")
-
-    def of(kept: DataFrame) -> DataFrame:
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["hash"]), "left_semi")
-
-    repeated = of(chosen.where("n > 1")).dropDuplicates(["doc_id", "text"])
-    return of(chosen.where("n = 1")).unionByName(repeated)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = scratch.table(fps.groupBy("fp").agg(first), "nodes")
+        roots = nodes.join(_rooted(nodes), "fp", "left").select(F.coalesce("root", "first").alias("first")).distinct()
+        roots = roots.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), F.lit(True).alias("kept"))
+        rows = fps.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        found = rows.join(scratch.table(roots, "roots"), rows["doc_id"].eqNullSafe(F.col("id")) & (rows["text_hash"] == F.col("hash")), "left")
+        found = found.where("kept is null or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__of"), F.col("kept").alias("__kept"))
+        touched = materialize(found, "simhash-touched")
+    # documents that stay as they are, most of them, are not moved
+    bits = bits_for(touched.count())
+    marked = flagged(docs.withColumn("__hash", F.xxhash64("text")), ["doc_id", "__hash"], sieve(touched, ["__id", "__of"], bits), bits, "__met")
+    met = marked.where("__met").join(touched, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = met.where("__kept").select(own).dropDuplicates(["doc_id", "text"])
+    return marked.where("not __met").select(own).unionByName(met.where("__of is null").select(own)).unionByName(repeated)
