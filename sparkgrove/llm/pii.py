@@ -6,6 +6,10 @@ anchor and validate what they find. Base kinds follow the patterns of the contra
 leftmost and not overlapping within a kind; a match that fails its check is dropped and
 its text consumed. Further kinds add spans and never remove any:
 
+``telephone``   after a plus sign, where too many digits follow for a base phone: up to the
+                last space that leaves 9 to 15 digits
+``number``      a card number among others: a part without spaces, of 13 to 19 digits that
+                pass Luhn, of a run that is no base card
 ``mailbox``     an email whose name part goes on in letters that are not ASCII
 ``login``       user and password in a URL, ``scheme://user:password@``
 ``iban``        an account number that passes its mod-97 check, in its country's length
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import pieces, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("mailbox", "login", "iban", "identifier", "secret", "address")
+MORE_KINDS = ("telephone", "number", "mailbox", "login", "iban", "identifier", "secret", "address")
 _KINDS = {k: i for i, k in enumerate(BASE_KINDS + MORE_KINDS)}
 #: Cue words (lower case) and what they announce.
 CUES = {
@@ -48,6 +52,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_PART = re.compile(r"[0-9](?:-?[0-9])*")
 _DIGITS = re.compile(r"[0-9]+")
 _LOGIN = re.compile(r"([^\s/@:]+):([^\s/@]+)@")
 _AFTER = re.compile(r"(?:\s+(?:number|no|nr|id|is))?\.?\s*[:=#]?\s*[\"']?")
@@ -159,8 +164,10 @@ def spans(text: str | None, automaton) -> list[Span]:
                     ends["ip"] = _DIGITS.match(text, last).end()
             if last >= ends["card"] and (m := _CARD.match(text, last)):
                 ends["card"] = m.end()
-                if 13 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
+                if _is_card(m[0]):
                     found.append(("card", last, m.end()))
+                else:
+                    found += [("number", last + part.start(), last + part.end()) for part in _PART.finditer(m[0]) if _is_card(part[0])]
         elif what == "@":
             if span := _email(text, last, ends["email"]):
                 found.append(span)
@@ -176,6 +183,8 @@ def spans(text: str | None, automaton) -> list[Span]:
                 ends["phone"] = m.end()
                 if 9 <= len(_digits_of(m[0])) <= 15:
                     found.append(("phone", last, m.end()))
+                elif end := _phone_end(text, last, m.end()):
+                    found.append(("telephone", last, end))
         elif what == ":":
             if m := _LOGIN.match(text, last + 1):
                 found.append(("login", m.start(), m.end() - 1))
@@ -192,6 +201,24 @@ def _digits_of(text: str) -> str:
     return "".join(_DIGITS.findall(text))
 
 
+def _is_card(text: str) -> bool:
+    digits = text.replace(" ", "").replace("-", "")
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
+def _phone_end(text: str, start: int, end: int) -> int:
+    """Where the digits before a space last count 9 to 15 in a longer run; 0 if nowhere."""
+    n, at, found = 0, start, 0
+    for i in range(start, end):
+        if text[i] == " " and 9 <= n <= 15:
+            found = at
+        elif text[i].isdigit():
+            n, at = n + 1, i + 1
+            if n > 15:
+                break
+    return found
+
+
 def _announced(kind: str, text: str, at: int) -> Span | None:
     """What follows a cue that ends at ``at``."""
     if kind == "secret":
@@ -220,11 +247,11 @@ def joined(found: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` → the id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
+    """``docs`` → the id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans."""
     schema = docs.select(F.col(id_col).alias("doc_id")).schema
     for kind in BASE_KINDS:
         schema = schema.add(f"n_{kind}", "long")
-    schema = schema.add("base_sha256", "string").add("spans", "string")
+    schema = schema.add("base_sha256", "string").add("spans", "string").add("n_spans", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
@@ -233,7 +260,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             base = [[s for s in row if s[0] in BASE_KINDS] for row in rows]
             counts = [pa.array([sum(s[0] == kind for s in row) for row in base], pa.int64()) for kind in BASE_KINDS]
             digests = pa.array([hashlib.sha256(joined(row).encode()).hexdigest() for row in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array(map(joined, rows), pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array(map(joined, rows), pa.string()), pa.array(map(len, rows), pa.int64())], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

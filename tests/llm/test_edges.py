@@ -530,6 +530,33 @@ def test_account_and_address_boundaries():
         assert found == ([want] if want else []), text
 
 
+def test_numbers_among_others_are_found():
+    cases = {
+        "+1 (017) 555-7713 2024 8 99999": [("telephone", "+1 (017) 555-7713 2024")], "+1 (017) 555-7713 1234567": [("telephone", "+1 (017) 555-7713")], "+1 (017) 555-7713 5": [],
+        "call +49 30 901820 12345678 now": [("telephone", "+49 30 901820")], "+123456789012345678 1": [], "2353820953013749 4845168114407329 17": [("number", "4845168114407329")],
+        "4845-1681-1440-7329 12345678": [("number", "4845-1681-1440-7329")], "4845168114407328 1": [], "4845 1681 1440 7329": [],
+    }
+    for text, want in cases.items():
+        assert [(k, text[s:e]) for k, s, e in pii.spans(text, pii.anchors()) if k in ("telephone", "number")] == want, text
+    for part in ("+1 ", "+1 2", "1 ", "1-"):
+        pii.spans(part * 50_000, pii.anchors())
+
+
+def test_spans_cover_what_the_documents_hold(spark):
+    """Personal data as a reader would look for it, by plain patterns, in all of a larger table."""
+    planted = r"\+\d \(\d{3}\) \d{3}-\d{4}|\b[\w.]+@[\w.]+\.com\b|token = \"\w+\"|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
+    path = "/root/testdata/sf0.1/documents.parquet"
+    got = {r.doc_id: r for r in pii.personal_data(spark.read.parquet(path)).collect()}
+    n = covered = 0
+    for doc_id, text in spark.read.parquet(path).select("doc_id", "text").collect():
+        spans = [(int(s), int(e)) for _, s, e in (x.split(":") for x in got[doc_id].spans.split(",") if x)]
+        assert got[doc_id].n_spans == len(spans)
+        for m in re.finditer(planted, text or ""):
+            n += 1
+            covered += any(s < m.end() and e > m.start() for s, e in spans)
+    assert n > 400 and covered >= 0.99 * n
+
+
 def test_long_runs_of_digits_take_linear_time():
     assert pii.spans("1" * 200_000 + "@" * 50_000, pii.anchors()) == []
     for part in ("ACCT", "ACCT ", "a://", "a://b.c", "://", "IBAN ", "IBAN DE89 3704 ", "a://b.c)"):
