@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkgrove import ship
 from sparkgrove.llm import decontam, mixing, simhash, token_store, toxicity
-from sparkgrove.llm.common import in_files, materialize, table
+from sparkgrove.llm.common import Scratch, in_files, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:  # the token store, read by the result, needs none of these any more
+        for name, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
