@@ -189,3 +189,10 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_a_model_too_large_to_send_is_an_error(tiny, monkeypatch):
+    monkeypatch.setattr(classify, "MAX_MODEL", 3)  # one class of two features fits, two do not
+    with pytest.raises(ValueError, match="more than 3 numbers"):
+        classify.nearest_centroid(tiny, tiny)
+    assert classify.nearest_centroid(tiny.where("label = 0"), tiny).where("predicted = 0").count() == 6
