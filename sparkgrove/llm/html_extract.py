@@ -54,8 +54,8 @@ MARKED = frozenset(
 )
 MARKED_OUTSIDE = frozenset("header search form overlay skip discussion reply".split())
 SHAPES = frozenset(
-    "area articles author bar block body bottom box button buttons column container content count desktop fixed form global group heading icon icons inline inner "
-    "item items left link links list local main message meta mobile outer page panel posts primary right row secondary section site slot sticky tab tabs text title "
+    "area article articles author bar block body bottom box button buttons column container content count desktop fixed form global group heading icon icons inline inner "
+    "item items left link links list local main message meta mobile outer page panel post posts primary right row secondary section site slot sticky tab tabs text title "
     "tools top unit view wrap wrapper".split()
 )
 #: Fixed values: ``with-sidebar`` is not a sidebar, ``article-header`` not a page's header.

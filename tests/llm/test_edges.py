@@ -363,7 +363,7 @@ def test_html_keeps_the_text_around_a_wrapped_body(spark):
         ("<p title=it's>a</p><p class=a\">b</p><p title=\"x>y\" id='>'>c</p><p a=b'c\"d>e</p><p =>f</p><p a= 'q>' >g</p>", "a b c e f g"),
         ("a < b <c d=\"e", "a < b <c d=\"e"), ("1<2 <!--> x <!-- <p> --!>y<!-- z", "1<2 x y"), ("<p>a</ p>b<?php x ?>c", "abc"),
         ("<div class=site-header>x</div><header class=entry-header><h1>T</h1></header><div class='leftSidebar ADVERT'>y</div><div id=comments-area>z</div><p>a", "T a"),
-        ("<div class='with-sidebar no-comments'><p>a</div><div class='menu-of-the-day'>b</div><section class=comment-list>c</section>", "a b"),
+        ("<div class='with-sidebar no-comments'><p>a</div><div class='menu-of-the-day'>b</div><section class=comment-list>c</section><div class=sponsored-post>d</div>", "a b"),
         ("<div class=x>" * 300 + "<nav>MENU ITEM</nav><p>a" + "</div>" * 300, "a"),
     ],
 )
