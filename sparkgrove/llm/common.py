@@ -61,6 +61,20 @@ def in_files(docs: DataFrame) -> list[Column] | None:
     return place
 
 
+#: Bytes of an Arrow batch that a task takes at a time.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with batches of few bytes: the session's bound is lowered where it
+    is Spark's own, which lets a task hold 64 MB of text several times over."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) == f"{64 << 20}b":
+        conf.set(_BATCH, f"{ARROW_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, text_column: int, n_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``n_bytes`` of text or one row, so that what a task
     makes of a part stays small, however long the texts of a batch are."""

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh_path, pieces, table
+from .common import fresh_path, in_arrow, pieces, table
 from .storage import located, read_bytes, written
 
 WINDOW = 10
 #: UTF-8 bytes of a shard (a longer document is a shard of its own); test items of a block,
 #: and bytes of them.
-SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 8 << 20, 20_000, 8 << 20
+SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 4 << 20, 20_000, 8 << 20
 #: Bits of a word id: as many ids as fit 63 bits make a sort key. The second for blocks of
 #: more distinct words than the first can number.
 BITS = (21, 31)
@@ -275,7 +275,7 @@ def prepared(items: DataFrame, window: int = WINDOW) -> str:
     path = fresh_path(spark, "test-items")
     items.select("item_id", "text").write.parquet(f"{path}/items")
     given = spark.read.parquet(f"{path}/items")  # small files are read together
-    given.mapInArrow(_prepare(f"{path}/blocks", window), "name string, n long").write.parquet(f"{path}/names")
+    in_arrow(given, _prepare(f"{path}/blocks", window), "name string, n long").write.parquet(f"{path}/names")
     return path
 
 
@@ -338,7 +338,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], window: in
     given = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)] + [F.col("text")])
     schema = docs.sparkSession.createDataFrame([], ", ".join(f"{n} {kind}" for n, kind in _RESULT)).schema
     schema = StructType([*given.drop("text").schema, *schema])
-    return given.mapInArrow(_scan(path, len(keep), names), schema).toDF(*keep, *[prefix + n for n, _ in _RESULT])
+    return in_arrow(given, _scan(path, len(keep), names), schema).toDF(*keep, *[prefix + n for n, _ in _RESULT])
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, pieces, table
+from .common import Scratch, in_arrow, materialize, pieces, table
 from .sieve import bits_for, flagged, sieve
 from .url_filter import host_of
 
@@ -281,7 +281,7 @@ def page_paths(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) → page (a hash of the row), host, path: the path that
     each page with any text votes for."""
     given = pages.select(_page(), host_of(F.col("url")).alias("host"), "html")
-    return given.mapInArrow(_votes, "page long, host string, path string").where("path != ''")
+    return in_arrow(given, _votes, "page long, host string, path string").where("path != ''")
 
 
 def host_paths(votes: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
     off = marked.where("off").join(others, "page", "left").select("page_id", "url", "html", "winner")
     own = marked.where("not off").select("page_id", "url", "html", F.lit(None).cast("string").alias("winner"))
     schema = pages.select("page_id", "url").schema.add("text", "string")
-    return own.mapInArrow(_extracted, schema).unionByName(off.mapInArrow(_extracted, schema))
+    return in_arrow(own, _extracted, schema).unionByName(in_arrow(off, _extracted, schema))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

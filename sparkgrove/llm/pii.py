@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import in_arrow, pieces, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("telephone", "number", "mailbox", "login", "iban", "identifier", "secret", "address")
@@ -262,7 +262,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             digests = pa.array([hashlib.sha256(joined(row).encode()).hexdigest() for row in base], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array(map(joined, rows), pa.string()), pa.array(map(len, rows), pa.int64())], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def redacted(text: str, found: list[Span]) -> str:

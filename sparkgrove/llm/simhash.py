@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, pieces, table
+from .common import Scratch, in_arrow, materialize, pieces, table
 from .components import components
 from .sieve import bits_for, flagged, sieve, sifted
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", as_col: str = "fp") ->
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps.view(np.int64))], names=[*names, as_col])
 
-    return docs.select(*names, text_col).mapInArrow(run, schema)
+    return in_arrow(docs.select(*names, text_col), run, schema)
 
 
 def _signed(x: int) -> int:
@@ -197,7 +197,7 @@ def links(nodes: DataFrame, written=materialize) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     members = sifted(keyed, ["key"], large).join(large, "key").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     grouped = members.select("key", "bit", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "fp")
-    walked = grouped.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(_walk, "a long, b long")
+    walked = in_arrow(grouped.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2"), _walk, "a long, b long")
     return pairs.unionByName(walked).distinct()
 
 

@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_path, pieces, table
+from .common import Scratch, fresh_path, in_arrow, pieces, table
 from .storage import located, read_bytes, written
 
 END_ID = 1
@@ -324,7 +324,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, order: list[Column] | None
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(n) for c, n in zip(order or (), names)])
     by = [F.col(n).asc_nulls_last() for n in names] or [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ordered = given.repartitionByRange(*by).sortWithinPartitions(*by, F.col("text").asc_nulls_first()).select("doc_id", "text")
-    encoded = ordered.mapInArrow(_shards(path, tokenizer, width, end_id), "doc_id long, shard long, offset long, n_tokens long")
+    encoded = in_arrow(ordered, _shards(path, tokenizer, width, end_id), "doc_id long, shard long, offset long, n_tokens long")
     with Scratch(spark) as scratch:
         made = _numbered(scratch.table(encoded, "encoded"))
         made.write.parquet(f"{path}/docs")

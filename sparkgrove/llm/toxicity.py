@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, table
+from .common import in_arrow, materialize, pieces, table
 
 #: Labelled documents fitted on at most; terms, and phrases, beyond which fitting fails.
 MAX_LABELLED, MAX_ENTRIES = 20_000, 1_000_000
@@ -141,7 +141,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
                 marks += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "toxic"])
 
-    return labelled.mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    return in_arrow(labelled, run, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
 
 
 def _terms(labelled: DataFrame) -> dict[str, float]:
@@ -180,7 +180,7 @@ def _phrases(labelled: DataFrame, lexicon: Lexicon) -> frozenset:
                 marks += [toxic] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marks, pa.int32())], names=["phrase", "toxic"])
 
-    counts = labelled.mapInArrow(run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    counts = in_arrow(labelled, run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     return frozenset(r["phrase"] for r in _gathered(counts.where("n - t >= 3 and t * 10 <= n"), "phrases"))
 
 
@@ -193,7 +193,7 @@ def _curve(labelled: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
             xs = [lexicon.features(folded(t.as_py()), automaton) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in xs]), pa.array([n for _, n in xs])], names=["toxic", "x", "n"])
 
-    rows = np.array([tuple(r) for r in labelled.mapInArrow(run, "toxic int, x double, n double").collect()])  # MAX_LABELLED rows at most
+    rows = np.array([tuple(r) for r in in_arrow(labelled, run, "toxic int, x double, n double").collect()])  # MAX_LABELLED rows at most
     rows = rows[np.lexsort(rows.T)]  # one order, whatever the partitions
     y, features = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
     beta, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-1]) * len(rows) / 1000
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             scores = [held.value.score(folded(t.as_py()), automaton) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(scores, pa.float64())], names=[*names, "toxicity"])
 
-    return given.mapInArrow(run, given.select(*names).schema.add("toxicity", "double"))
+    return in_arrow(given, run, given.select(*names).schema.add("toxicity", "double"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
