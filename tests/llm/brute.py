@@ -234,3 +234,34 @@ def line_rows(docs: list[tuple[int | None, str | None]], least: int = 8) -> dict
                 kept.append(line)
         out[doc_id, text] = ("\n".join(kept) if text is not None else None, len(lines), same, close)
     return out
+
+
+def trie_rows(rows: list[tuple]) -> list[tuple]:
+    """Nodes from (conv_id, turn, role, text): a dictionary of all prefixes."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    for turns in own.values():
+        turns.sort()
+    members, ends, built = defaultdict(set), defaultdict(list), {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = own.get(c - int(math.fmod(c, 5)), [])
+        built[c] = [t[3:] for t in (*base[:h], *turns[h:])]
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].add(c)
+        ends[tuple(built[c])].append(c)
+    children, out = defaultdict(list), []
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) if children[node] else 1
+        saved[node] = (len(members[node]) - 1) * (len(node[-1][1].encode()) if node else 0) + sum(saved[x] for x in children[node])
+        joined = ",".join(map(str, sorted(ends[node])))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(members[node]), len(node), parent, len(members[node]), len(children[node]), leaves[node], saved[node], hashlib.sha256(joined.encode()).hexdigest()))
+    return sorted(out, key=repr)
