@@ -35,6 +35,7 @@ from pyspark.sql.types import StructType
 
 from .common import fresh_path, in_arrow, pieces, table
 from .storage import located, read_bytes, written
+from .words import shards, words_of
 
 WINDOW = 10
 #: UTF-8 bytes of a shard (a longer document is a shard of its own); test items of a block,
@@ -43,7 +44,6 @@ SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 4 << 20, 20_000, 8 << 20
 #: Bits of a word id: as many ids as fit 63 bits make a sort key. The second for blocks of
 #: more distinct words than the first can number.
 BITS = (21, 31)
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RESULT = [
     ("n_words", "long"), ("n_hit", "long"), ("longest_match", "long"), ("n_items", "long"), ("item_ids", "array<string>"),
     ("locations", "array<struct<start: long, n_words: long, item_id: string, item_start: long>>"),
@@ -51,26 +51,11 @@ _RESULT = [
 _LOCATIONS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a text array, and the number of words of each text."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    texts = pa.concat_arrays([texts])  # offsets from zero
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]
-    data = texts.buffers()[2]
-    clean = (data.to_pybytes() if data else b"").translate(_TABLE)
-    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(clean))
-    split = pc.split_pattern(plain, " ")
-    flat, bounds = split.flatten(), split.offsets.to_numpy()
-    full = pc.not_equal(pc.binary_length(flat), 0)
-    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False).astype(np.int64))])
-    return flat.filter(full), np.diff(before[bounds - bounds[0]])
-
-
 class Block:
     """Test items of one block: their vocabulary, windows and sorted suffixes."""
 
     def __init__(self, ids: list, texts: pa.Array, window: int, bits: tuple[int, ...] = BITS):
-        flat, counts = _words(texts)
+        flat, counts = words_of(texts)
         coded = flat.dictionary_encode()
         self.vocabulary = coded.dictionary
         self.bits = next(b for b in bits if len(self.vocabulary) < (1 << b) - 1)
@@ -186,7 +171,7 @@ class Found(NamedTuple):
 
 
 def _shard(texts: pa.Array, blocks: Iterator[Block]) -> Found:
-    flat, counts = _words(texts)
+    flat, counts = words_of(texts)
     # a zero after each document, so that nothing matches across two of them
     at = np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)
     doc_of = np.repeat(np.arange(len(counts)), counts + 1)
@@ -287,20 +272,6 @@ def _blocks(path: str) -> Iterator[Block]:
         yield pickle.loads(read_bytes(f"{path}/blocks/{name}"))
 
 
-def _shards(batches: Iterator[pa.RecordBatch], text_column: int, n_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in shards of about ``n_bytes`` of text."""
-    held, size = [], 0
-    for batch in batches:
-        for part in pieces(batch, text_column, n_bytes):
-            held.append(part)
-            size += pc.sum(pc.binary_length(part.column(text_column))).as_py() or 0
-            if size >= n_bytes // 2:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _scan(path: str, n_kept: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only: list[Block] = []  # a benchmark of one block is loaded once for the task
@@ -317,7 +288,7 @@ def _scan(path: str, n_kept: int, names: list[str]):
             if n == 1:
                 only.append(last)
 
-        for part in _shards(batches, n_kept, SHARD_BYTES):
+        for part in shards(batches, n_kept, SHARD_BYTES):
             found = _shard(part.column(n_kept), blocks())
             numbers = [found.words, found.hit, found.longest, np.array([len(x) for x in found.items], np.int64)]
             ids = pa.array([sorted(x - {None}) for x in found.items], pa.list_(pa.string()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, line_dedup, mixing, pii, prefix_trie, simhash, token_store, topk, toxicity, url_filter
+from . import decontam, html_extract, lexical, line_dedup, mixing, pii, prefix_trie, simhash, token_store, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_topk": topk.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op11_lexical_search": lexical.ORACLE_SQL,
         "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }

@@ -265,3 +265,24 @@ def trie_rows(rows: list[tuple]) -> list[tuple]:
         parent = min(members[node[:-1]]) if node else None
         out.append((min(members[node]), len(node), parent, len(members[node]), len(children[node]), leaves[node], saved[node], hashlib.sha256(joined.encode()).hexdigest()))
     return sorted(out, key=repr)
+
+
+def ranked_rows(items: list[tuple], docs: list[tuple], k: int = 10) -> list[tuple]:
+    """(item_id, rank, doc_id, score) by the wording of the score, every item against all."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(t)) for _, t in docs]
+    n_docs, n_words = sum(bool(w) for w in words), sum(map(len, words))
+    counts = [{t: w.count(t) for t in set(w)} for w in words]
+    df = defaultdict(int)
+    for c in counts:
+        for t in c:
+            df[t] += 1
+    out = []
+    for item_id, text in items:
+        terms, found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text)), []
+        for (doc_id, _), w, c in zip(docs, words, counts):
+            m = 25 + 75 * len(w) * n_docs // n_words if n_words else 0
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in terms if t in c)
+            if score > 0:
+                found.append((-score, doc_id is None, doc_id or 0))
+        out += [(item_id, i + 1, None if none else doc_id, -score) for i, (score, none, doc_id) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=repr)
