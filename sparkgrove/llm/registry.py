@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_extract, lexical, line_dedup, mixing, pii, prefix_trie, simhash, token_store, topk, toxicity, url_filter
+from . import decontam, html_extract, language, lexical, line_dedup, mixing, pii, prefix_trie, simhash, token_store, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": decontam.op9_decontamination,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_language_id": language.op12_language_id,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
