@@ -108,11 +108,17 @@ def _email(text: str, at: int, free: int) -> Span | None:
     return ("email", start, domain.end()) if domain and start < at else None
 
 
+def _is_octet(digits: str) -> bool:
+    """At most 255, with any number of zeros in front."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or 0) < 256
+
+
 def _is_host(name: str) -> bool:
     """A dotted name, or four numbers of an IP address."""
     parts = name.removesuffix(".").split(".")
     if parts[-1].isdecimal():
-        return bool(_IP.fullmatch(name)) and all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in parts)
+        return bool(_IP.fullmatch(name)) and all(map(_is_octet, parts))
     return len(parts) > 1 and all(0 < len(x) < 64 and x[0] != "-" != x[-1] for x in parts)
 
 
@@ -158,7 +164,7 @@ def spans(text: str | None, automaton) -> list[Span]:
             if last >= ends["ip"]:
                 if m := _IP.match(text, last):
                     ends["ip"] = m.end()
-                    if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split(".")):
+                    if all(map(_is_octet, m[0].split("."))):
                         found.append(("ip", last, m.end()))
                 else:  # nor from any later digit of this run
                     ends["ip"] = _DIGITS.match(text, last).end()

@@ -123,7 +123,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     for kind, pattern in patterns.items():
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+            if kind == "ip" and max(int(x.lstrip("0")[:9] or 0) for x in m[0].split(".")) > 255:
                 continue
             if kind == "card" and not (13 <= len(digits) <= 19 and _luhn(digits)):
                 continue
