@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 _made: dict[str, None] = {}
+#: By application: the folder of a session on one machine that names none.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,13 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session on one machine (master ``local``) that names none, as in tests, gets a
     local one; on a cluster that would be another folder for each executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or _local.get(context.applicationId)
     if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="sparkgrove-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.checkpoint.dir", named)
+        # the setting itself cannot change while a session lives
+        named = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="sparkgrove-")
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,7 +193,22 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
     unset = SimpleNamespace(get=lambda name, default: default)
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            shared.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+            shared.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId="none")))
+
+
+def test_a_session_on_one_machine_needs_no_setting(tmp_path, sf_dir):
+    """In a process whose Spark has no defaults of this machine."""
+    script = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["p14_knn_classify"](spark, {sf_dir!r}).count())
+"""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", script], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS 100" in done.stdout, done.stderr[-2000:]
 
 
 def test_a_model_too_large_to_send_is_an_error(tiny, monkeypatch):
