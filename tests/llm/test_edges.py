@@ -506,11 +506,15 @@ def test_base_spans(parts):
     assert [s for s in found if s[0] in pii.BASE_KINDS] == brute.base_spans(text)
 
 
-@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "http://" + "0" * 5000 + ".1.1.1/", "1." * 500_000, "9" * 1_000_000 + ".1.1.1", "0" * 999_999 + "7.0.0.255 x"])
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "http://" + "0" * 5000 + ".1.1.1/", "1." * 5000, "9" * 5000 + ".1.1.1", "0" * 5000 + "7.0.0.255 x"])
 def test_long_runs_of_digits(text):
     assert [s for s in pii.spans(text, pii.anchors()) if s[0] in pii.BASE_KINDS] == brute.base_spans(text)
 
 
+def test_a_megabyte_of_digits():
+    assert [s for s in pii.spans("0" * 1_000_000 + ".1.1.1", pii.anchors()) if s[0] == "ip"] == [("ip", 0, 1_000_006)]
+
+
 def test_more_spans(docs):
     text = "müller@x.de ftp://me:pass@host/ IBAN: GB82 WEST 1234 5698 7654 32, SSN 123-45-6789; token = \"0123456789abcdef0\""
     found = pii.spans(text, pii.anchors())
