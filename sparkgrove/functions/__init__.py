@@ -11,9 +11,9 @@ def tidy(x: Column, places: int = 6) -> Column:
     return F.round(x, places) + F.lit(0.0)
 
 
-def to_long(feat: DataFrame) -> DataFrame:
-    """Wide features → entity_id, [label], pos (0-based), v: one row per feature."""
-    keys = [c for c in ("entity_id", "label") if c in feat.columns]
+def to_long(feat: DataFrame, *more: str) -> DataFrame:
+    """Wide features → entity_id, [label], more columns, pos (0-based), v: one row per feature."""
+    keys = [*(c for c in ("entity_id", "label") if c in feat.columns), *more]
     return feat.select(*keys, F.posexplode("features").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from ..functions import to_long, width_of
 from ..shared import fresh_path
 
+Loss = Callable[[Column, Column], Column]
 #: Least variance of a feature in a class.
 VARIANCE_FLOOR = 1e-9
 #: Test rows that tasks of nearest neighbours read at a time.
@@ -39,38 +40,81 @@ def _classes(train: DataFrame) -> DataFrame:
     )
 
 
-def _least(train: DataFrame, test: DataFrame, loss: Callable[[Column, Column], Column]) -> DataFrame:
-    """The class of least loss, ties to the lower label. The model is fitted at once, by one
-    aggregate, and goes to the test rows as a scalar."""
-    most = MAX_MODEL // max(1, width_of(train))
-    classes = _classes(train)
+def _bounded(classes: DataFrame, train: DataFrame, n_models: int = 1) -> list:
+    """The rows of a model, if they are few enough to go to every task."""
+    most = MAX_MODEL // max(1, n_models * width_of(train))
     found = classes.limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"a model of more than {MAX_MODEL} numbers is not sent to every task")
+    return found
+
+
+def _of_least(x: Column, model: Column, loss: Loss) -> Column:
+    """The class of ``model`` with the least loss, ties to the lower label."""
+    return F.array_min(F.transform(model, lambda c: F.struct(loss(x, c).alias("loss"), c["label"].alias("label"))))["label"]
+
+
+def _least(train: DataFrame, test: DataFrame, loss: Loss) -> DataFrame:
+    """The class of least loss, ties to the lower label. The model is fitted at once, by one
+    aggregate, and goes to the test rows as a scalar."""
+    classes = _classes(train)
     schema = StructType([StructField("model", ArrayType(classes.schema))])
-    model = train.sparkSession.createDataFrame([(found,)], schema)
-    losses = F.transform("model", lambda c: F.struct(loss(F.col("features"), c).alias("loss"), c["label"].alias("label")))
+    model = train.sparkSession.createDataFrame([(_bounded(classes, train),)], schema)
     scored = test.select("entity_id", "label", "features", model.scalar().alias("model"))
-    return scored.select("entity_id", "label", F.array_min(losses)["label"].alias("predicted"))
+    return scored.select("entity_id", "label", _of_least(F.col("features"), F.col("model"), loss).alias("predicted"))
 
 
-def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
-    """The class whose mean is closest (Euclidean)."""
+def _distance(x: Column, c: Column) -> Column:
+    return F.aggregate(F.zip_with(x, c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
 
-    def distance(x: Column, c: Column) -> Column:
-        return F.aggregate(F.zip_with(x, c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
 
-    return _least(train, test, distance)
+def _minus_log(x: Column, c: Column) -> Column:
+    # the number of training rows is the same for all classes and may be left out
+    parts = F.zip_with(F.zip_with(x, c["m"], lambda a, b: (a - b) * (a - b)), c["s2"], lambda d, s: F.log(s) + d / s)
+    return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p) / 2 - F.log(c["n"])
+
+
+def nearest_centroid(train: DataFrame, test: DataFrame) -> DataFrame:
+    """The class whose mean is closest (Euclidean)."""
+    return _least(train, test, _distance)
 
 
 def gaussian_nb(train: DataFrame, test: DataFrame) -> DataFrame:
     """Gaussian naive Bayes: the class of highest posterior."""
-    # the number of training rows is the same for all classes and may be left out
-    def minus_log(x: Column, c: Column) -> Column:
-        parts = F.zip_with(F.zip_with(x, c["m"], lambda a, b: (a - b) * (a - b)), c["s2"], lambda d, s: F.log(s) + d / s)
-        return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p) / 2 - F.log(c["n"])
+    return _least(train, test, _minus_log)
+
 
-    return _least(train, test, minus_log)
+#: Classifiers whose models for all folds come from one aggregate.
+CLOSED_FORMS: dict[Callable, Loss] = {nearest_centroid: _distance, gaussian_nb: _minus_log}
+
+
+def _without(parts: list) -> list[tuple]:
+    """(label, n, m, s2) of all rows of the given parts of a training table, by class: the
+    parts' counts, means and squared deviations put together."""
+    out = []
+    for label in sorted({r.label for r in parts}):
+        own = [r for r in parts if r.label == label]
+        n, m = np.array([r.n for r in own], float), np.array([r.m for r in own])
+        mean = n @ m / n.sum()
+        s2 = n @ (np.array([r.s2 for r in own]) + (m - mean) ** 2) / n.sum()
+        out.append((label, int(n.sum()), mean.tolist(), np.maximum(s2, VARIANCE_FLOOR).tolist()))
+    return out
+
+
+def out_of_fold(folded: DataFrame, k: int, classifier: Callable) -> DataFrame:
+    """entity_id, label, fold, predicted: rows of each fold by the model of the others, for a
+    closed form. One aggregate by fold, class and position holds all k models, and one pass
+    scores all rows."""
+    per = to_long(folded, "fold").groupBy("fold", "label", "pos").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "m", "s2")))
+    parts = per.groupBy("fold", "label").agg(F.max("n").alias("n"), ordered.alias("at")).select(
+        "fold", "label", "n", F.transform("at", lambda x: x["m"]).alias("m"), F.transform("at", lambda x: x["s2"]).alias("s2")
+    )
+    found = _bounded(parts, folded)
+    kind = "array<array<struct<label: int, n: long, m: array<double>, s2: array<double>>>>"
+    models = folded.sparkSession.createDataFrame([([_without([r for r in found if r.fold != fold]) for fold in range(k)],)], f"models {kind}")
+    scored = folded.select("entity_id", "label", "fold", "features", models.scalar().alias("models"))
+    return scored.select("entity_id", "label", "fold", _of_least(F.col("features"), F.get("models", F.col("fold")), CLOSED_FORMS[classifier]).alias("predicted"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tidy
 from ..shared import fresh_path
-from .folds import with_folds
+from .classify import CLOSED_FORMS, out_of_fold
+from .folds import with_folds, with_grouped_folds
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -42,14 +43,20 @@ def evaluate(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return confusion(predictions), class_scores(predictions)
 
 
-def cross_validate(feat: DataFrame, k: int, classifier: Callable[[DataFrame, DataFrame], DataFrame], prepare=None) -> DataFrame:
+def cross_validate(feat: DataFrame, k: int, classifier: Callable[[DataFrame, DataFrame], DataFrame], prepare=None, groups: DataFrame | None = None) -> DataFrame:
     """fold, accuracy: each fold is predicted by a model fitted on the others.
 
     ``prepare(train, test)`` returns both, changed by what is learned from the training
-    rows only (scaling, say)."""
-    path = fresh_path(feat.sparkSession, "folds")
-    with_folds(feat, k).write.parquet(path)  # read once for each fold
-    folded = feat.sparkSession.read.parquet(path)
+    rows only (scaling, say). With ``groups`` (entity_id, group) no group is on both sides.
+    Closed forms without ``prepare`` are fitted by one aggregate for all folds and scored in
+    one pass; others are fitted fold by fold."""
+    spark = feat.sparkSession
+    path = fresh_path(spark, "folds")
+    (with_folds(feat, k) if groups is None else with_grouped_folds(feat, groups, k)).write.parquet(path)  # read once for each fold
+    folded = spark.read.parquet(path)
+    if classifier in CLOSED_FORMS and not prepare:
+        right = out_of_fold(folded, k, classifier).groupBy("fold").agg(tidy(F.avg((F.col("label") == F.col("predicted")).cast("double"))).alias("accuracy"))
+        return spark.range(k).select(F.col("id").cast("int").alias("fold")).join(right, "fold", "left")
     scores = None
     for fold in range(k):
         train, test = (folded.where(F.col("fold") != fold).drop("fold"), folded.where(F.col("fold") == fold).drop("fold"))

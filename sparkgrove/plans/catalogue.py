@@ -110,6 +110,19 @@ def p19_forest_top(feat: DataFrame) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "pos").limit(CLASSES).select("pos")
 
 
+def in_groups(feat: DataFrame) -> DataFrame:
+    """entity_id, group: groups of 1, 3, 5, ... entities with consecutive ids, then of 64."""
+    return feat.select("entity_id", F.expr("CASE WHEN entity_id < 1024 THEN floor(sqrt(entity_id)) ELSE 16 + entity_id div 64 END").cast("long").alias("group"))
+
+
+def p20_grouped_folds(feat: DataFrame) -> DataFrame:
+    return folds.grouped_folds(feat, in_groups(feat), K_FOLDS)
+
+
+def p20_grouped_validation(feat: DataFrame) -> DataFrame:
+    return evaluate.cross_validate(feat, K_FOLDS, classify.nearest_centroid, groups=in_groups(feat))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -142,6 +155,8 @@ def queries() -> dict[str, Query]:
         "p18_cross_validate": _feat(lambda feat: evaluate.cross_validate(feat, K_FOLDS, classify.nearest_centroid)),
         "p19_forest_top": _feat(p19_forest_top),
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
+        "p20_grouped_folds": _feat(p20_grouped_folds),
+        "p20_grouped_validation": _feat(p20_grouped_validation),
     }
 
 
@@ -158,11 +173,45 @@ _FOLDS = """folds AS (
   SELECT vec_id AS entity_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1) % 5)::INTEGER AS fold FROM embeddings)"""
 
 
+#: Groups one after another in a recursion whose state is the folds' entities by class.
+_GROUPS = """member AS (
+  SELECT vec_id AS entity_id, label, (CASE WHEN vec_id < 1024 THEN floor(sqrt(vec_id)) ELSE 16 + vec_id // 64 END)::BIGINT AS grp FROM embeddings),
+cls AS (SELECT label, count(*) AS t, 1000000 * max(count(*)) OVER () * max(count(*)) OVER () // (count(*) * count(*)) AS w, row_number() OVER (ORDER BY label) AS place FROM embeddings GROUP BY label),
+per AS (SELECT grp, label, count(*) AS n FROM member GROUP BY ALL),
+kinds AS (SELECT grp, list((label, n) ORDER BY label) AS kind, sum(n)::BIGINT AS size, md5('g' || grp) AS mark FROM per GROUP BY grp),
+alike AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY mark) AS i, min(mark) OVER (PARTITION BY kind) AS first FROM kinds),
+lft AS (
+  SELECT grp, first, row_number() OVER (ORDER BY size DESC, first, i) AS turn,
+    (SELECT list(coalesce(n, 0)::HUGEINT ORDER BY place) FROM cls LEFT JOIN per ON per.label = cls.label AND per.grp = alike.grp) AS counts
+  FROM alike),
+weights AS (SELECT list(w::HUGEINT ORDER BY place) AS w FROM cls),
+steps AS (
+  SELECT 0::BIGINT AS turn, -1 AS fold, NULL::VARCHAR AS first, list_transform(range(5), lambda f: list_transform(w, lambda x: 0::HUGEINT)) AS held FROM weights
+  UNION ALL
+  SELECT lft.turn, best.fold, lft.first,
+    list_transform(range(5), lambda f: CASE WHEN f = best.fold THEN list_transform(range(1, len(counts) + 1), lambda c: held[f + 1][c] + counts[c]) ELSE held[f + 1] END)
+  FROM steps JOIN lft ON lft.turn = steps.turn + 1, weights, LATERAL (SELECT list_min(list_transform(range(5), lambda f: (
+    list_sum(list_transform(range(1, len(counts) + 1), lambda c: counts[c] * held[f + 1][c] * w[c])), list_sum(held[f + 1]), f)))[3]::INTEGER AS fold) best),
+given AS (SELECT first, fold, sum(count(*)) OVER (PARTITION BY first ORDER BY fold) AS up_to, count(*) AS n FROM steps WHERE turn > 0 GROUP BY first, fold),
+grouped AS (
+  SELECT member.*, given.fold FROM member JOIN alike USING (grp) JOIN given ON given.first = alike.first AND i > up_to - given.n AND i <= up_to)"""
+
+
 _PLANE = """e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM e),
 t AS (SELECT *, (a + d) / 2 AS mid, sqrt((a - d) * (a - d) / 4 + b * b) AS r, atan2(2 * b, a - d) / 2 AS turn FROM m)"""
 
 
+def _validated(long: str, folds: str) -> str:
+    """Accuracy by fold of the nearest centroid."""
+    return f"""WITH {long}, {folds},
+l AS (SELECT long.*, fold FROM long JOIN folds USING (entity_id)),
+c AS (SELECT f.fold, l.label AS k, pos, avg(v) AS m FROM l JOIN (SELECT DISTINCT fold FROM folds) f ON l.fold <> f.fold GROUP BY ALL),
+d AS (SELECT fold, entity_id, label, k, sum((v - m) * (v - m)) AS d FROM l JOIN c USING (fold, pos) GROUP BY ALL),
+p AS (SELECT fold, entity_id, any_value(label) AS label, arg_min(k, (d, k)) AS predicted FROM d GROUP BY ALL)
+SELECT fold, round(avg((label = predicted)::INTEGER), 6) + 0.0e0 AS accuracy FROM p GROUP BY fold"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_read_features": "SELECT vec_id AS entity_id, len(embedding)::INTEGER AS width, label FROM embeddings",
@@ -217,11 +266,8 @@ SELECT vec_id AS entity_id, any_value(label) AS label, arg_min(vote, (-n, vote))
 s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FILTER (label = c) AS actual, count(*) FILTER (predicted = c) AS claimed FROM p, o GROUP BY c)
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
-        "p18_cross_validate": f"""WITH {_LONG}, {_FOLDS},
-l AS (SELECT long.*, fold FROM long JOIN folds USING (entity_id)),
-c AS (SELECT f.fold, l.label AS k, pos, avg(v) AS m FROM l JOIN (SELECT DISTINCT fold FROM folds) f ON l.fold <> f.fold GROUP BY ALL),
-d AS (SELECT fold, entity_id, label, k, sum((v - m) * (v - m)) AS d FROM l JOIN c USING (fold, pos) GROUP BY ALL),
-p AS (SELECT fold, entity_id, any_value(label) AS label, arg_min(k, (d, k)) AS predicted FROM d GROUP BY ALL)
-SELECT fold, round(avg((label = predicted)::INTEGER), 6) + 0.0e0 AS accuracy FROM p GROUP BY fold""",
+        "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p20_grouped_folds": f"WITH RECURSIVE {_GROUPS} SELECT entity_id, label, grp AS \"group\", fold FROM grouped",
+        "p20_grouped_validation": _validated("RECURSIVE " + _LONG, _GROUPS + ", folds AS (SELECT entity_id, label, fold FROM grouped)"),
         "p19_rank_features": f"WITH {_F} SELECT * FROM (SELECT row_number() OVER (ORDER BY f DESC NULLS LAST, pos)::INTEGER AS rank, pos, f FROM f) WHERE rank <= 20",
     }

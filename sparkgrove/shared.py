@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, None] = {}
 #: By application: the folder of a session on one machine that names none.
@@ -36,6 +36,13 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """``df``, written to the shared folder and read again, until ``cleanup``."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that ``fresh_path`` named, with all it holds."""
     if path in _made:
