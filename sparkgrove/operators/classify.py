@@ -7,18 +7,17 @@ are neither exploded nor shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import to_long, width_of
-from ..shared import fresh_path
+from .neighbours import cosine, nearest
 
 Loss = Callable[[Column, Column], Column]
 #: Least variance of a feature in a class.
@@ -117,45 +116,11 @@ def out_of_fold(folded: DataFrame, k: int, classifier: Callable) -> DataFrame:
     return scored.select("entity_id", "label", "fold", _of_least(F.col("features"), F.get("models", F.col("fold")), CLOSED_FORMS[classifier]).alias("predicted"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
-def _neighbours(tiles: str, k: int):
-    """Task function: the k nearest of each batch of training rows for every test row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import dataset
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, train_ids, labels = _unit(np.stack(pdf["features"].to_numpy())), pdf["entity_id"].to_numpy(), pdf["label"].to_numpy()
-            for tile in dataset.dataset(tiles, format="parquet").to_batches(batch_size=TEST_BLOCK, batch_readahead=1, fragment_readahead=1):
-                step = max(1, PRODUCT // len(x))
-                for part in (tile.slice(at, step) for at in range(0, tile.num_rows, step)):
-                    ids = part.column("entity_id").to_numpy()
-                    near = np.round(_unit(part.column("features").flatten().to_numpy().reshape(len(ids), -1)) @ x.T, 9)
-                    least = np.partition(near, -min(k, len(x)), axis=1)[:, -min(k, len(x)), None]
-                    row, at = np.nonzero(near >= least)  # with all ties of the last one
-                    order = np.lexsort((train_ids[at], -near[row, at], row))
-                    row, at = row[order], at[order]
-                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, at = row[best], at[best]
-                    yield pd.DataFrame({"entity_id": ids[row], "near": near[row, at], "train_id": train_ids[at], "vote": labels[at]})
-
-    return run
-
-
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Majority class of the k nearest training rows by cosine (rounded to 9 places).
-    Ties in distance go to the lower id, in votes to the lower label. Test rows lie in
-    the shared folder, and every task with training rows streams them."""
-    tiles = fresh_path(test.sparkSession, "test-tiles")
-    test.select("entity_id", "features").write.option("maxRecordsPerFile", 64 * TEST_BLOCK).parquet(tiles)
-    parts = train.select("entity_id", "features", "label").mapInPandas(_neighbours(tiles, k), "entity_id long, near double, train_id long, vote int")
-    nearest = Window.partitionBy("entity_id").orderBy(F.col("near").desc(), "train_id")
-    votes = parts.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= k).groupBy("entity_id", "vote").agg(F.count(F.lit(1)).alias("n"))
+    Ties in distance go to the lower id, in votes to the lower label."""
+    near = nearest(test, train.withColumn("vote", F.col("label")), k, cosine, ["vote"], tile_rows=TEST_BLOCK, product=PRODUCT)
+    votes = near.groupBy("entity_id", "vote").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("entity_id").agg(F.min(F.struct((-F.col("n")).alias("down"), "vote"))["vote"].alias("predicted"))
     return test.select("entity_id", "label").join(chosen, "entity_id")
 

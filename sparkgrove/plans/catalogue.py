@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, classify, clustering, evaluate, folds, scaling
+from ..operators import analysis, classify, clustering, evaluate, folds, impute, scaling
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -123,6 +123,33 @@ def p20_grouped_validation(feat: DataFrame) -> DataFrame:
     return evaluate.cross_validate(feat, K_FOLDS, classify.nearest_centroid, groups=in_groups(feat))
 
 
+def hidden(feat: DataFrame) -> DataFrame:
+    """``feat`` without about a fifth of its elements, by md5 of id and position."""
+    mark = lambda i: F.substring(F.md5(F.concat_ws(":", F.col("entity_id"), i)), 1, 1)
+    return feat.withColumn("features", F.transform("features", lambda x, i: F.when(mark(i) >= "3", x)))
+
+
+def _p21_fill(fill: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Test rows, filled from training rows."""
+
+    def make(feat: DataFrame) -> DataFrame:
+        train, test = split(hidden(feat))
+        return to_long(fill(test, train)).select("entity_id", "pos", tidy(F.col("v")).alias("v"))
+
+    return _feat(make)
+
+
+def p21_fill_error(feat: DataFrame) -> DataFrame:
+    """Error of both fillings on the planted table, whose rows have neighbours."""
+    feat = planted(feat)
+    train, test = split(hidden(feat))
+    made = None
+    for name, fill in (("mean", impute.mean_fill), ("neighbours", impute.neighbour_fill)):
+        one = impute.fill_error(fill(test, train), test, feat).select(F.lit(name).alias("method"), "n", tidy(F.col("rmse"), 4).alias("rmse"))
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -157,6 +184,9 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p21_mean_fill": _p21_fill(impute.mean_fill),
+        "p21_neighbour_fill": _p21_fill(impute.neighbour_fill),
+        "p21_fill_error": _feat(p21_fill_error),
     }
 
 
@@ -202,6 +232,19 @@ m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, cov
 t AS (SELECT *, (a + d) / 2 AS mid, sqrt((a - d) * (a - d) / 4 + b * b) AS r, atan2(2 * b, a - d) / 2 AS turn FROM m)"""
 
 
+def _fills(planted: str = "") -> str:
+    """Elements of the test rows by both fillings: m, and near by the neighbours."""
+    return f"""{_LONG},
+h AS (SELECT entity_id, label, pos, v {planted} AS v, substr(md5(entity_id || ':' || pos), 1, 1) >= '3' AS known FROM long),
+m AS (SELECT pos, avg(v) AS m FROM h WHERE known AND entity_id % 5 <> 0 GROUP BY pos),
+d AS (
+  SELECT a.entity_id, b.entity_id AS t, round(sum((a.v - b.v) * (a.v - b.v)) / count(*), 9) AS d
+  FROM h a JOIN h b ON a.pos = b.pos AND a.known AND b.known AND a.entity_id % 5 = 0 AND b.entity_id % 5 <> 0 GROUP BY ALL),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d, t) AS i FROM d) WHERE i <= {NEIGHBOURS}),
+o AS (SELECT n.entity_id, h.pos, avg(h.v) AS near FROM n JOIN h ON h.entity_id = n.t AND h.known GROUP BY ALL),
+filled AS (SELECT h.entity_id, h.pos, h.v, h.known, m.m, coalesce(o.near, m.m) AS near FROM h LEFT JOIN m USING (pos) LEFT JOIN o ON o.entity_id = h.entity_id AND o.pos = h.pos WHERE h.entity_id % 5 = 0)"""
+
+
 def _validated(long: str, folds: str) -> str:
     """Accuracy by fold of the nearest centroid."""
     return f"""WITH {long}, {folds},
@@ -267,6 +310,11 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p21_mean_fill": f"WITH {_fills()} SELECT entity_id, pos, round(CASE WHEN known THEN v ELSE m END, 6) + 0.0e0 AS v FROM filled",
+        "p21_neighbour_fill": f"WITH {_fills()} SELECT entity_id, pos, round(CASE WHEN known THEN v ELSE near END, 6) + 0.0e0 AS v FROM filled",
+        "p21_fill_error": f"""WITH {_fills("+ CASE WHEN pos = label THEN 3.0e0 ELSE 0.0e0 END")}
+SELECT 'mean' AS method, count(*) AS n, round(sqrt(avg((m - v) * (m - v))), 4) + 0.0e0 AS rmse FROM filled WHERE NOT known
+UNION ALL SELECT 'neighbours', count(*), round(sqrt(avg((near - v) * (near - v))), 4) + 0.0e0 FROM filled WHERE NOT known""",
         "p20_grouped_folds": f"WITH RECURSIVE {_GROUPS} SELECT entity_id, label, grp AS \"group\", fold FROM grouped",
         "p20_grouped_validation": _validated("RECURSIVE " + _LONG, _GROUPS + ", folds AS (SELECT entity_id, label, fold FROM grouped)"),
         "p19_rank_features": f"WITH {_F} SELECT * FROM (SELECT row_number() OVER (ORDER BY f DESC NULLS LAST, pos)::INTEGER AS rank, pos, f FROM f) WHERE rank <= 20",
