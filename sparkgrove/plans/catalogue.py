@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, classify, clustering, evaluate, folds, impute, scaling
+from ..operators import analysis, classify, clustering, evaluate, folds, impute, scaling, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -150,6 +150,27 @@ def p21_fill_error(feat: DataFrame) -> DataFrame:
     return made
 
 
+def followed(feat: DataFrame) -> DataFrame:
+    """label, time, event of each row: times with many ties, about a third of them censored."""
+    first, second = F.col("features")[0], F.col("features")[1]
+    return feat.select("label", F.floor(F.abs(first) * 100).cast("double").alias("time"), (second > -0.05).alias("event"))
+
+
+def p22_survival_curve(feat: DataFrame) -> DataFrame:
+    curve = survival.kaplan_meier(followed(feat))
+    return curve.withColumns({c: tidy(F.col(c)) for c in ("survival", "std_err")})
+
+
+def p22_logrank(feat: DataFrame) -> DataFrame:
+    return survival.logrank(followed(feat)).withColumns({c: tidy(F.col(c)) for c in ("expected", "variance")})
+
+
+def p22_logrank_test(feat: DataFrame) -> DataFrame:
+    """Of two classes, whose statistic has a closed form."""
+    found = survival.logrank_test(followed(feat).where("label IN (0, 1)"))
+    return found.select(tidy(F.col("statistic")).alias("statistic"), "degrees")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -184,6 +205,9 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p22_survival_curve": _feat(p22_survival_curve),
+        "p22_logrank": _feat(p22_logrank),
+        "p22_logrank_test": _feat(p22_logrank_test),
         "p21_mean_fill": _p21_fill(impute.mean_fill),
         "p21_neighbour_fill": _p21_fill(impute.neighbour_fill),
         "p21_fill_error": _feat(p21_fill_error),
@@ -245,6 +269,19 @@ o AS (SELECT n.entity_id, h.pos, avg(h.v) AS near FROM n JOIN h ON h.entity_id =
 filled AS (SELECT h.entity_id, h.pos, h.v, h.known, m.m, coalesce(o.near, m.m) AS near FROM h LEFT JOIN m USING (pos) LEFT JOIN o ON o.entity_id = h.entity_id AND o.pos = h.pos WHERE h.entity_id % 5 = 0)"""
 
 
+def _survival(classes: str = "true") -> str:
+    """By time and class: c seen last, d with an event, r at risk."""
+    return f"""f AS (
+  SELECT label, floor(abs(embedding[1]::DOUBLE) * 100)::DOUBLE AS time, embedding[2]::DOUBLE > -0.05 AS event FROM embeddings WHERE {classes}),
+g AS (SELECT t.time, l.label, count(f.label) AS c, count(f.label) FILTER (f.event) AS d
+  FROM (SELECT DISTINCT time FROM f) t CROSS JOIN (SELECT DISTINCT label FROM f) l LEFT JOIN f ON f.time = t.time AND f.label = l.label GROUP BY ALL),
+a AS (SELECT *, sum(c) OVER (PARTITION BY label ORDER BY time DESC) AS r FROM g),
+w AS (SELECT *, sum(d) OVER (PARTITION BY time)::DOUBLE AS all_d, sum(r) OVER (PARTITION BY time)::DOUBLE AS all_r FROM a),
+o AS (
+  SELECT label, sum(c)::BIGINT AS n, sum(d)::BIGINT AS observed, sum(all_d * r / all_r) AS expected,
+    sum(CASE WHEN all_r > 1 THEN all_d * (all_r - all_d) / (all_r - 1) * (r / all_r) * (1 - r / all_r) ELSE 0 END) AS variance FROM w GROUP BY label)"""
+
+
 def _validated(long: str, folds: str) -> str:
     """Accuracy by fold of the nearest centroid."""
     return f"""WITH {long}, {folds},
@@ -310,6 +347,13 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p22_survival_curve": f"""WITH {_survival()},
+s AS (SELECT *, exp(sum(CASE WHEN d = 0 THEN 0 WHEN d = r THEN '-infinity'::DOUBLE ELSE ln(1 - d / r) END) OVER (PARTITION BY label ORDER BY time)) AS s,
+  sum(CASE WHEN d < r THEN d / (r * (r - d)) ELSE 0 END) OVER (PARTITION BY label ORDER BY time) AS g FROM a)
+SELECT label, time, r::BIGINT AS n_risk, d AS n_event, c - d AS n_censored, round(s, 6) + 0.0e0 AS survival, round(CASE WHEN s > 0 THEN s * sqrt(g) END, 6) + 0.0e0 AS std_err FROM s WHERE c > 0""",
+        "p22_logrank": f"WITH {_survival()} SELECT label, n, observed, round(expected, 6) + 0.0e0 AS expected, round(variance, 6) + 0.0e0 AS variance FROM o",
+        "p22_logrank_test": f"""WITH {_survival("label IN (0, 1)")}
+SELECT round((observed - expected) * (observed - expected) / variance, 6) + 0.0e0 AS statistic, 1::INTEGER AS degrees FROM o WHERE label = 0""",
         "p21_mean_fill": f"WITH {_fills()} SELECT entity_id, pos, round(CASE WHEN known THEN v ELSE m END, 6) + 0.0e0 AS v FROM filled",
         "p21_neighbour_fill": f"WITH {_fills()} SELECT entity_id, pos, round(CASE WHEN known THEN v ELSE near END, 6) + 0.0e0 AS v FROM filled",
         "p21_fill_error": f"""WITH {_fills("+ CASE WHEN pos = label THEN 3.0e0 ELSE 0.0e0 END")}
