@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, classify, clustering, evaluate, folds, impute, scaling, survival
+from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, scaling, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -171,6 +171,25 @@ def p22_logrank_test(feat: DataFrame) -> DataFrame:
     return found.select(tidy(F.col("statistic")).alias("statistic"), "degrees")
 
 
+DECILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+
+
+def observations(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    """Order lines as finer observations: of suppliers, or of the three states of return."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"{entity} AS entity_id", "l_returnflag AS kind", "l_extendedprice AS value")
+
+
+def p23_cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cells.cell_features(observations(spark, sf_dir, "l_suppkey"))
+    return made.select(*[tidy(F.col(c), 4).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes])
+
+
+def p23_cell_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three entities that hold all rows between them."""
+    found = cells.quantiles(observations(spark, sf_dir, "l_returnflag"), DECILES)
+    return found.select("entity_id", F.posexplode("quantiles").alias("i", "q")).select("entity_id", "i", tidy(F.col("q")).alias("q"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -205,6 +224,8 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p23_cell_features": p23_cell_features,
+        "p23_cell_quantiles": p23_cell_quantiles,
         "p22_survival_curve": _feat(p22_survival_curve),
         "p22_logrank": _feat(p22_logrank),
         "p22_logrank_test": _feat(p22_logrank_test),
@@ -282,6 +303,19 @@ o AS (
     sum(CASE WHEN all_r > 1 THEN all_d * (all_r - all_d) / (all_r - 1) * (r / all_r) * (1 - r / all_r) ELSE 0 END) AS variance FROM w GROUP BY label)"""
 
 
+def _cells() -> str:
+    flags = ", ".join(
+        f"""count(*) FILTER (l_returnflag = '{k}') AS "n_{k}", round(count(*) FILTER (l_returnflag = '{k}') / count(l_returnflag), 4) + 0.0e0 AS "share_{k}",
+  round(avg(l_extendedprice) FILTER (l_returnflag = '{k}'), 4) + 0.0e0 AS "mean_{k}\""""
+        for k in "ANR"
+    )
+    return f"""WITH k AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY ALL),
+h AS (SELECT l_suppkey, -sum(n / t * ln(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY l_suppkey) AS t FROM k) GROUP BY l_suppkey)
+SELECT l_suppkey AS entity_id, count(*) AS n_cells, count(DISTINCT l_returnflag) AS n_kinds, round(any_value(entropy), 4) + 0.0e0 AS entropy, {flags},
+  {", ".join(f"round(quantile_cont(l_extendedprice, {q / 100}), 4) + 0.0e0 AS q_{q}" for q in (25, 50, 75))}
+FROM lineitem JOIN h USING (l_suppkey) GROUP BY l_suppkey"""
+
+
 def _validated(long: str, folds: str) -> str:
     """Accuracy by fold of the nearest centroid."""
     return f"""WITH {long}, {folds},
@@ -347,6 +381,9 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p23_cell_features": _cells(),
+        "p23_cell_quantiles": f"""SELECT entity_id, i::INTEGER AS i, round(q[i + 1], 6) + 0.0e0 AS q
+  FROM (SELECT l_returnflag AS entity_id, quantile_cont(l_extendedprice, {list(DECILES)}) AS q, unnest(range({len(DECILES)})) AS i FROM lineitem GROUP BY l_returnflag)""",
         "p22_survival_curve": f"""WITH {_survival()},
 s AS (SELECT *, exp(sum(CASE WHEN d = 0 THEN 0 WHEN d = r THEN '-infinity'::DOUBLE ELSE ln(1 - d / r) END) OVER (PARTITION BY label ORDER BY time)) AS s,
   sum(CASE WHEN d < r THEN d / (r * (r - d)) ELSE 0 END) OVER (PARTITION BY label ORDER BY time) AS g FROM a)
