@@ -490,6 +490,31 @@ def test_long_documents_of_few_sources_are_queued(spark, monkeypatch, packet):
     assert taken == want
 
 
+def test_packets_out_of_reach_are_never_taken(spark):
+    """One giant source, many small ones, an empty one: the bounded schedule gives the same
+    mix, and its stream has few packets past the end."""
+    rows = [(i, "giant", 40_000 + i) for i in range(20)] + [(100 + i, f"s{i % 300:03}", 700) for i in range(600)] + [(1000 + i, "none", 0) for i in range(50)] + [(5000, None, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    whole, bounded = (mixing.served(mixing.schedule(df, beyond=x)).where("taken > 0") for x in (True, False))
+    names = ("doc_id", "source", "epoch", "copy", "packet", "start", "taken")
+    assert values(whole, *names) == values(bounded, *names)
+    made = mixing.schedule(df, beyond=False)
+    size = sum(r[2] for r in rows)
+    assert made.where("tick >= 0").agg(F.sum("words")).first()[0] < 1.5 * size < mixing.schedule(df).agg(F.sum("words")).first()[0]
+    assert made.where("source = 'none'").agg(F.max("tick")).first()[0] < 0 and made.groupBy("doc_id").count().count() == len(rows)
+    assert made.where("tick >= 0").select("tick").distinct().count() <= 2 * mixing.MAX_TICKS + 64 * 64
+
+
+@pytest.mark.parametrize("size", [0, 3])
+def test_a_row_repeated_many_times(spark, size):
+    df = spark.range(200_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'s' AS source", f"CAST({size} AS BIGINT) AS size").repartition(4)
+    df = df.unionByName(spark.createDataFrame([(1, "t", 1000)], "doc_id long, source string, size long"))
+    got = mixing.served(mixing.schedule(df, beyond=False)).groupBy("source").agg(F.sum("taken").alias("n"), F.countDistinct("copy").alias("c")).collect()
+    assert {r.source: r.c for r in got} == {"s": 200_000, "t": 1} and sum(r.n for r in got) == 200_000 * size + 1000
+    ticks = mixing.schedule(df, beyond=False).groupBy("tick").count()
+    assert ticks.agg(F.max("count")).first()[0] < 20_000
+
+
 def test_buckets_and_ticks_do_not_change_the_mix(docs, monkeypatch):
     names = ("doc_id", "source", "epoch", "copy", "packet", "start", "taken")
     whole = values(mixing.served(mixing.schedule(mixing.sized(docs))), *names)
