@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Documents are taken in shards of bounded size, one shard at a time in each task. A
-suffix array over the shard's word positions is sorted as deep as the longest test
-suffix; every test suffix is searched in it by bisection, which gives the places of
-each window of ``window`` words, and each place is then extended to its longest
-verbatim match by bisecting the sorted test suffixes. Blocks of test items of bounded size
+Documents are taken in shards of bounded size, one shard at a time in each task. The
+suffixes of a shard and of the test items are ranked together by their first 1, 2, 4, ...
+words, doubling the depth up to the longest test item, so repetitive texts cost no more
+passes than others. The shard's suffix array of a window's depth is bisected by the test
+suffixes, which gives the places of each window of ``window`` words, and each place is then
+extended to its longest verbatim match by bisecting the sorted test suffixes; the ranks of
+all depths tell how many words two suffixes have in common. Blocks of test items of bounded size
 (a longer item is a block of its own) are prepared once, as a job, and lie in the shared
 folder, where each task loads them one after another, so a benchmark of any size passes
 through bounded memory and nothing is broadcast.
@@ -41,9 +43,6 @@ WINDOW = 10
 #: UTF-8 bytes of a shard (a longer document is a shard of its own); test items of a block,
 #: and bytes of them.
 SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 4 << 20, 20_000, 8 << 20
-#: Bits of a word id: as many ids as fit 63 bits make a sort key. The second for blocks of
-#: more distinct words than the first can number.
-BITS = (21, 31)
 _RESULT = [
     ("n_words", "long"), ("n_hit", "long"), ("longest_match", "long"), ("n_items", "long"), ("item_ids", "array<string>"),
     ("locations", "array<struct<start: long, n_words: long, item_id: string, item_start: long>>"),
@@ -52,18 +51,16 @@ _LOCATIONS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()),
 
 
 class Block:
-    """Test items of one block: their vocabulary, windows and sorted suffixes."""
+    """Test items of one block: their vocabulary, words and windows."""
 
-    def __init__(self, ids: list, texts: pa.Array, window: int, bits: tuple[int, ...] = BITS):
+    def __init__(self, ids: list, texts: pa.Array, window: int):
         flat, counts = words_of(texts)
         coded = flat.dictionary_encode()
         self.vocabulary = coded.dictionary
-        self.bits = next(b for b in bits if len(self.vocabulary) < (1 << b) - 1)
         # word ids from 1; 0 stands for any other word and for the space between texts
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         self.longest = int(counts.max(initial=0))
-        n_pad = self.longest + 63 // self.bits
-        pad, parts, starts, lengths, owner, firsts, at = np.zeros(n_pad, np.int64), [], [], [], [], [], 0
+        parts, starts, lengths, owner, firsts, at = [], [], [], [], [], 0
         first = np.concatenate([[0], np.cumsum(counts)])
         for i, n in enumerate(counts):
             firsts.append(at)
@@ -73,13 +70,11 @@ class Block:
                 owner.append(np.full(len(starts[-1]), i))
                 parts += [codes[first[i] : first[i] + n], [0]]
                 at += n + 1
-        self.words = np.concatenate([*parts, pad]).astype(np.int64) if parts else pad
+        self.words = np.concatenate(parts).astype(np.int64) if parts else np.zeros(1, np.int64)
         self.firsts = np.array(firsts, np.int64)
         starts, lengths, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, owner))
         self.ids = [None if x is None else str(x) for x in ids]
         self.shortest = int(lengths.min(initial=window))
-        self.packed = _pack(self.words, self.bits)
-        self.suffixes = _sorted(self.packed, np.flatnonzero(self.words[: len(self.words) - n_pad]), self.longest, self.bits)
         # one representative of equal windows; the items of each window
         seen: dict[bytes, int] = {}
         window_of = np.array([seen.setdefault(self.words[s : s + n].tobytes(), len(seen)) for s, n in zip(starts, lengths)], np.int64)
@@ -90,67 +85,39 @@ class Block:
         self.item_bounds = np.searchsorted(window_of[order], np.arange(len(keep) + 1))
 
 
-def _pack(words: np.ndarray, bits: int) -> np.ndarray:
-    """As many words from each position on as fit one key; ``words`` ends in zeros."""
-    key = words.copy()
-    for i in range(1, 63 // bits):
-        key <<= bits
-        key[:-i] |= words[i:]
-    return key
-
-
-def _sorted(packed: np.ndarray, positions: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """Suffix array: ``positions`` sorted by the ``depth`` words that follow, by
-    refining only those that are still tied, a key's words at a time."""
-    order = positions[np.argsort(packed[positions], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(packed[order][1:] != packed[order][:-1])]) if len(order) else np.zeros(0, np.int64)
-    last, step = len(packed) - 1, 63 // bits
-    for at in range(step, depth, step):
-        tied = np.flatnonzero(np.concatenate([group[1:] == group[:-1], [False]]) | np.concatenate([[False], group[1:] == group[:-1]])) if len(group) else group
-        if not len(tied):
-            break
-        key = packed[np.minimum(order[tied] + at, last)]
-        inner = np.lexsort((key, group[tied]))
-        order[tied], key = order[tied][inner], key[inner]
-        new = np.zeros(len(order), np.int64)
-        new[tied[1:]] = (key[1:] != key[:-1]) | (np.diff(tied) > 1)
-        new[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(new)
-    return order
-
-
-def _compare(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of a[pa:] against b[pb:] over ``lengths`` words, and the words in common."""
-    sign, common, step = np.zeros(len(pa_), np.int64), np.zeros(len(pa_), np.int64), 63 // bits
-    alive = np.arange(len(pa_))
-    for at in range(0, int(lengths.max(initial=0)), step):
-        alive = alive[lengths[alive] > at]
-        if not len(alive):
-            break
-        shift = bits * (step - np.minimum(step, lengths[alive] - at))
-        x = a[np.minimum(pa_[alive] + at, len(a) - 1)] >> shift
-        y = b[np.minimum(pb[alive] + at, len(b) - 1)] >> shift
-        n = np.minimum(step, lengths[alive] - at)
-        same = x == y
-        part = np.zeros(len(alive), np.int64)
-        for i in range(step):
-            drop = bits * np.maximum(n - 1 - i, 0)
-            part += (i < n) & (x >> drop == y >> drop)
-        common[alive] += part
-        sign[alive[~same]] = np.sign(x - y)[~same]
-        alive = alive[same]
-    return sign, common
-
-
-def _bisect(packed: np.ndarray, array: np.ndarray, queries: np.ndarray, at: np.ndarray, lengths: np.ndarray, right: bool, bits: int) -> np.ndarray:
-    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(array))
-    while np.any(open_ := low < high):
-        i = np.flatnonzero(open_)
-        mid = (low[i] + high[i]) // 2
-        sign, _ = _compare(packed, array[mid], queries, at[i], lengths[i], bits)
-        up = (sign <= 0) if right else (sign < 0)
-        low[i[up]], high[i[~up]] = mid[up] + 1, mid[~up]
-    return low
+class Ranks:
+    """Order of the suffixes of ``words`` by their first 1, 2, 4, ... words, up to ``depth``
+    of them; each suffix ends with the first 0, before any other word."""
+
+    def __init__(self, words: np.ndarray, depth: int):
+        zeros = np.flatnonzero(words == 0)
+        self.left = zeros[np.searchsorted(zeros, np.arange(len(words)))] - np.arange(len(words))
+        self.levels, n = [words.astype(np.int64)], 1
+        while n < min(depth, int(self.left.max(initial=0))):
+            self.levels.append(np.unique(self.of(2 * n), return_inverse=True)[1])
+            n *= 2
+
+    def of(self, n: int) -> np.ndarray:
+        """Numbers in the order of the first ``n`` words of each suffix, which has no level of
+        its own: by two levels that overlap, or meet."""
+        k = min(len(self.levels), (n - 1).bit_length()) - 1 if n > 1 else 0
+        rank, step = self.levels[k], n - (1 << k)
+        if n == 1:
+            return rank
+        second = np.zeros(len(rank), np.int64)
+        longer = np.flatnonzero(self.left >= step)
+        second[longer] = rank[longer + step]
+        return rank * (int(rank.max(initial=0)) + 1) + second
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at ``a`` and ``b`` have in common."""
+        most = np.minimum(self.left[a], self.left[b])
+        n = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            for _ in range(2 if k == len(self.levels) - 1 else 1):
+                more = np.flatnonzero(n < most)
+                n[more] += (self.levels[k][a[more] + n[more]] == self.levels[k][b[more] + n[more]]).astype(np.int64) << k
+        return np.minimum(n, most)
 
 
 def _repeat(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +148,41 @@ def _shard(texts: pa.Array, blocks: Iterator[Block]) -> Found:
     for block in blocks:
         if not len(block.query) or not len(flat):
             continue
-        bits = block.bits
-        words = np.zeros(size + block.longest + 63 // bits, np.int64)
+        words = np.zeros(size, np.int64)
         words[at] = pc.fill_null(pc.index_in(flat, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        known = words > 0
-        unknown = np.flatnonzero(~known)
-        positions = np.flatnonzero(known)
-        run = unknown[np.searchsorted(unknown, positions)] - positions
-        positions = positions[run >= block.shortest]
-        packed = _pack(words, bits)
-        array = _sorted(packed, positions, block.longest, bits)
-        ends = [_bisect(packed, array, block.packed, block.query, block.query_length, right, bits) for right in (False, True)]
-        which, place = _repeat(*ends)
+        # runs of known words that can hold a window, a zero after each; no other suffix can match
+        unknown = np.concatenate([[-1], np.flatnonzero(words == 0)])
+        run = np.diff(unknown) - 1
+        _, kept = _repeat(unknown[:-1][run >= block.shortest] + 1, unknown[1:][run >= block.shortest] + 1)
+        n_kept = len(kept)
+        ranks = Ranks(np.concatenate([words[kept], block.words]), block.longest)
+        which, places = [], []
+        for n in np.unique(block.query_length).tolist():
+            number = ranks.of(n)
+            shard = np.flatnonzero(ranks.left[:n_kept] >= n)
+            shard = shard[np.argsort(number[shard], kind="stable")]  # the suffix array of this depth
+            queries = np.flatnonzero(block.query_length == n)
+            wanted = number[n_kept + block.query[queries]]
+            found, place = _repeat(*(np.searchsorted(number[shard], wanted, side=side) for side in ("left", "right")))
+            which.append(queries[found])
+            places.append(shard[place])
+        which, places = np.concatenate(which), np.concatenate(places)
         if not len(which):
             continue
-        places, length = array[place], block.query_length[which]
+        length = block.query_length[which]
         # longest match of each place: with its neighbours among the sorted test suffixes
         spots = np.unique(places)
-        near = _bisect(block.packed, block.suffixes, packed, spots, np.full(len(spots), block.longest), False, bits)
+        last = ranks.of(block.longest)
+        tests = n_kept + np.flatnonzero(block.words)
+        tests = tests[np.argsort(last[tests], kind="stable")]
+        near = np.searchsorted(last[tests], last[spots])
         best, best_at = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
         for side in (near, near - 1):
-            ok = (side >= 0) & (side < len(block.suffixes))
-            other = block.suffixes[np.clip(side, 0, len(block.suffixes) - 1)]
-            common = np.where(ok, _common_known(packed, spots, block, other), 0)
-            best_at = np.where(common > best, other, best_at)
+            other = tests[np.clip(side, 0, len(tests) - 1)]
+            common = np.where((side >= 0) & (side < len(tests)), ranks.common(spots, other), 0)
+            best_at = np.where(common > best, other - n_kept, best_at)
             best = np.maximum(best, common)
+        places, spots = kept[places], kept[spots]
         np.maximum.at(longest, doc_of[spots], best)
         owner = np.searchsorted(block.firsts, best_at, side="right") - 1
         matches += zip(spots.tolist(), best.tolist(), [block.ids[i] for i in owner.tolist()], (best_at - block.firsts[owner]).tolist())
@@ -226,14 +203,6 @@ def _shard(texts: pa.Array, blocks: Iterator[Block]) -> Found:
     return Found(counts, np.bincount(doc_of[hit], minlength=len(counts)), longest, items, locations)
 
 
-def _common_known(packed: np.ndarray, spots: np.ndarray, block: Block, other: np.ndarray) -> np.ndarray:
-    """Words in common up to the first that is unknown or ends a text."""
-    _, common = _compare(packed, spots, block.packed, other, np.full(len(spots), block.longest), block.bits)
-    zeros = np.flatnonzero(block.words == 0)
-    left = zeros[np.searchsorted(zeros, other)] - other
-    return np.minimum(common, left)
-
-
 def _prepare(path: str, window: int):
     """Task function: blocks of the task's items, written to ``path``; a row for each."""
 
@@ -246,7 +215,7 @@ def _prepare(path: str, window: int):
                 for part in pieces(rows, 1, BLOCK_BYTES):
                     name = f"{context.partitionId():06d}-{n:06d}.block"
                     with written(f"{path}/{name}", str(context.taskAttemptId())) as out:
-                        out.write(pickle.dumps(Block(part.column(0).to_pylist(), part.column(1), window, BITS), protocol=5))
+                        out.write(pickle.dumps(Block(part.column(0).to_pylist(), part.column(1), window), protocol=5))
                     n += 1
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part.num_rows], pa.int64())], names=["name", "n"])
 
