@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, scaling, survival
+from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, scaling, spatial, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -104,6 +104,15 @@ def _planted_scores(classifier: Callable[[DataFrame, DataFrame], DataFrame], pla
     return _feat(make)
 
 
+def p15_logistic_confusion(feat: DataFrame) -> DataFrame:
+    """label, predicted, n of the planted table's test rows, and how many of them have
+    probabilities that add up to 1, with the greatest for the class predicted."""
+    total = F.aggregate("prob", F.lit(0.0), lambda s, p: s + p)
+    fit = (F.abs(total - 1) < 1e-9) & (F.array_position("prob", F.array_max("prob")) == F.col("predicted") + 1)
+    made = classify.logistic(*split(planted(feat)), reg=0.01)
+    return made.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"), F.sum(fit.cast("long")).alias("n_fit"))
+
+
 def p19_forest_top(feat: DataFrame) -> DataFrame:
     """The features most important to a forest on the planted table, as many as classes."""
     importance = classify.forest_importance(planted(feat))
@@ -190,6 +199,19 @@ def p23_cell_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity_id", F.posexplode("quantiles").alias("i", "q")).select("entity_id", "i", tidy(F.col("q")).alias("q"))
 
 
+RADIUS = 2.5
+
+
+def placed(feat: DataFrame) -> DataFrame:
+    """The first two features as places in the plane, of a tenth of a unit, with the label as kind."""
+    x, y = (F.round(F.col("features")[i] * 100, 1) for i in range(2))
+    return feat.select("entity_id", x.alias("x"), y.alias("y"), F.col("label").alias("kind"))
+
+
+def p24_neighbourhoods(feat: DataFrame) -> DataFrame:
+    return spatial.neighbourhoods(placed(feat), RADIUS).withColumn("entropy", tidy(F.col("entropy")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -215,6 +237,7 @@ def queries() -> dict[str, Query]:
         "p14_knn_classify": _split(lambda train, test: classify.knn_classify(train, test, NEIGHBOURS)),
         "p15_logistic": _split(lambda train, test: classify.logistic(train, test, reg=0.01)),
         "p15_logistic_planted": _planted_scores(lambda train, test: classify.logistic(train, test, reg=0.01), 6),
+        "p15_logistic_confusion": _feat(p15_logistic_confusion),
         "p16_random_forest": _split(classify.random_forest),
         "p16_forest_planted": _planted_scores(classify.random_forest, 1),
         "p17_confusion": _split(lambda train, test: evaluate.confusion(classify.nearest_centroid(train, test))),
@@ -224,6 +247,8 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p24_neighbour_kinds": _feat(lambda feat: spatial.neighbour_kinds(placed(feat), RADIUS)),
+        "p24_neighbourhoods": _feat(p24_neighbourhoods),
         "p23_cell_features": p23_cell_features,
         "p23_cell_quantiles": p23_cell_quantiles,
         "p22_survival_curve": _feat(p22_survival_curve),
@@ -316,6 +341,14 @@ SELECT l_suppkey AS entity_id, count(*) AS n_cells, count(DISTINCT l_returnflag)
 FROM lineitem JOIN h USING (l_suppkey) GROUP BY l_suppkey"""
 
 
+_SPACE = f"""e AS (
+  SELECT vec_id, round(embedding[1]::DOUBLE * 100, 1) AS x, round(embedding[2]::DOUBLE * 100, 1) AS y, label AS kind FROM embeddings),
+k AS (
+  SELECT a.vec_id AS entity_id, a.kind AS own, b.kind, count(*) AS n
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS * RADIUS}
+  GROUP BY ALL)"""
+
+
 def _validated(long: str, folds: str) -> str:
     """Accuracy by fold of the nearest centroid."""
     return f"""WITH {long}, {folds},
@@ -355,6 +388,8 @@ d AS (SELECT a.entity_id, a.label, b.label AS other, sum((a.v - b.v) * (a.v - b.
 s AS (SELECT entity_id, max(CASE WHEN label = other THEN d / (n - 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b FROM d GROUP BY entity_id)
 SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0e0 AS silhouette FROM s""",
         "p15_logistic_planted": "SELECT count(*) AS n, 1.0e0 AS accuracy FROM embeddings WHERE vec_id % 5 = 0",
+        # every test row in its own class, so far are the classes from each other
+        "p15_logistic_confusion": "SELECT label, label AS predicted, count(*) AS n, count(*) AS n_fit FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label",
         "p16_forest_planted": "SELECT count(*) AS n, 1.0e0 AS accuracy FROM embeddings WHERE vec_id % 5 = 0",
         "p19_forest_top": "SELECT DISTINCT label AS pos FROM embeddings",
         "p10_cluster_by_class": f"""WITH {_LONG},
@@ -381,6 +416,10 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p24_neighbour_kinds": f"WITH {_SPACE} SELECT entity_id, kind, n FROM k",
+        "p24_neighbourhoods": f"""WITH {_SPACE}, t AS (
+  SELECT entity_id, sum(n)::BIGINT AS n_neighbours, sum(CASE WHEN kind = own THEN n ELSE 0 END)::BIGINT AS n_same, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM k GROUP BY entity_id)
+SELECT vec_id AS entity_id, coalesce(n_neighbours, 0) AS n_neighbours, coalesce(n_same, 0) AS n_same, round(entropy, 6) + 0.0e0 AS entropy FROM e LEFT JOIN t ON t.entity_id = e.vec_id""",
         "p23_cell_features": _cells(),
         "p23_cell_quantiles": f"""SELECT entity_id, i::INTEGER AS i, round(q[i + 1], 6) + 0.0e0 AS q
   FROM (SELECT l_returnflag AS entity_id, quantile_cont(l_extendedprice, {list(DECILES)}) AS q, unnest(range({len(DECILES)})) AS i FROM lineitem GROUP BY l_returnflag)""",
