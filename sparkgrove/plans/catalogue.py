@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, scaling, spatial, survival
+from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, regress, scaling, spatial, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -212,6 +212,15 @@ def p24_neighbourhoods(feat: DataFrame) -> DataFrame:
     return spatial.neighbourhoods(placed(feat), RADIUS).withColumn("entropy", tidy(F.col("entropy")))
 
 
+RIDGE = 0.01
+
+
+def p25_ridge(feat: DataFrame) -> DataFrame:
+    """The first feature from the two after it, each fold by the model of the others."""
+    folded = folds.with_folds(feat.withColumn("features", F.slice("features", 1, 3)), K_FOLDS)
+    return regress.out_of_fold(folded, 0, RIDGE).withColumns({c: tidy(F.col(c)) for c in ("v", "predicted")})
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -247,6 +256,7 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p25_ridge": _feat(p25_ridge),
         "p24_neighbour_kinds": _feat(lambda feat: spatial.neighbour_kinds(placed(feat), RADIUS)),
         "p24_neighbourhoods": _feat(p24_neighbourhoods),
         "p23_cell_features": p23_cell_features,
@@ -416,6 +426,12 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p25_ridge": f"""WITH {_FOLDS},
+e AS (SELECT vec_id AS entity_id, fold, embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y FROM embeddings JOIN folds ON vec_id = entity_id),
+s AS (SELECT g.fold, avg(t) AS mt, avg(x) AS mx, avg(y) AS my, var_pop(x) + {RIDGE} AS a, var_pop(y) + {RIDGE} AS d, covar_pop(x, y) AS b, covar_pop(x, t) AS u, covar_pop(y, t) AS w
+  FROM e JOIN (SELECT DISTINCT fold FROM e) g ON e.fold <> g.fold GROUP BY g.fold),
+c AS (SELECT *, (u * d - w * b) / (a * d - b * b) AS cx, (w * a - u * b) / (a * d - b * b) AS cy FROM s)
+SELECT entity_id, fold::BIGINT AS fold, round(t, 6) + 0.0e0 AS v, round(mt + cx * (x - mx) + cy * (y - my), 6) + 0.0e0 AS predicted FROM e JOIN c USING (fold)""",
         "p24_neighbour_kinds": f"WITH {_SPACE} SELECT entity_id, kind, n FROM k",
         "p24_neighbourhoods": f"""WITH {_SPACE}, t AS (
   SELECT entity_id, sum(n)::BIGINT AS n_neighbours, sum(CASE WHEN kind = own THEN n ELSE 0 END)::BIGINT AS n_same, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM k GROUP BY entity_id)
