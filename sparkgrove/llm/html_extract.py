@@ -10,7 +10,10 @@ page's text; else from its own best one, which holds all of it. Menus, headers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments and hidden elements are
 left out wherever they stand, inside a line of text as well. They are known by their tags,
 roles and attributes, and by the word that a class or id ends in (``left-sidebar``,
-``ad-slot``, but not ``related-work``).
+``ad-slot``, but not ``related-work``). Names alone do not decide: headings go by none, and a
+form, header, button or box named like one stays, without the boxes inside it, if it holds
+more than half of the page's text and is a mere element of its kind or stands around an
+article, since whole pages lie in forms and banners. Sidebars and boxes of comments never do.
 
 Defined results: a null or empty html has an empty text. A null url, or one without a
 host, votes under the empty host. Ties between paths go to the shorter path, then to
@@ -41,8 +44,11 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that are never part of an article; ``header`` is one only outside of it.
-SKIPPED = frozenset("nav footer aside form button select option datalist dialog menu svg math canvas object audio video head header map".split())
+#: Elements that are never part of an article, and those that may hold it nevertheless;
+#: ``header`` is one only outside of it.
+SKIPPED = frozenset("nav footer aside select option datalist dialog menu svg math canvas object audio video head map".split())
+DOUBTED = frozenset("form button header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words that mark what is not the article, if they are the last word of a
 #: class or id but for words of place and shape; the second only outside of an article.
@@ -50,7 +56,7 @@ MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions banner banners nav navbar "
     "navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead topbar cookie cookies consent gdpr notice notices alert "
     "alerts popup popups modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond "
-    "disqus replies pagination pager toolbar".split()
+    "disqus replies pagination pager toolbar copyright".split()
 )
 MARKED_OUTSIDE = frozenset("header search form overlay skip discussion reply".split())
 SHAPES = frozenset(
@@ -75,6 +81,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _JUDGED = re.compile(r"class|id|role|style", re.I)
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Names of boxes that whole pages may lie in, and of those that never hold the article.
+_FRAMES = re.compile(r"banner|header|masthead|topbar|form|overlay|modal|popup", re.I)
+_COMMENTS = re.compile(r"comment|respond|disqus|repl(?:y|ies)|discussion", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Of which open elements each element is the nearest that ends them, or hides them.
 _NEAREST = {tag: tuple(name for name in _ENDS if tag == name or tag in _WALLS[name]) for tag in set(_ENDS).union(*_WALLS.values())}
@@ -82,13 +91,17 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Container:
-    """An open element: its generalised name, whether it is left out or in an article, and
-    a number that tells its path from others."""
+    """An open element: its generalised name, whether it is left out or in an article, a
+    number that tells its path from others, and the nearest box at or above it that is left
+    out unless it turns out to hold the page's text."""
 
-    __slots__ = ("article", "depth", "name", "nearest", "number", "parent", "skip", "tag")
+    __slots__ = ("article", "bare", "box", "depth", "holds", "name", "nearest", "number", "parent", "size", "skip", "tag")
 
     def __init__(self, tag: str, name: str, skip: bool, article: bool, parent: Container | None):
         self.tag, self.name, self.skip, self.article, self.parent = tag, name, skip, article, parent
+        self.box: Container | None = parent.box if parent else None
+        #: of a box: doubted for its tag alone, holding an article element, characters of text
+        self.bare, self.holds, self.size = False, False, 0
         self.depth, self.number = (parent.depth + 1, hash((parent.number, name))) if parent else (0, 0)
         #: the nearest elements by what they end or hide
         self.nearest = parent.nearest if parent else {}
@@ -129,13 +142,45 @@ def _judged(tag: str, attributes: str, article: bool) -> tuple[str, bool, bool]:
 
 def _opened(tag: str, attributes: str, parent: Container) -> Container:
     names, marked, hidden = _judged(tag, attributes, parent.article) if attributes else ("", False, False)
-    article = parent.article or tag in ("article", "main")
-    skip = parent.skip or hidden or (marked and tag not in ("body", "html", "article", "main"))
+    main = tag in ("article", "main")
+    marked = marked and not main and tag not in ("body", "html") and tag not in HEADINGS  # a heading is what it says
+    node = Container(tag, f"{tag}.{names}" if names else tag, parent.skip or hidden or tag in SKIPPED, parent.article or main, parent)
+    doubted = tag in DOUBTED
     if tag == "header":
-        skip = skip or not parent.article and not any(x in _BESIDE for x in names.replace("-", ".").replace("_", ".").split("."))
-    else:
-        skip = skip or tag in SKIPPED
-    return Container(tag, f"{tag}.{names}" if names else tag, skip, article, parent)
+        doubted = not parent.article and not any(x in _BESIDE for x in names.replace("-", ".").replace("_", ".").split("."))
+    if marked or doubted:
+        # comments and sidebars hold text, and often articles of their own, and stay out
+        node.box, node.bare = node, doubted and not marked
+        node.size = 0 if node.bare or _FRAMES.search(attributes) and not _COMMENTS.search(attributes) else -1
+    box = node.box
+    while main and box:
+        box.holds, box = True, box.parent.box
+    return node
+
+
+def _kept(found: list[tuple[Container, str]]) -> list[tuple[Container, str]]:
+    """Blocks outside of all boxes, or in those that hold the page's text: more than half of
+    all, and for its tag alone or around an article. A page may lie in one form."""
+    total = 0
+    for node, text in found:
+        total += len(text)
+        box = node.box
+        while box:
+            if box.size >= 0:
+                box.size += len(text)
+            box = box.parent.box
+    kept: dict[Container | None, bool] = {None: True}
+
+    def fits(box: Container | None) -> bool:
+        above = []
+        while box not in kept:
+            above.append(box)
+            box = box.parent.box
+        for x in reversed(above):
+            kept[x] = kept[x.parent.box] and (x.bare or x.holds) and 2 * x.size > total
+        return kept[above[0] if above else box]
+
+    return [(node, text) for node, text in found if fits(node.box)]
 
 
 def blocks(html: str) -> list[tuple[Container, str]]:
@@ -203,7 +248,7 @@ def blocks(html: str) -> list[tuple[Container, str]]:
             if tag not in VOID:
                 if muted:
                     muted = (muted[0], muted[1], muted[2] + (muted[1] == tag))
-                elif m[3] and (_JUDGED.search(m[3]) or "hidden" in m[3].lower()) and any(_judged(tag, m[3], at.article)[1:]):
+                elif m[3] and (_JUDGED.search(m[3]) or "hidden" in m[3].lower()) and any(_judged(tag, m[3], at.article)[1 + (at.tag in HEADINGS) :]):
                     muted = (at, tag, 1)
             continue
         flush()
@@ -219,7 +264,7 @@ def blocks(html: str) -> list[tuple[Container, str]]:
     if end < n and not at.skip and not muted:
         held.append(html[end:])
     flush()
-    return [(node, text) for node, text in found if not node.skip]
+    return _kept([(node, text) for node, text in found if not node.skip])
 
 
 def best_path(found: list[tuple[Container, str]]) -> str:

@@ -449,6 +449,23 @@ def test_deep_and_wrongly_nested_html():
     assert html_extract.main_text(many, None).count("x") == 50_000
 
 
+_ARTICLE = "<h1>Title here</h1><p>First paragraph of the text.</p><p>Second one, a little longer than that.</p>"
+_PLAIN = "Title here First paragraph of the text. Second one, a little longer than that."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<body><form id="aspnetForm"><nav>Home About</nav><form><input> Search</form><div class="sidebar">Other things</div>{_ARTICLE}</form></body>', _PLAIN),
+    (f'<body><div id="main-banner"><div class="menu">Home</div><article>{_ARTICLE}</article></div><div>x</div></body>', _PLAIN + " x"),
+    (f'<body><header><nav>Home</nav><main>{_ARTICLE}</main></header></body>', _PLAIN),
+    (f'<body><article>{_ARTICLE}<h2 id="Advertising">Advertising</h2><p>a</p><h3 class="comments"><span id="Navigation">Navigation</span></h3></article></body>', _PLAIN + " Advertising a Navigation"),
+    (f'<body><article>{_ARTICLE}</article><div id="comments"><article class="comment"><p>{"I say something very long. " * 20}</p></article></div></body>', _PLAIN),
+    (f'<body><div class="related"><article>Other</article></div><div>{_ARTICLE}</div><header>Site</header><form>Sign up <button>Go</button></form><div class="copyright">(c)</div></body>', _PLAIN),
+    ('<body><div class="newsletter"><p>Only this, but it is a newsletter.</p></div></body>', ""),
+])
+def test_a_name_alone_does_not_decide(html, text):
+    assert html_extract.main_text(html, None) == text
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/pdiv \"'=a&;!-", max_size=80))
 def test_html_never_fails(html):
