@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, regress, scaling, spatial, survival
+from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, mixture, regress, scaling, spatial, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -221,6 +221,20 @@ def p25_ridge(feat: DataFrame) -> DataFrame:
     return regress.out_of_fold(folded, 0, RIDGE).withColumns({c: tidy(F.col(c)) for c in ("v", "predicted")})
 
 
+def p26_mixture_planted(feat: DataFrame) -> DataFrame:
+    """Components of the planted table by the class they hold: label, n, share."""
+    feat = planted(feat)
+    found = mixture.responsibilities(feat, mixture.gaussian_mixture(feat, CLASSES))
+    return clustering.cluster_by_class(found.select("entity_id", "cluster"), feat).select("label", "n", "share")
+
+
+def p26_mixture_components(feat: DataFrame) -> DataFrame:
+    """Parameters of the planted table's components, named by the element that is planted."""
+    made = mixture.components(feat.sparkSession, mixture.gaussian_mixture(planted(feat), CLASSES))
+    label = made.groupBy("component").agg(F.max_by("pos", "mean").alias("label"))
+    return made.join(label, "component").select("label", "pos", *[tidy(F.col(c)).alias(c) for c in ("weight", "mean", "variance")])
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -256,6 +270,8 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p26_mixture_planted": _feat(p26_mixture_planted),
+        "p26_mixture_components": _feat(p26_mixture_components),
         "p25_ridge": _feat(p25_ridge),
         "p24_neighbour_kinds": _feat(lambda feat: spatial.neighbour_kinds(placed(feat), RADIUS)),
         "p24_neighbourhoods": _feat(p24_neighbourhoods),
@@ -426,6 +442,11 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p26_mixture_planted": "SELECT label, count(*) AS n, 1.0e0 AS share FROM embeddings GROUP BY label",
+        # classes so far from each other that each component is one of them
+        "p26_mixture_components": f"""WITH {_LONG}, n AS (SELECT count(*) AS n FROM embeddings)
+SELECT label, pos, round(count(*) / any_value(n), 6) + 0.0e0 AS weight, round(avg(v) + CASE WHEN pos = label THEN 3 ELSE 0 END, 6) + 0.0e0 AS mean,
+  round(greatest(var_pop(v), 1e-6), 6) + 0.0e0 AS variance FROM long, n GROUP BY label, pos""",
         "p25_ridge": f"""WITH {_FOLDS},
 e AS (SELECT vec_id AS entity_id, fold, embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y FROM embeddings JOIN folds ON vec_id = entity_id),
 s AS (SELECT g.fold, avg(t) AS mt, avg(x) AS mx, avg(y) AS my, var_pop(x) + {RIDGE} AS a, var_pop(y) + {RIDGE} AS d, covar_pop(x, y) AS b, covar_pop(x, t) AS u, covar_pop(y, t) AS w
