@@ -42,7 +42,7 @@ from .words import shards, words_of
 WINDOW = 10
 #: UTF-8 bytes of a shard (a longer document is a shard of its own); test items of a block,
 #: and bytes of them.
-SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 4 << 20, 20_000, 8 << 20
+SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 2 << 20, 20_000, 8 << 20
 _RESULT = [
     ("n_words", "long"), ("n_hit", "long"), ("longest_match", "long"), ("n_items", "long"), ("item_ids", "array<string>"),
     ("locations", "array<struct<start: long, n_words: long, item_id: string, item_start: long>>"),
@@ -92,16 +92,16 @@ class Ranks:
     def __init__(self, words: np.ndarray, depth: int):
         zeros = np.flatnonzero(words == 0)
         self.left = zeros[np.searchsorted(zeros, np.arange(len(words)))] - np.arange(len(words))
-        self.levels, n = [words.astype(np.int64)], 1
+        self.levels, n = [words.astype(np.int32)], 1
         while n < min(depth, int(self.left.max(initial=0))):
-            self.levels.append(np.unique(self.of(2 * n), return_inverse=True)[1])
+            self.levels.append(np.unique(self.of(2 * n), return_inverse=True)[1].astype(np.int32))
             n *= 2
 
     def of(self, n: int) -> np.ndarray:
         """Numbers in the order of the first ``n`` words of each suffix, which has no level of
         its own: by two levels that overlap, or meet."""
         k = min(len(self.levels), (n - 1).bit_length()) - 1 if n > 1 else 0
-        rank, step = self.levels[k], n - (1 << k)
+        rank, step = self.levels[k].astype(np.int64), n - (1 << k)
         if n == 1:
             return rank
         second = np.zeros(len(rank), np.int64)
@@ -264,6 +264,7 @@ def _scan(path: str, n_kept: int, names: list[str]):
             places = pa.array([[dict(zip(("start", "n_words", "item_id", "item_start"), m)) for m in x] for x in found.locations], _LOCATIONS)
             columns = [part.column(i) for i in range(n_kept)] + [pa.array(x.astype(np.int64)) for x in numbers] + [ids, places]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
