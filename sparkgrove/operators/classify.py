@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import to_long, width_of
+from .approximate import approximate
 from .neighbours import cosine, nearest
 
 Loss = Callable[[Column, Column], Column]
@@ -119,7 +120,17 @@ def out_of_fold(folded: DataFrame, k: int, classifier: Callable) -> DataFrame:
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Majority class of the k nearest training rows by cosine (rounded to 9 places).
     Ties in distance go to the lower id, in votes to the lower label."""
-    near = nearest(test, train.withColumn("vote", F.col("label")), k, cosine, ["vote"], tile_rows=TEST_BLOCK, product=PRODUCT)
+    return _voted(nearest(test, train.withColumn("vote", F.col("label")), k, cosine, ["vote"], tile_rows=TEST_BLOCK, product=PRODUCT), test)
+
+
+def knn_approximate(train: DataFrame, test: DataFrame, k: int = 5, **tables: int) -> DataFrame:
+    """``knn_classify`` by the neighbours that ``approximate`` finds."""
+    near = approximate(test, train, k, **tables)
+    return _voted(near.join(train.select(F.col("entity_id").alias("train_id"), F.col("label").alias("vote")), "train_id"), test)
+
+
+def _voted(near: DataFrame, test: DataFrame) -> DataFrame:
+    """The majority class of each test row's neighbours, ties to the lower label."""
     votes = near.groupBy("entity_id", "vote").agg(F.count(F.lit(1)).alias("n"))
     chosen = votes.groupBy("entity_id").agg(F.min(F.struct((-F.col("n")).alias("down"), "vote"))["vote"].alias("predicted"))
     return test.select("entity_id", "label").join(chosen, "entity_id")

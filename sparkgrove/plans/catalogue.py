@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, cells, classify, clustering, evaluate, folds, impute, mixture, regress, scaling, spatial, survival
+from ..operators import analysis, approximate, cells, classify, clustering, evaluate, folds, impute, mixture, neighbours, regress, scaling, spatial, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -235,6 +235,19 @@ def p26_mixture_components(feat: DataFrame) -> DataFrame:
     return made.join(label, "component").select("label", "pos", *[tidy(F.col(c)).alias(c) for c in ("weight", "mean", "variance")])
 
 
+def p27_approximate(feat: DataFrame) -> DataFrame:
+    """Neighbours of the planted table's test rows."""
+    train, test = split(planted(feat))
+    return approximate.approximate(test, train, NEIGHBOURS).withColumn("near", tidy(F.col("near")))
+
+
+def p27_recall(feat: DataFrame) -> DataFrame:
+    """Of the exact neighbours of the planted table's test rows, the share found."""
+    train, test = split(planted(feat))
+    exact = neighbours.nearest(test, train, NEIGHBOURS, neighbours.cosine)
+    return approximate.recall(approximate.approximate(test, train, NEIGHBOURS), exact).withColumn("recall", tidy(F.col("recall"), 4))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -270,6 +283,8 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p27_approximate": _feat(p27_approximate),
+        "p27_recall": _feat(p27_recall),
         "p26_mixture_planted": _feat(p26_mixture_planted),
         "p26_mixture_components": _feat(p26_mixture_components),
         "p25_ridge": _feat(p25_ridge),
@@ -375,6 +390,29 @@ k AS (
   GROUP BY ALL)"""
 
 
+#: Planted rows, their codes by table, the pairs that meet, and the neighbours of the test rows.
+_PROBED = f"""{_LONG},
+p AS (SELECT entity_id, pos, v + CASE WHEN pos = label THEN 3.0e0 ELSE 0.0e0 END AS v FROM long),
+x AS (SELECT entity_id, list(v ORDER BY pos) AS x FROM p GROUP BY entity_id),
+s AS (SELECT t, b, pos, CASE WHEN substr(md5(t || ':' || b || ':' || pos), 1, 1) < '8' THEN 1 ELSE -1 END AS sign
+  FROM range({approximate.TABLES}) AS ts(t), range({approximate.BITS}) AS bs(b), (SELECT DISTINCT pos FROM long)),
+m AS (SELECT entity_id, t, b, sum(v * sign) AS margin FROM p JOIN s USING (pos) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, t ORDER BY abs(margin), b) AS place FROM m),
+c AS (SELECT entity_id, t, sum(CASE WHEN margin >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM r GROUP BY ALL),
+u AS (SELECT entity_id, t, flip, sum(CASE WHEN (flip >> (place - 1)) & 1 = 1 THEN 1 << b ELSE 0 END)::BIGINT AS turned
+  FROM r, range(1 << {approximate.UNSURE}) AS fs(flip) WHERE place <= {approximate.UNSURE} GROUP BY ALL),
+met AS (
+  SELECT DISTINCT q.entity_id, d.entity_id AS train_id FROM c q JOIN u USING (entity_id, t) JOIN c d ON d.t = q.t AND d.code = xor(q.code, turned)
+  WHERE q.entity_id % 5 = 0 AND d.entity_id % 5 <> 0),
+pairs AS (
+  SELECT a.entity_id, b.entity_id AS train_id, round(list_cosine_similarity(a.x, b.x), 9) AS near, met.train_id IS NOT NULL AS met
+  FROM x a JOIN x b ON a.entity_id % 5 = 0 AND b.entity_id % 5 <> 0 LEFT JOIN met ON met.entity_id = a.entity_id AND met.train_id = b.entity_id),
+f AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY near DESC, train_id) AS i FROM (
+    SELECT *, count(*) FILTER (met) OVER (PARTITION BY entity_id) AS n FROM pairs) WHERE met OR n < {NEIGHBOURS}) WHERE i <= {NEIGHBOURS}),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY near DESC, train_id) AS i FROM pairs) WHERE i <= {NEIGHBOURS})"""
+
+
 def _validated(long: str, folds: str) -> str:
     """Accuracy by fold of the nearest centroid."""
     return f"""WITH {long}, {folds},
@@ -442,6 +480,9 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p27_approximate": f"WITH {_PROBED} SELECT entity_id, round(near, 6) + 0.0e0 AS near, train_id, i::INTEGER AS i FROM f",
+        "p27_recall": f"""WITH {_PROBED} SELECT count(*) AS n, round(count(f.train_id) / count(*), 4) + 0.0e0 AS recall
+  FROM e LEFT JOIN f ON f.entity_id = e.entity_id AND f.train_id = e.train_id""",
         "p26_mixture_planted": "SELECT label, count(*) AS n, 1.0e0 AS share FROM embeddings GROUP BY label",
         # classes so far from each other that each component is one of them
         "p26_mixture_components": f"""WITH {_LONG}, n AS (SELECT count(*) AS n FROM embeddings)
