@@ -34,7 +34,7 @@ from ..functions import width_of
 from ..shared import kept
 from .neighbours import _best, cosine, nearest
 
-TABLES, BITS, UNSURE = 6, 6, 3
+TABLES, BITS, UNSURE = 6, 8, 3
 #: Bytes of the vectors of a block; join keys that the blocks of a crowded bucket have.
 BLOCK_BYTES, SPREAD = 1 << 20, 32
 #: Numbers of all planes at most; they go to every task.

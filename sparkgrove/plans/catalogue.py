@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy, to_long, width_of
-from ..operators import analysis, approximate, cells, classify, clustering, evaluate, folds, impute, mixture, neighbours, regress, scaling, spatial, survival
+from ..operators import analysis, approximate, boosting, cells, classify, clustering, evaluate, folds, impute, margin, mixture, neighbours, regress, scaling, spatial, survival
 from ..sources.features import read_features
 
 K_FOLDS, NEIGHBOURS, CLASSES = 5, 5, 10
@@ -248,6 +248,35 @@ def p27_recall(feat: DataFrame) -> DataFrame:
     return approximate.recall(approximate.approximate(test, train, NEIGHBOURS), exact).withColumn("recall", tidy(F.col("recall"), 4))
 
 
+def p28_svm_slope(feat: DataFrame) -> DataFrame:
+    """The first subgradient: label, pos (0: intercept), slope. All rows lie within the margin."""
+    rows, planes, n = margin.start(feat)
+    _, slope = margin.subgradient(rows, planes, n, margin.REG)
+    found = [(int(label), pos, float(v)) for label, own in zip(planes.labels, slope) for pos, v in enumerate(own)]
+    made = feat.sparkSession.createDataFrame(found, "label int, pos int, slope double")
+    return made.withColumn("slope", tidy(F.col("slope")))
+
+
+def p28_svm_confusion(feat: DataFrame) -> DataFrame:
+    return evaluate.confusion(margin.linear_svm(*split(planted(feat))))
+
+
+def p29_first_splits(feat: DataFrame) -> DataFrame:
+    """Roots of the first round's trees: label, pos, cut, gain."""
+    rows, trees = boosting.start(feat)
+    best = boosting.best_splits(rows, trees, boosting.no_tree(trees, 1), 0).collect()  # a row for each class
+    found = [(int(trees.labels[r["class"]]), r.pos, float(trees.cuts[r.pos, r.bin]), r.gain) for r in best]
+    made = feat.sparkSession.createDataFrame(found, "label int, pos int, cut double, gain double")
+    return made.withColumns({c: tidy(F.col(c)) for c in ("cut", "gain")})
+
+
+def p29_boosting_planted(feat: DataFrame) -> DataFrame:
+    """n of the planted table's test rows, and whether 95 in a hundred go to their class."""
+    made = boosting.boosted(*split(planted(feat)))
+    right = F.avg((F.col("label") == F.col("predicted")).cast("double"))
+    return made.agg(F.count(F.lit(1)).alias("n"), (right >= 0.95).alias("reached"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_read_features": p1_read_features,
@@ -283,6 +312,10 @@ def queries() -> dict[str, Query]:
         "p19_rank_features": _long(lambda long: analysis.rank_features(long, 20)),
         "p20_grouped_folds": _feat(p20_grouped_folds),
         "p20_grouped_validation": _feat(p20_grouped_validation),
+        "p28_svm_slope": _feat(p28_svm_slope),
+        "p28_svm_confusion": _feat(p28_svm_confusion),
+        "p29_first_splits": _feat(p29_first_splits),
+        "p29_boosting_planted": _feat(p29_boosting_planted),
         "p27_approximate": _feat(p27_approximate),
         "p27_recall": _feat(p27_recall),
         "p26_mixture_planted": _feat(p26_mixture_planted),
@@ -480,6 +513,29 @@ s AS (SELECT c, count(*) FILTER (label = c AND predicted = c) AS tp, count(*) FI
 SELECT c AS label, round(tp / nullif(claimed, 0), 6) + 0.0e0 AS precision, round(tp / nullif(actual, 0), 6) + 0.0e0 AS recall,
   round(2 * tp / nullif(actual + claimed, 0), 6) + 0.0e0 AS f1 FROM s""",
         "p18_cross_validate": _validated(_LONG, _FOLDS),
+        "p28_svm_slope": f"""WITH {_LONG},
+m AS (SELECT pos, avg(v) AS m, stddev_samp(v) AS sd, count(*) AS n FROM long GROUP BY pos),
+z AS (SELECT label, long.pos, sum((v - m) / sd) AS z, count(*) AS own, any_value(n) AS n FROM long JOIN m USING (pos) GROUP BY ALL)
+SELECT label, pos + 1 AS pos, round(-(2 * z - sum(z) OVER (PARTITION BY pos)) / n, 6) + 0.0e0 AS slope FROM z
+UNION ALL SELECT label, 0, round(any_value(n - 2 * own) / any_value(n), 6) + 0.0e0 FROM z GROUP BY label""",
+        # every test row in its own class, so far are the classes from each other
+        "p28_svm_confusion": "SELECT label, label AS predicted, count(*) AS n FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label",
+        "p29_first_splits": f"""WITH {_LONG},
+q AS (SELECT pos, list_transform(quantile_cont(v, {[i / boosting.BINS for i in range(1, boosting.BINS)]}), lambda c: round(c, 9)) AS cuts FROM long GROUP BY pos),
+b AS (SELECT label, long.pos, len(list_filter(cuts, lambda c: c < v)) AS bin, cuts FROM long JOIN q USING (pos)),
+k AS (SELECT label AS k, count(*) OVER () AS n_k FROM (SELECT DISTINCT label FROM embeddings)),
+h AS (
+  SELECT k, pos, bin, any_value(cuts) AS cuts, count(*) AS n, sum(round((1.0e0 / n_k - (label = k)::INTEGER) * {boosting.UNIT})) AS g, sum(round(1.0e0 / n_k * (1 - 1.0e0 / n_k) * {boosting.UNIT})) AS h
+  FROM b, k GROUP BY k, pos, bin),
+s AS (
+  SELECT *, sum(n) OVER up_to AS nl, sum(g) OVER up_to / {boosting.UNIT} AS gl, sum(h) OVER up_to / {boosting.UNIT} AS hl, sum(n) OVER whole AS na, sum(g) OVER whole / {boosting.UNIT} AS ga, sum(h) OVER whole / {boosting.UNIT} AS ha
+  FROM h WINDOW up_to AS (PARTITION BY k, pos ORDER BY bin), whole AS (PARTITION BY k, pos)),
+t AS (
+  SELECT *, gl * gl / (hl + {boosting.L2}) + (ga - gl) * (ga - gl) / (ha - hl + {boosting.L2}) - ga * ga / (ha + {boosting.L2}) AS gain FROM s
+  WHERE bin < {boosting.BINS - 1} AND nl >= {boosting.LEAST_ROWS} AND na - nl >= {boosting.LEAST_ROWS})
+SELECT k AS label, pos, round(cuts[bin + 1], 6) + 0.0e0 AS cut, round(gain, 6) + 0.0e0 AS gain
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, pos, bin) AS i FROM t) WHERE i = 1""",
+        "p29_boosting_planted": "SELECT count(*) AS n, true AS reached FROM embeddings WHERE vec_id % 5 = 0",
         "p27_approximate": f"WITH {_PROBED} SELECT entity_id, round(near, 6) + 0.0e0 AS near, train_id, i::INTEGER AS i FROM f",
         "p27_recall": f"""WITH {_PROBED} SELECT count(*) AS n, round(count(f.train_id) / count(*), 4) + 0.0e0 AS recall
   FROM e LEFT JOIN f ON f.entity_id = e.entity_id AND f.train_id = e.train_id""",
