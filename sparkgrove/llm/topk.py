@@ -7,9 +7,9 @@ keeps the best of the block per query. The partial lists are merged as a tree, s
 task sees more than a fixed number of lists per query.
 
 Scores are integer inner products, computed exactly: in doubles for all rows whose
-components are small enough that n * max|q| * max|v| stays under 2**53, with Python
-integers for the others alone (beyond a long, scores are clipped to its range). Scaled
-components beyond the largest double become that.
+components are small enough that n * max|q| * max|v| stays under 2**53, in longs for those
+where it stays under 2**62, with Python integers for the others alone (beyond a long, scores
+are clipped to its range). Scaled components beyond the largest double become that.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no
 part, as queries or candidates. A vector meets only vectors of its own length; empty
@@ -60,15 +60,17 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """All inner products; only rows with large components leave the doubles."""
-    limit = (2**53 / q.shape[1]) ** 0.5
+    """All inner products: in doubles for rows of small components, in longs for those of
+    larger ones, in Python integers for the rest alone."""
     out = np.empty((len(q), len(v)), np.int64)
-    large_q, large_v = (np.abs(x).max(axis=1) >= limit for x in (q, v))
-    out[np.ix_(~large_q, ~large_v)] = q[~large_q] @ v[~large_v].T
-    if large_q.any():
-        out[large_q] = _exact(q[large_q], v)
-    if large_v.any():
-        out[np.ix_(~large_q, large_v)] = _exact(q[~large_q], v[large_v])
+    limits = [(bound / q.shape[1]) ** 0.5 for bound in (2**53, 2**62)]
+    size_q, size_v = (np.searchsorted(limits, np.abs(x).max(axis=1), side="right") for x in (q, v))
+    ways = (lambda a, b: a @ b.T, lambda a, b: a.astype(np.int64) @ b.T.astype(np.int64), _exact)
+    for i in range(3):
+        for j in range(3):
+            rows, cols = size_q == i, size_v == j
+            if rows.any() and cols.any():
+                out[np.ix_(rows, cols)] = ways[max(i, j)](q[rows], v[cols])
     return out
 
 

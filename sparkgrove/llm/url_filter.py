@@ -11,8 +11,9 @@ Defined results: a null url, or one without ``://``, has an empty host and path,
 rule, and the verdict of the overall prior. Null outcomes are not counted. Hosts
 without labelled pages are judged by the bound of their domain's prior, those of unknown
 domains by their suffix's; their lower_bound, that of a host's own posterior, stays null.
-Repeated rows are judged alike, once each. Columns of ``pages`` besides page_id and
-url are not read. Empty tables give empty results; without any labels the prior rate
+Repeated rows are judged alike, once each. Hosts that are
+addresses (``10.0.0.1``, ``[::1]``) are domains and suffixes of their own, which only the
+overall rate stands behind. Columns of ``pages`` besides page_id and url are not read. Empty tables give empty results; without any labels the prior rate
 is one half and nothing is blocked by reputation.
 """
 
@@ -31,6 +32,14 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
+#: Labels that stand before a country's two letters in public suffixes.
+KINDS = ("ac", "ad", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org", "sch")
+#: What stands around a host's name (user, port); hosts under such suffixes; addresses.
+PATTERNS = {
+    "around": r"^[^@]*@|:[0-9]*\z",
+    "kinds": rf"(^|\.)({'|'.join(KINDS)})\.[a-z][a-z]\z",
+    "address": r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[(?s:.*))\z",
+}
 #: Standard normal quantile of the one-sided posterior bound (95 %).
 Z = 1.6448536269514722
 #: Bounds of the estimated prior strengths, in pages.
@@ -48,13 +57,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host; public suffixes of one label are assumed."""
-    return F.substring_index(host, ".", -2)
+def bare_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(host, PATTERNS["around"], "")
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix: the last label, or two under countries that sort their names by kind
+    (``co.uk``). An address is its own."""
+    bare = bare_of(host)
+    last = F.when(bare.rlike(PATTERNS["kinds"]), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(bare.rlike(PATTERNS["address"]), bare).otherwise(last)
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain: the public suffix and the label before it, if there is one."""
+    bare = bare_of(host)
+    last = F.when(bare.rlike(PATTERNS["kinds"]), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return F.when(bare.rlike(PATTERNS["address"]), bare).otherwise(last)
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -176,9 +196,11 @@ outcomes AS (
   WHERE quality IS NOT NULL OR toxic IS NOT NULL),
 hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-         string_split(host, '.')[-1] AS suffix
-  FROM (SELECT host, bad FROM outcomes UNION ALL SELECT host, NULL FROM p) GROUP BY host),
+         CASE WHEN regexp_matches(any_value(bare), '{PATTERNS["address"]}') THEN any_value(bare)
+           ELSE array_to_string(string_split(any_value(bare), '.')[CASE WHEN regexp_matches(any_value(bare), '{PATTERNS["kinds"]}') THEN -3 ELSE -2 END:], '.') END AS domain,
+         CASE WHEN regexp_matches(any_value(bare), '{PATTERNS["address"]}') THEN any_value(bare)
+           ELSE array_to_string(string_split(any_value(bare), '.')[CASE WHEN regexp_matches(any_value(bare), '{PATTERNS["kinds"]}') THEN -2 ELSE -1 END:], '.') END AS suffix
+  FROM (SELECT *, regexp_replace(host, '{PATTERNS["around"]}', '', 'g') AS bare FROM (SELECT host, bad FROM outcomes UNION ALL SELECT host, NULL FROM p)) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(bad), 0) + 0.5e0) / (coalesce(sum(n), 0) + 1.0e0) AS rate FROM suffixes),
