@@ -37,8 +37,11 @@ from .neighbours import _best, cosine, nearest
 TABLES, BITS, UNSURE = 6, 8, 3
 #: Bytes of the vectors of a block; join keys that the blocks of a crowded bucket have.
 BLOCK_BYTES, SPREAD = 1 << 20, 32
-#: Numbers of all planes at most; they go to every task.
-MAX_PLANES = 5_000_000
+#: Numbers of all planes at most, and buckets of all tables; they, and the buckets' sizes, go
+#: to every task.
+MAX_PLANES, MAX_BUCKETS = 5_000_000, 2_000_000
+#: Pairs that a task gathers before it keeps the best of each query, and then holds at most.
+GATHERED = 1_000_000
 
 
 def planes(tables: int, bits: int, width: int) -> np.ndarray:
@@ -61,8 +64,8 @@ def codes(margins: np.ndarray, unsure: int) -> np.ndarray:
 
 def hashed(feat: DataFrame, tables: int, bits: int, unsure: int, width: int) -> DataFrame:
     """entity_id, features, bucket: a row for each table and code."""
-    if not 0 <= unsure <= bits <= 30:
-        raise ValueError("unsure bits are some of the bits, at most 30")
+    if not 0 <= unsure <= bits or tables << bits > MAX_BUCKETS:
+        raise ValueError(f"unsure bits are some of the bits, and all tables have {MAX_BUCKETS} buckets at most")
     sides = planes(tables, bits, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,20 +82,39 @@ def hashed(feat: DataFrame, tables: int, bits: int, unsure: int, width: int) ->
 def _blocks(rows: DataFrame, n_rows: int) -> DataFrame:
     """bucket, block, n_blocks, ids, x: the rows of each bucket in blocks of ``n_rows`` or so."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / n_rows).alias("n_blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("entity_id"), "n_blocks"))
+    # with the sizes at hand, rows are dealt by bucket and block at once, never by bucket alone
+    dealt = rows.join(F.broadcast(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("entity_id"), "n_blocks"))
     held = dealt.groupBy("bucket", "block").agg(F.first("n_blocks").alias("n_blocks"), F.collect_list(F.struct("entity_id", "features")).alias("rows"))
     return held.select("bucket", "block", "n_blocks", F.col("rows.entity_id").alias("ids"), F.flatten("rows.features").alias("x"))
 
 
+def _kept_best(k: int, parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Of all pairs the k nearest of each query, each pair once, ties to the lower id."""
+    pairs = pd.concat(parts).drop_duplicates(["entity_id", "train_id"])
+    pairs = pairs.sort_values(["entity_id", "near", "train_id"], ascending=[True, False, True])
+    return pairs[pairs.groupby("entity_id").cumcount() < k]
+
+
 def _products(k: int, width: int):
-    """Task function: the k nearest of each query in a pair of blocks."""
+    """Task function: the k nearest of each query in the task's pairs of blocks, sent on once,
+    or in parts where they are too many to hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for pdf in batches:
             for query_ids, q, ids, x in pdf.itertuples(index=False):
                 near = cosine(q.reshape(-1, width), x.reshape(-1, width))
                 row, at = _best(k, near, ids)
-                yield pd.DataFrame({"entity_id": query_ids[row], "near": near[row, at], "train_id": ids[at]})
+                parts.append(pd.DataFrame({"entity_id": query_ids[row], "near": near[row, at], "train_id": ids[at]}))
+                size += len(row)
+                if size >= GATHERED:
+                    parts = [_kept_best(k, parts)]
+                    size = len(parts[0])
+                    if 2 * size >= GATHERED:
+                        yield parts.pop()
+                        size = 0
+        if parts:
+            yield _kept_best(k, parts)
 
     return run
 
@@ -106,7 +128,7 @@ def approximate(queries: DataFrame, train: DataFrame, k: int = 5, tables: int =
     blocks = kept(blocks, "buckets")  # their keys and the blocks themselves
     keys = blocks.groupBy("bucket").agg(F.least(F.first("n_blocks"), F.lit(SPREAD)).alias("n_keys"))
     asked = _blocks(hashed(queries, tables, bits, unsure, width), n_rows).select("bucket", F.col("ids").alias("query_ids"), F.col("x").alias("q"))
-    asked = asked.join(keys, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_keys") - 1)).alias("key"), "query_ids", "q")
+    asked = asked.join(F.broadcast(keys), "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_keys") - 1)).alias("key"), "query_ids", "q")
     met = asked.join(blocks.select("bucket", "key", "ids", "x"), ["bucket", "key"]).select("query_ids", "q", "ids", "x")
     pairs = met.mapInPandas(_products(k, width), "entity_id long, near double, train_id long")
     # a pair may be found in several tables

@@ -50,6 +50,7 @@ def test_a_crowded_bucket_is_split_and_gives_the_same(spark, crowds, monkeypatch
     whole = rows(a.approximate(test, same, 5))
     monkeypatch.setattr(a, "BLOCK_BYTES", 1)  # 16 rows a block
     monkeypatch.setattr(a, "SPREAD", 3)
+    monkeypatch.setattr(a, "GATHERED", 50)
     blocks = a._blocks(a.hashed(same, 1, 6, 0, 24), 16).collect()
     assert max(len(b.ids) for b in blocks) <= 48 and max(b.n_blocks for b in blocks) >= 700 // 16
     assert rows(a.approximate(test, same, 5)) == whole
