@@ -2,10 +2,13 @@
 
 Points are (entity_id, x, y, kind). Points of equal place and kind are counted first. The
 plane is cut into square cells of twice the radius; a place is looked up in its own cell
-only, and copied, as a neighbour, to the cells that its disc touches, one to four. Cells of
-many places are split into parts of ``PART`` places each, every part with all neighbours of
-the cell, so a crowded cell is shared among tasks. A pair is only ever a row inside the task
-that counts it.
+only, and copied, as a neighbour, to the cells that its disc touches, one to four. Places of
+a cell are split into parts of ``PART``, its neighbours into parts of ``NEAR``, and each two
+parts meet in one task. There the places are cut into boxes of some ``BOX`` places: a box of
+neighbours that lies within the radius of a whole box of places is added as a count, one
+that lies beyond is left out, and only the boxes between are compared place by place, in
+matrices. So a pair is never a row. Tasks are as many as the pairs ask for, whatever the
+bytes: few bytes may be much work.
 
 Defined results: points with a null id, or a null, NaN or infinite coordinate, take no part.
 A null kind is a kind. A point is not its own neighbour, but those at the same place are;
@@ -14,13 +17,22 @@ the radius is included. Repeated ids are points of their own. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import kept
 
-#: Places of a cell that one task looks up.
-PART = 2048
+#: Places of a cell that one task looks up, and neighbours that it looks among.
+PART, NEAR = 8192, 65_536
+#: Places of a box, roughly; numbers of a matrix of neighbours and kinds, or of places and
+#: neighbours, at most.
+BOX, MATRIX = 32, 2_000_000
+#: Pairs of places and neighbours for each task, roughly; tasks at most.
+TASK_PAIRS, MAX_TASKS = 20_000_000, 10_000
 
 
 def _cells(x: Column, side: float) -> Column:
@@ -37,16 +49,91 @@ def _around(places: DataFrame, radius: float) -> DataFrame:
     """``places`` (x, y, kind, n) → x, y, kind, n: of each place that holds a point, the points
     of each kind within the radius, those at the place itself included."""
     side, far = 2 * radius, radius * (1 + 1e-9)  # a little further, for rounding
+    cell = ["cx", "cy"]
     left = places.select("x", "y").distinct().withColumns({"cx": _cells(F.col("x"), side), "cy": _cells(F.col("y"), side)})
-    sizes = left.groupBy("cx", "cy").agg(F.expr(f"1 + count(*) div {PART}").alias("n_parts"))
-    left = left.join(sizes, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("n_parts"))).drop("n_parts")
-    right = places.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "kind", "n").withColumn("cx", _spread("ox", side, far)).withColumn("cy", _spread("oy", side, far))
-    right = right.join(sizes, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).drop("n_parts")
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    met = left.join(right, ["cx", "cy", "part"]).where(dx * dx + dy * dy <= radius * radius)
+    right = places.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("kind").alias("of"), F.col("n").alias("m")).withColumn("cx", _spread("ox", side, far)).withColumn("cy", _spread("oy", side, far))
+    n = F.count(F.lit(1))
+    sizes = left.groupBy(cell).agg(n.alias("n_left")).join(right.groupBy(cell).agg(n.alias("n_right")), cell)
+    parts = (F.lit(1) + F.col("n_left") / PART).cast("long").alias("parts"), (F.lit(1) + F.col("n_right") / NEAR).cast("long").alias("near_parts")
+    sizes = kept(sizes.select(*cell, *parts, (F.col("n_left") * F.col("n_right").cast("double")).alias("pairs")), "cell-sizes")
+    pairs = sizes.agg(F.sum("pairs")).first()[0] or 0.0
+    tasks = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(pairs / TASK_PAIRS), MAX_TASKS))
+    own, every = lambda n, *place: F.pmod(F.xxhash64(*place), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = [*cell, "part", "near"]
+    left = left.join(sizes, cell).withColumn("part", own("parts", "x", "y")).withColumn("near", every("near_parts")).select(*keys, "x", "y")
+    right = right.join(sizes, cell).withColumn("near", own("near_parts", "ox", "oy")).withColumn("part", every("parts")).select(*keys, "ox", "oy", "of", "m")
+    # a number of tasks that is asked for is not lowered for want of bytes
+    left, right = (side.repartition(tasks, *keys).groupBy(keys) for side in (left, right))
+    kind = dict(places.dtypes)["kind"]
+    met = left.cogroup(right).applyInArrow(_counted(radius), f"x double, y double, kind {kind}, n long")
     return met.groupBy("x", "y", "kind").agg(F.sum("n").alias("n"))
 
 
+def _boxes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the places that puts those of a box together, and the boxes' starts."""
+    strips = max(1, round((len(x) / BOX) ** 0.5))
+    order = np.argsort(x, kind="stable")
+    for part in np.array_split(np.arange(len(x)), strips):
+        order[part] = order[part][np.argsort(y[order[part]], kind="stable")]
+    starts = [s for part in np.array_split(np.arange(len(x)), strips) if len(part) for s in range(part[0], part[-1] + 1, BOX)]
+    return order, np.array(starts, dtype=int)
+
+
+def _spans(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+
+
+def _within(lx: np.ndarray, ly: np.ndarray, rx: np.ndarray, ry: np.ndarray, counts: np.ndarray, radius: float) -> Iterator[tuple]:
+    """By box of places: their numbers, and the sums of ``counts`` (neighbours by kinds) within
+    the radius of each. Rounding keeps order, so the boxes' bounds, computed as the distances
+    are, never contradict them."""
+    order, starts = _boxes(lx, ly)
+    near_order, near_starts = _boxes(rx, ry)
+    rx, ry, counts = rx[near_order], ry[near_order], counts[near_order]
+    (rx0, rx1), (ry0, ry1), held = _spans(rx, near_starts), _spans(ry, near_starts), np.add.reduceat(counts, near_starts, axis=0)
+    lengths, most = np.diff([*near_starts, len(rx)]), radius * radius
+    for at in np.split(order, starts[1:]):
+        x, y = lx[at], ly[at]
+        x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+        gx, gy = (np.maximum(np.maximum(lo - b, a - hi), 0.0) for lo, hi, a, b in ((rx0, rx1, x0, x1), (ry0, ry1, y0, y1)))
+        wx, wy = (np.maximum(np.abs(hi - a), np.abs(b - lo)) for lo, hi, a, b in ((rx0, rx1, x0, x1), (ry0, ry1, y0, y1)))
+        whole = wx * wx + wy * wy <= most
+        some = ~whole & (gx * gx + gy * gy <= most)
+        made = np.repeat(held[whole].sum(axis=0)[None], len(at), axis=0)
+        rows = np.flatnonzero(np.repeat(some, lengths))
+        for part in np.array_split(rows, 1 + len(rows) * len(at) // MATRIX):
+            dx, dy = x[:, None] - rx[part], y[:, None] - ry[part]
+            made += (dx * dx + dy * dy <= most).astype(float) @ counts[part]
+        yield at, made
+
+
+def _counted(radius: float):
+    """Group function: the places of a part and the neighbours of a part → x, y, kind, n."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = right.column("of").combine_chunks().dictionary_encode(null_encoding="encode")
+        lx, ly, rx, ry, n = (t.column(c).to_numpy() for t, c in ((left, "x"), (left, "y"), (right, "ox"), (right, "oy"), (right, "m")))
+        codes = kinds.indices.to_numpy(zero_copy_only=False)
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        # as many kinds at a time as a matrix has room for
+        by_kind = np.argsort(codes, kind="stable")
+        step = max(1, MATRIX // max(1, len(n)))
+        for first in range(0, len(kinds.dictionary) if len(lx) else 0, step):
+            rows = by_kind[slice(*np.searchsorted(codes[by_kind], [first, first + step]))]
+            xy, at = np.unique(np.stack([rx[rows], ry[rows]]), axis=1, return_inverse=True)
+            counts = np.zeros((xy.shape[1], min(step, len(kinds.dictionary) - first)))
+            np.add.at(counts, (at.ravel(), codes[rows] - first), n[rows])
+            for places, made in _within(lx, ly, *xy, counts, radius):
+                row, kind = np.nonzero(made)
+                for held, v in zip(found, (lx[places[row]], ly[places[row]], kind + first, made[row, kind])):
+                    held.append(v)
+        x, y, kind, n = (np.concatenate(v) if v else np.zeros(0) for v in found)
+        of = kinds.dictionary.take(pa.array(kind.astype(np.int64)))
+        return pa.table({"x": pa.array(x), "y": pa.array(y), "kind": of, "n": pa.array(np.rint(n).astype(np.int64))})
+
+    return run
+
+
 def _spread(c: str, side: float, far: float) -> Column:
     """The cells along one axis that a disc around the place touches."""
     return F.explode(F.array_distinct(F.array(*[_cells(F.col(c) + d, side) for d in (-far, 0.0, far)])))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -43,6 +44,20 @@ def test_counts_are_those_of_all_pairs(spark, monkeypatch, radius, part):
     assert all(a[3] == b[3] if b[3] is None else a[3] == pytest.approx(b[3], abs=1e-12) for a, b in zip(per, wanted))
 
 
+def test_parts_boxes_and_matrices_of_any_size(spark, monkeypatch):
+    """Few bytes are dealt to as many tasks as their pairs ask for; small parts change nothing."""
+    rows = made(4, 60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    places = spatial._usable(df).groupBy("x", "y", "kind").count().withColumnRenamed("count", "n")
+    want = sorted(((i, k, n) for i, _, c in brute(rows, 1.0) for k, n in c.items()), key=repr)
+    for name, value in (("PART", 7), ("NEAR", 5), ("BOX", 3), ("MATRIX", 20), ("TASK_PAIRS", 500)):
+        monkeypatch.setattr(spatial, name, value)
+    plan = spatial._around(places, 1.0)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(cx.*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(dealt) == 2 and dealt[0] == dealt[1] > 4
+    assert sorted(((r.entity_id, r.kind, r.n) for r in spatial.neighbour_kinds(df, 1.0).collect()), key=repr) == want
+
+
 def test_one_place_holds_most_points(spark):
     """20,000 points at a place are a count, not pairs."""
     df = spark.range(20_000).selectExpr("id AS entity_id", "IF(id < 5, double(id), 0.0D) AS x", "0.0D AS y", "IF(id % 2 = 0, 'a', 'b') AS kind")
