@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import to_long, width_of
 from .approximate import approximate
+from .binning import binned, gap_cuts
 from .neighbours import cosine, nearest
 
 Loss = Callable[[Column, Column], Column]
@@ -29,6 +30,8 @@ TEST_BLOCK = 20_000
 PRODUCT = 4_000_000
 #: Numbers of a closed-form model at most; it goes to every task.
 MAX_MODEL = 5_000_000
+#: Bins of a feature in a forest, as MLlib has by default.
+BINS = 32
 
 
 def _classes(train: DataFrame) -> DataFrame:
@@ -150,13 +153,16 @@ def logistic(train: DataFrame, test: DataFrame, reg: float = 0.0, max_iter: int
 
 
 def random_forest(train: DataFrame, test: DataFrame, trees: int = 50, seed: int = 42, depth: int = 5) -> DataFrame:
-    """Random forest; adds prob, by label."""
-    return _fitted(RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed, maxDepth=depth), train, test)
+    """Random forest; adds prob, by label. Features are cut where values leave gaps, not at
+    MLlib's quantiles, which mix the classes that such a gap parts."""
+    cuts = gap_cuts(train, BINS)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed, maxDepth=depth, maxBins=BINS)
+    return _fitted(forest, binned(train, cuts), binned(test, cuts))
 
 
 def forest_importance(train: DataFrame, trees: int = 50, seed: int = 42) -> DataFrame:
     """pos, importance of each feature in a random forest."""
-    vectors = train.select(F.col("label").cast("double").alias("y"), array_to_vector("features").alias("x"))
-    model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed).fit(vectors)
+    vectors = binned(train, gap_cuts(train, BINS)).select(F.col("label").cast("double").alias("y"), array_to_vector("features").alias("x"))
+    model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, seed=seed, maxBins=BINS).fit(vectors)
     rows = [(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
     return train.sparkSession.createDataFrame(rows, "pos int, importance double")
