@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..shared import fresh_path
 
 #: Bytes of training vectors that a task holds while it reads the queries once.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
+#: Training rows of one product.
+SLICE = 2048
 #: Groups of blocks whose lists meet before all of a query do.
 NODES = 64
 #: Nearness of query rows to training rows, as a matrix; NaN or minus infinity is none.
@@ -51,44 +53,65 @@ def _best(k: int, near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[best], at[best]
 
 
+def _of_slices(k: int, nearness: Nearness, ids: np.ndarray, q: np.ndarray, train_ids: np.ndarray, x: np.ndarray, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q``, rows of ``x`` and nearness of the k nearest of each query: the best of
+    each slice of ``x``, then of all slices, so that no matrix is wider than a slice."""
+    rows, ats, nears = [], [], []
+    for start in range(0, len(x), SLICE):
+        part = slice(start, start + SLICE)
+        near = nearness(q, x[part])
+        if others:
+            near[ids[:, None] == train_ids[part]] = -np.inf
+        row, at = _best(k, near, train_ids[part])
+        rows.append(row)
+        ats.append(at + start)
+        nears.append(near[row, at])
+    row, at, near = (np.concatenate(v) for v in (rows, ats, nears))
+    order = np.lexsort((train_ids[at], -near, row))
+    row, at, near = row[order], at[order], near[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], at[best], near[best]
+
+
 def _partial(tiles: str, k: int, nearness: Nearness, others: bool, carry: list[str], tile_rows: int, product: int):
     """Task function: for each block of the task's training rows, the k nearest to every query."""
 
-    def found(block: int, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(block: int, parts: list[pd.DataFrame], vectors: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         from pyarrow import dataset
 
-        held = pd.concat(parts)
-        x, train_ids, kept = np.stack(held["features"].to_numpy()).astype(float), held["entity_id"].to_numpy(), [held[c].to_numpy() for c in carry]
+        held, x = pd.concat(parts), np.concatenate(vectors)
+        vectors.clear()
+        train_ids, kept = held["entity_id"].to_numpy(), [held[c].to_numpy() for c in carry]
         for tile in dataset.dataset(tiles, format="parquet").to_batches(batch_size=tile_rows, batch_readahead=1, fragment_readahead=1):
-            step = max(1, product // len(x))
+            step = max(1, product // min(len(x), SLICE))
             for part in (tile.slice(at, step) for at in range(0, tile.num_rows, step)):
                 ids = part.column("entity_id").to_numpy()
-                near = nearness(part.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), x)
-                if others:
-                    near[ids[:, None] == train_ids] = -np.inf
-                row, at = _best(k, near, train_ids)
+                q = part.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                row, at, near = _of_slices(k, nearness, ids, q, train_ids, x, others)
                 named = {c: v[at] for c, v in zip(carry, kept)}
-                yield pd.DataFrame({"entity_id": ids[row], "near": near[row, at], "train_id": train_ids[at], **named, "block": block})
+                yield pd.DataFrame({"entity_id": ids[row], "near": near, "train_id": train_ids[at], **named, "block": block})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, parts, size = TaskContext.get().partitionId(), [], 0
+        block, parts, vectors, size = TaskContext.get().partitionId(), [], [], 0
         for pdf in batches:
             if len(pdf):
-                parts.append(pdf)
-                size += 8 * len(pdf) * len(pdf["features"].iloc[0])
+                # vectors as one array, not as an object for each row
+                vectors.append(np.stack(pdf["features"].to_numpy()).astype(float, copy=False))
+                parts.append(pdf.drop(columns="features"))
+                size += vectors[-1].nbytes
             if size >= BLOCK_BYTES:
-                yield from found(block, parts)
-                block, parts, size = block + 1, [], 0
+                yield from found(block, parts, vectors)
+                block, parts, vectors, size = block + 1, [], [], 0
         if parts:
-            yield from found(block, parts)
+            yield from found(block, parts, vectors)
 
     return run
 
 
 def nearest(
-    queries: DataFrame, train: DataFrame, k: int, nearness: Nearness, carry: list[str] = (), others: bool = False, tile_rows: int = 20_000, product: int = 4_000_000
+    queries: DataFrame, train: DataFrame, k: int, nearness: Nearness, carry: list[str] = (), others: bool = False, tile_rows: int = 20_000, product: int = 1_000_000
 ) -> DataFrame:
     """The k nearest rows of ``train`` for each of ``queries``: entity_id, near, train_id,
     the columns ``carry`` of the training row, i (from 1). Ties go to the lower id; with

@@ -99,3 +99,21 @@ def test_nearness_without_shared_elements():
     nan = float("nan")
     near = neighbours.over_shared(np.array([[1.0, nan], [nan, nan]]), np.array([[nan, 2.0], [3.0, nan]]))
     assert near[0].tolist() == [-np.inf, -4.0] and (near[1] == -np.inf).all()
+
+
+def test_memory_of_a_block_does_not_grow_with_its_rows():
+    """Matrices are as wide as a slice, and the result is that of one product."""
+    rng = np.random.default_rng(4)
+    q, x = (np.where(rng.random((n, 4)) < 0.2, np.nan, rng.integers(0, 4, (n, 4)).astype(float)) for n in (20, 9000))
+    ids, train_ids, widest = np.arange(20), rng.permutation(9000), []
+
+    def watched(q, x):
+        widest.append(len(x))
+        return neighbours.over_shared(q, x)
+
+    row, at, near = neighbours._of_slices(3, watched, ids, q, train_ids, x, True)
+    assert max(widest) <= 2048 and sum(widest) == 9000
+    whole = neighbours.over_shared(q, x)
+    whole[ids[:, None] == train_ids] = -np.inf
+    want = neighbours._best(3, whole, train_ids)
+    assert row.tolist() == want[0].tolist() and at.tolist() == want[1].tolist() and np.allclose(near, whole[want])
